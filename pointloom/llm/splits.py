@@ -19,7 +19,7 @@ COLUMNS_KM, ROWS_KM = (0, 1300), (6000, 7200)
 #: second number is only looked at, so it may also be the first of another pair.
 _METRES = r"(?<![0-9])([0-9]{6,7})(?=[^a-z0-9]{0,2}[a-z]?[^a-z0-9]{0,2}([0-9]{7})(?![0-9]))"
 _NORTH_FIRST = r"n([0-9]{7})(?=[^a-z0-9]{0,2}e([0-9]{6,7})(?![0-9]))"
-_KM = r"(?<![0-9])([0-9]{3,4})(?=(?:[^a-z0-9/]{1,2}[a-z]?|[a-z])([0-9]{4})(?![0-9]))"
+_KM = r"(?<![0-9])([0-9]{3,4})(?=(?:[^a-z0-9/]{1,2}[a-z]?|y)([0-9]{4})(?![0-9]))"
 
 
 def tile_key(path: str) -> Column:
