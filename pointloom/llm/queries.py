@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, packing, pieces, splits
+from pointloom.llm import mixing, packing, pieces, splits, vectors
 from pointloom.runtime import cut, settings, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of points of which one is a probe and has the other among its nearest vectors."""
+    v = vectors.point_vectors(table(spark, d, "points"), table(spark, d, "point_features"))
+    near = vectors.neighbours(v, int(settings(spark, d)["knn_k"]), table(spark, d, "probes").select("point_id"))
+    return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
+
+
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
     """A split for every file, files of one tile together."""
     files = table(spark, d, "lidar_files").select("file_id", "file_path").withColumn("tile_key", splits.tile_key("file_path"))
@@ -93,6 +100,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found, "p3_split": p3_split, "p3_shares": p3_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_members": p6_members,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
 }
@@ -101,6 +109,17 @@ _SOURCE = r"lower(regexp_replace({}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'))"
 _TOKENS = "coalesce(octet_length(encode(text)), 0) + 1"
 
 SQL = {
+    "p1_found": """
+WITH f AS (SELECT * FROM point_features QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY enriched_at DESC) = 1),
+p AS (SELECT point_id, min(x) AS x, min(y) AS y, min(z) AS z FROM points WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id),
+v AS (SELECT point_id, [x / 10, y / 10, z / 10, nx, ny, nz, planarity, linearity, sphericity, anisotropy, verticality, omnivariance, eigenentropy, curvature, roughness, density]::DOUBLE[16] AS v
+      FROM f JOIN p USING (point_id)
+      WHERE isfinite(nx) AND isfinite(ny) AND isfinite(nz) AND isfinite(planarity) AND isfinite(linearity) AND isfinite(sphericity) AND isfinite(anisotropy)
+        AND isfinite(verticality) AND isfinite(omnivariance) AND isfinite(eigenentropy) AND isfinite(curvature) AND isfinite(roughness) AND isfinite(density)),
+n AS (SELECT q.point_id AS id, v.point_id AS other FROM v AS q JOIN probes USING (point_id) JOIN v ON v.point_id <> q.point_id
+      QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY array_distance(q.v, v.v), v.point_id) <= (SELECT setting_value FROM settings WHERE setting = 'knn_k'))
+SELECT DISTINCT least(id, other) AS point_a, greatest(id, other) AS point_b FROM n
+""",
     "p6_found": """
 WITH p AS (SELECT DISTINCT file_id, point_id, gps_time FROM points),
 w AS (SELECT *, gps_time - lag(gps_time) OVER (PARTITION BY file_id ORDER BY gps_time, point_id) AS gap, count(*) OVER (PARTITION BY file_id) AS n FROM p)
