@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, packing, pieces, splits, vectors
+from pointloom.llm import mixing, packing, pieces, residue, splits, vectors
 from pointloom.runtime import cut, settings, table
 
 
@@ -99,10 +99,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).where("short").select("source")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue where content should be."""
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents show which kinds of residue."""
+    return residue.residue(table(spark, d, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found, "p3_split": p3_split, "p3_shares": p3_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_members": p6_members,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_kinds": p9_kinds,
 }
 
 _SOURCE = r"lower(regexp_replace({}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'))"
