@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, packing, pieces, residue, splits, vectors
+from pointloom.llm import clusters, mixing, packing, pieces, residue, splits, vectors
 from pointloom.runtime import cut, settings, table
 
 
@@ -16,6 +16,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Planes connected by similar pairs, with the smallest plane of their group."""
+    s = settings(spark, d)
+    return clusters.similar_groups(table(spark, d, "planes"), s["plane_angle_deg"], s["plane_distance_m"], s["plane_overlap"])
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of the planes of every file, by size and most typical planes."""
+    s = settings(spark, d)
+    vectors, centre_table = clusters.plane_clusters(table(spark, d, "planes"), s["plane_angle_deg"], s["plane_distance_m"])
+    return clusters.describe(vectors, centre_table).withColumnRenamed("key", "file_id")
+
+
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
     """A split for every file, files of one tile together."""
     files = table(spark, d, "lidar_files").select("file_id", "file_path").withColumn("tile_key", splits.tile_key("file_path"))
@@ -96,7 +109,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources too small for their share even at the cap."""
-    return p8_shares(spark, d).where("short").select("source")
+    return p8_shares(spark, d).where("short AND rows_out <= docs * max_repeats").select("source")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +123,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters,
     "p3_found": p3_found, "p3_split": p3_split, "p3_shares": p3_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_members": p6_members,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_kinds": p9_kinds,
@@ -130,6 +143,17 @@ v AS (SELECT point_id, [x / 10, y / 10, z / 10, nx, ny, nz, planarity, linearity
 n AS (SELECT q.point_id AS id, v.point_id AS other FROM v AS q JOIN probes USING (point_id) JOIN v ON v.point_id <> q.point_id
       QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY array_distance(q.v, v.v), v.point_id) <= (SELECT setting_value FROM settings WHERE setting = 'knn_k'))
 SELECT DISTINCT least(id, other) AS point_a, greatest(id, other) AS point_b FROM n
+""",
+    "p2_found": """
+WITH RECURSIVE p AS (SELECT DISTINCT plane_id, file_id, normal AS n, centroid AS c, list_sort(list_distinct(point_indices)) AS idx FROM planes
+      WHERE normal IS NOT NULL AND centroid IS NOT NULL AND n[1] * n[1] + n[2] * n[2] + n[3] * n[3] > 0),
+s AS (SELECT max(setting_value) FILTER (setting = 'plane_angle_deg') AS a, max(setting_value) FILTER (setting = 'plane_distance_m') AS d, max(setting_value) FILTER (setting = 'plane_overlap') AS o FROM settings),
+e AS (SELECT p.plane_id AS a, q.plane_id AS b FROM p JOIN p AS q ON p.file_id = q.file_id AND p.plane_id <> q.plane_id, s
+      WHERE (p.c[1] - q.c[1]) ** 2 + (p.c[2] - q.c[2]) ** 2 + (p.c[3] - q.c[3]) ** 2 < s.d * s.d
+        AND degrees(acos(least(1, abs(p.n[1] * q.n[1] + p.n[2] * q.n[2] + p.n[3] * q.n[3]) / sqrt((p.n[1] ** 2 + p.n[2] ** 2 + p.n[3] ** 2) * (q.n[1] ** 2 + q.n[2] ** 2 + q.n[3] ** 2))))) < s.a
+        AND len(list_intersect(p.idx, q.idx)) >= s.o * len(list_distinct(list_concat(p.idx, q.idx)))),
+r AS (SELECT a AS id, least(a, b) AS low FROM e UNION SELECT e.a, r.low FROM e JOIN r ON r.id = e.b WHERE r.low < e.a)
+SELECT id AS plane_id, min(low) AS cluster_id FROM r GROUP BY id
 """,
     "p6_found": """
 WITH p AS (SELECT DISTINCT file_id, point_id, gps_time FROM points),
