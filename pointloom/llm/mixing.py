@@ -73,5 +73,5 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     got = mixture.groupBy("source").agg(F.count(F.lit(1)).alias("rows_out"), F.sum("size").alias("tokens_out"), F.max("copy").alias("most_copies"))
     report = rows.join(got, "source", "left").fillna(0, ["rows_out", "tokens_out", "most_copies"])
     all_out = F.sum("tokens_out").over(Window.partitionBy())  # one row per target source
-    report = report.withColumn("actual_share", F.coalesce(F.col("tokens_out") / all_out, F.lit(0.0)))
+    report = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens_out").cast("double"), all_out), F.lit(0.0)))
     return mixture, report

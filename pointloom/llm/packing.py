@@ -93,7 +93,7 @@ def fill(packed: DataFrame, capacity: int) -> DataFrame:
     by = packed.groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"))
     total = F.sum("used")
     return by.agg(
-        F.count(F.lit(1)).alias("containers"), total.alias("tokens"), (total / (F.count(F.lit(1)) * capacity)).alias("fill"),
+        F.count(F.lit(1)).alias("containers"), total.alias("tokens"), F.try_divide(total.cast("double"), F.count(F.lit(1)) * capacity).alias("fill"),
         F.ceil(total / capacity).alias("least_containers"), F.max("used").alias("fullest"), F.max("items").alias("most_items"),
     )
 

@@ -66,7 +66,7 @@ _FILLER = re.compile(r"(?:(?:" + "|".join(map(re.escape, sorted(FILLER, key=len,
 _KEYS = re.compile(r"(?:(?:" + "|".join(sorted(KEYS, key=len, reverse=True)) + r")[\s.,;!…]*){4,}", re.I)
 _LATIN = re.compile(r"(?:" + "|".join(SYLLABLES) + r")+")
 _ERROR = re.compile(r"(?:(?:http )?(?:error |erreur |fehler |erro )?[45]\d\d\s*[–:-]?\s*)?(?:" + "|".join(map(re.escape, sorted(ERRORS, key=len, reverse=True))) + r")(?:\s*\([45]\d\d\))?", re.I)
-_CODE = re.compile(r"(?:http )?(?:error|erreur|fehler|erro)? ?[45]\d\d(?:\s*[–:-]\s*[^\W\d][^\d.]{2,50})?|[^\W\d][^\d.,;:()]{2,50} \([45]\d\d\)", re.I)
+_CODE = re.compile(r"(?:http )?(?:error|erreur|fehler|erro)? ?[45]\d\d(?:(?:\s*[–:-]\s*|\s+)(?-i:[A-ZÀ-Þ])[^\d.]{2,50})?|[^\W\d][^\d.,;:()]{2,50} \([45]\d\d\)", re.I)
 _SCRIPTS = re.compile("|".join(SCRIPTS), re.I)
 
 

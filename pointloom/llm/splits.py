@@ -67,11 +67,11 @@ def group_keys(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
 def allocate(bundles: list[tuple[int, tuple, int]], shares: dict[str, float]) -> dict[tuple[int, tuple], dict[str, int]]:
     """How many components of each bundle (size, label profile, number of components) go to each split.
 
-    Stage one is a flow in units of records from bundles through the labels of their profile to the quotas that each
-    label has in each split; the cost of a unit is the deviation it causes, so with convex costs every augmentation is
-    a cheapest path of one supply node. Stage two rounds: bundles come largest first and each whole component takes
-    the path of least added deviation, whole runs of equal components at a time. Ties go to the split with the larger
-    remaining quota, then by name. Shares are normalised by their sum.
+    A flow from bundles to the quota of each split and, within it, of each label. The cost of an arc into a quota is
+    convex: the squared deviation from the quota relative to it. Bundles are sources of whole components, the largest
+    first, and every augmentation takes the arc of least marginal cost, which for a single source and convex arcs is the
+    cheapest path; so the flow is integral at once and later bundles make up for what large ones distort. Components of
+    a bundle move in runs of at most a 4096th of it. Ties go by name. Shares are normalised by their sum.
     """
     total_share = sum(shares.values())
     names = sorted(n for n, s in shares.items() if s > 0)
@@ -80,35 +80,29 @@ def allocate(bundles: list[tuple[int, tuple, int]], shares: dict[str, float]) ->
         labels[None] += size * n
         for label, k in profile:
             labels[label] += k * n
-    left = {s: {lab: labels[lab] * shares[s] / total_share for lab in labels} for s in names}
+    quota = {s: {lab: max(labels[lab] * shares[s] / total_share, 1e-9) for lab in labels} for s in names}
+    left = {s: dict(quota[s]) for s in names}
     out: dict = {}
 
-    def cost(split: str, size: int, profile: tuple) -> tuple:
-        """The added squared deviation per label relative to the label's amount, the total weighing most."""
-        c = 0.0
-        for lab, k in ((None, size), *profile):
-            r = left[split][lab]
-            c += (4.0 if lab is None else 1.0) * ((r - k) ** 2 - r**2) / max(labels[lab], 1)
-        return (c, -left[split][None], split)
+    def cost(split: str, parts: list) -> float:
+        """The marginal cost of sending these amounts to a split; its total weighs more than all its labels."""
+        return sum((4.0 if lab is None else 1.0) * (k * k - 2 * k * left[split][lab]) / quota[split][lab] / len(parts) for lab, k in parts)
 
     for size, profile, n in sorted(bundles, key=lambda b: (-b[0], str(b[1]))):
         took = dict.fromkeys(names, 0)
-        # Runs: first the proportional part at once (it keeps all deviations as they are), then single components.
-        whole = {s: int(n * shares[s] / total_share) for s in names} if n > 64 else dict.fromkeys(names, 0)
-        for s, k in whole.items():
-            took[s] += k
-            left[s][None] -= k * size
-            for lab, q in profile:
-                left[s][lab] -= k * q
-        heap = [(cost(s, size, profile), s) for s in names]
-        heapq.heapify(heap)
-        for _ in range(n - sum(whole.values())):
-            _, s = heapq.heappop(heap)
-            took[s] += 1
-            left[s][None] -= size
-            for lab, q in profile:
-                left[s][lab] -= q
-            heapq.heappush(heap, (cost(s, size, profile), s))
+        run = max(1, n // 4096)
+        while n:
+            run = min(run, n)
+            parts = [(None, size * run), *((lab, k * run) for lab, k in profile)]
+            heap = [(cost(s, parts), s) for s in names]
+            heapq.heapify(heap)
+            while n >= run:
+                _, s = heapq.heappop(heap)
+                took[s] += run
+                n -= run
+                for lab, k in parts:
+                    left[s][lab] -= k
+                heapq.heappush(heap, (cost(s, parts), s))
         out[(size, profile)] = took
     return out
 
