@@ -25,7 +25,7 @@ def session(cpus: int = 8, memory: str = "8g", name: str = "pointloom") -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 
