@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import heavy, near
+from pointloom.plans import grids, scalars
 from pointloom.runtime import cut, settings, table
 
 
@@ -43,7 +44,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("relation", F.lit("near")).unionByName(held.withColumn("relation", F.lit("inside"))).select("relation", "key_a", "key_b")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_buildings": p5_buildings}
+_PLANS = (scalars, grids)
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_buildings": p5_buildings, **{n: q for m in _PLANS for n, q in m.QUERIES.items()}}
 
 _QUALITY = "(SELECT DISTINCT quality_id, building_id, points_inside, quality_score FROM polygon_quality)"
 
@@ -80,4 +82,5 @@ SELECT building_id, n_points, count(q.quality_id) AS n_measurements, sum(points_
        CASE WHEN n_points > 0 THEN sum(points_inside)::DOUBLE / n_points END AS inside_ratio
 FROM fused_buildings LEFT JOIN {_QUALITY} AS q USING (building_id) GROUP BY building_id, n_points
 """,
+    **{n: q for m in _PLANS for n, q in m.SQL.items()},
 }
