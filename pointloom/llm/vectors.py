@@ -189,13 +189,12 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
     reached is in the README).
     """
     forest, dims, n = fit(vectors, trees, k, per_leaf, seed)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(forest)  # bounded by LEAVES x trees borders of 16 bytes
+    # The forest travels with the functions that use it: it is bounded by LEAVES x trees borders of 16 bytes.
     asked = vectors if queries is None else vectors.join(queries.toDF("id").where("id IS NOT NULL").distinct(), "id", "left_semi")
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def home(ids: pa.Array, vec: pa.Array) -> pa.Array:
-        f, v, i = shared.value, _matrix(vec, dims), np.asarray(ids)
+        f, v, i = forest, _matrix(vec, dims), np.asarray(ids)
         cols = []
         for t in range(trees):
             leaf = f.leaf(t, f.strings(f.project(t, v))) if len(v) else np.empty(0, np.int64)
@@ -206,7 +205,7 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def reached(vec: pa.Array) -> pa.Array:
-        f, v = shared.value, _matrix(vec, dims)
+        f, v = forest, _matrix(vec, dims)
         out = [[] for _ in range(len(v))]
         for t in range(trees):
             if not len(v):
@@ -232,7 +231,7 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
             d = np.empty(0)
         else:
             tree = key[0].as_py() >> 40
-            q, c, d = _search(shared.value, tree, rows["id"].to_numpy(), _matrix(rows["vec"], dims), asking["id"].to_numpy(), _matrix(asking["vec"], dims), k, min(want, rows.num_rows), steps)
+            q, c, d = _search(forest, tree, rows["id"].to_numpy(), _matrix(rows["vec"], dims), asking["id"].to_numpy(), _matrix(asking["vec"], dims), k, min(want, rows.num_rows), steps)
         return pa.table({"id": pa.array(q, pa.int64()), "neighbour": pa.array(c, pa.int64()), "d": pa.array(d, pa.float64())})
 
     met = index.groupBy("leaf").cogroup(goals.groupBy("leaf")).applyInArrow(meet, kind)
