@@ -68,7 +68,7 @@ def spatial_artifacts(points: DataFrame, value: str, bins: int = 50, least: int
     """
     out = None
     for axis in "xy":
-        means = _binned(points, axis, bins).where(F.col("bin") <= bins).groupBy("tile", "bin").agg(F.avg(value).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+        means = _binned(points, axis, bins).where(F.col("bin") <= bins).groupBy("tile", "bin").agg(steady_avg(value).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
         one = means.groupBy("tile").agg(F.when(F.avg("m") > 1e-10, F.try_divide(F.stddev_pop("m"), F.avg("m"))).otherwise(0.0).alias(f"cv_{axis}"), F.count(F.lit(1)).alias(f"bins_{axis}"))
         out = one if out is None else out.join(one, "tile", "full")
     top = F.greatest(F.coalesce("cv_x", F.lit(0.0)), F.coalesce("cv_y", F.lit(0.0)))
@@ -81,7 +81,7 @@ def dash_lines(points: DataFrame, value: str, bins: int = 100, least: int = 5) -
 
     The window runs over at most ``bins`` rows a tile.
     """
-    means = _binned(points, "y", bins).where(F.col("bin") <= bins).groupBy("tile", "bin").agg(F.avg(value).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    means = _binned(points, "y", bins).where(F.col("bin") <= bins).groupBy("tile", "bin").agg(steady_avg(value).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     w, o = Window.partitionBy("tile"), Window.partitionBy("tile").orderBy("bin")
     d = means.withColumns({"g": F.avg("m").over(w), "s": F.stddev_pop("m").over(w), "k": F.count("m").over(w)})
     off = F.abs(F.col("m") - F.col("g"))

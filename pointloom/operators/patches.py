@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.rank import ranked
-from pointloom.runtime import partitions
+from pointloom.runtime import cut, partitions
 
 
 def patch_grid(points: DataFrame, size: float, overlap: float, least: int, group: str = "tile") -> DataFrame:
@@ -20,6 +20,7 @@ def patch_grid(points: DataFrame, size: float, overlap: float, least: int, group
     if not 0 <= overlap < 1:
         raise ValueError("overlap must be in [0, 1)")
     stride = size * (1 - overlap)
+    points = cut(points)  # read three times below
     span = points.groupBy(group).agg(*[f(c).alias(f"_{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
     at = points.join(span, group)
     for c in "xy":
@@ -27,16 +28,16 @@ def patch_grid(points: DataFrame, size: float, overlap: float, least: int, group
         steps = F.ceil((F.col(f"_{c}1") - F.col(f"_{c}0")) / stride)
         first = F.greatest(F.lit(0), F.floor((o - size) / stride) + 1)
         last = F.least(F.floor(o / stride), steps - 1)
-        at = at.withColumn(f"p{c}", F.explode(F.filter(F.sequence(first - 1, F.greatest(last, first)), _holds(o, steps, stride, size)).cast("array<long>")))
+        # One more on the lower side, as divisions may round; what doesn't hold the point is then filtered.
+        at = at.withColumn(f"p{c}", F.explode(F.sequence((first - 1).cast("long"), F.greatest(last, first).cast("long"))))
+        i = F.col(f"p{c}")
+        at = at.where((i >= 0) & (i < steps) & (o >= i * stride) & (o < i * stride + size))
+    at = cut(at)
     counts = at.groupBy(group, "px", "py").agg(F.count(F.lit(1)).alias("patch_points")).where(F.col("patch_points") >= least)
     out = at.join(counts, [group, "px", "py"])
     return out.withColumns({f"local_{c}": F.col(c) - (F.col(f"_{c}0") + F.col(f"p{c}") * stride + size / 2) for c in "xy"}).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def _holds(offset: Column, steps: Column, stride: float, size: float):
-    return lambda i: (i >= 0) & (i < steps) & (offset >= i * stride) & (offset < i * stride + size)
-
-
 def uniform(seed: int, *columns: str) -> Column:
     """A number in [0, 1) that depends on the seed and the columns only, whatever the partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)

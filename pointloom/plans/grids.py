@@ -128,7 +128,7 @@ def _bins(axis: str, bins: int) -> str:
 
 
 def _cv(axis: str) -> str:
-    return f"""(SELECT tile, CASE WHEN avg(m) > 1e-10 THEN stddev_pop(m) / avg(m) ELSE 0 END AS cv_{axis} FROM (SELECT tile, bin, avg(z) AS m FROM {_bins(axis, 50)} WHERE bin <= 50 GROUP BY ALL HAVING count(*) > 10) GROUP BY tile)"""
+    return f"""(SELECT tile, CASE WHEN avg(m) > 1e-10 THEN stddev_pop(m) / avg(m) ELSE 0 END AS cv_{axis} FROM (SELECT tile, bin, sum(round(z * 1000000)::BIGINT)::DOUBLE / count(z) / 1000000 AS m FROM {_bins(axis, 50)} WHERE bin <= 50 GROUP BY ALL HAVING count(*) > 10) GROUP BY tile)"""
 
 
 SQL = {
@@ -148,7 +148,7 @@ SQL = {
         FROM {_cv('x')} FULL JOIN {_cv('y')} USING (tile)"""),
     "dash_lines": p(
         f"""SELECT tile, bin, m AS mean FROM (SELECT *, lag(off) OVER o AS before, lead(off) OVER o AS after FROM (SELECT *, abs(m - avg(m) OVER w) AS off, stddev_pop(m) OVER w AS s, count(*) OVER w AS k FROM (
-        SELECT tile, bin, avg(z) AS m FROM {_bins('y', 100)} WHERE bin <= 100 GROUP BY ALL HAVING count(*) > 5) WINDOW w AS (PARTITION BY tile)) WINDOW o AS (PARTITION BY tile ORDER BY bin))
+        SELECT tile, bin, sum(round(z * 1000000)::BIGINT)::DOUBLE / count(z) / 1000000 AS m FROM {_bins('y', 100)} WHERE bin <= 100 GROUP BY ALL HAVING count(*) > 5) WINDOW w AS (PARTITION BY tile)) WINDOW o AS (PARTITION BY tile ORDER BY bin))
         WHERE k >= 3 AND off > s AND (coalesce(before, 0) > 0.5 * s OR coalesce(after, 0) > 0.5 * s OR off > 2 * s)"""),
     "class_distribution": p("SELECT classification, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM P GROUP BY classification"),
     "tile_statistics": p(
