@@ -16,6 +16,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every vector: four trees, one descent in each."""
+    v = vectors.point_vectors(table(spark, d, "points"), table(spark, d, "point_features"))
+    near = vectors.neighbours(v, int(settings(spark, d)["knn_k"]), trees=4, want=128, steps=())
+    return near.withColumnRenamed("id", "point_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Planes connected by similar pairs, with the smallest plane of their group."""
     s = settings(spark, d)
@@ -123,7 +130,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_clusters": p2_clusters,
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters,
     "p3_found": p3_found, "p3_split": p3_split, "p3_shares": p3_shares, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_members": p6_members,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_kinds": p9_kinds,

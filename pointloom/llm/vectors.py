@@ -117,6 +117,35 @@ def _pilot_step(vectors: DataFrame, pilots: np.ndarray, k: int, dims: int) -> fl
     return float(np.sqrt(rows["d"].median())) if len(rows) else 0.0
 
 
+def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of leading bits that strings (bytes in the last axis) have in common."""
+    x = a ^ b
+    first = (x != 0).argmax(-1)
+    byte = np.take_along_axis(x, first[..., None], -1)[..., 0]
+    return np.where(byte == 0, 8 * WIDTH, 8 * first + 7 - np.floor(np.log2(np.maximum(byte, 1))).astype(np.int64))
+
+
+def _search_once(strings, raw, ids, vecs, mine, query_ids, queries, k: int, want: int):
+    """One descent a query, many queries at once: the same candidates as ``_search`` has for the unmoved place."""
+    n, out = len(ids), []
+    for lo in range(0, len(query_ids), 256):
+        q, qi, own = queries[lo : lo + 256], query_ids[lo : lo + 256], mine[lo : lo + 256]
+        rows = np.searchsorted(strings, own)[:, None] + np.arange(-want, want)[None]
+        ok = (rows >= 0) & (rows < n)
+        rows = np.where(ok, rows, 0)
+        if n > want:
+            prefix = np.where(ok, _prefix(raw[rows], own.view(np.uint8).reshape(-1, WIDTH)[:, None]), -1)
+            keep = np.argpartition(-prefix, want - 1, axis=1)[:, :want]
+            rows, ok = np.take_along_axis(rows, keep, 1), np.take_along_axis(ok, keep, 1)
+        ok &= ids[rows] != qi[:, None]
+        d = np.where(ok, ((vecs[rows] - q[:, None]) ** 2).sum(2), np.inf)
+        order = np.lexsort((ids[rows], d), axis=1)[:, :k]
+        rows, d = np.take_along_axis(rows, order, 1), np.take_along_axis(d, order, 1)
+        found = np.isfinite(d)
+        out.append((np.broadcast_to(qi[:, None], d.shape)[found], ids[rows][found], d[found]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _search(forest: Forest, tree: int, ids, vecs, query_ids, queries, k: int, want: int, steps: tuple[float, ...]):
     """The k nearest candidates of each query in one sorted array: rows (query, candidate, squared distance)."""
     strings = forest.strings(forest.project(tree, vecs))
@@ -125,6 +154,8 @@ def _search(forest: Forest, tree: int, ids, vecs, query_ids, queries, k: int, wa
     n = len(ids)
     raw = strings.view(np.uint8).reshape(n, WIDTH)
     starts = np.arange(0, n)
+    if not steps:
+        return _search_once(strings, raw, ids, vecs, forest.strings(forest.project(tree, queries)), query_ids, queries, k, want)
     out_q, out_c, out_d = [], [], []
     span = np.arange(-want, want)
     for lo in range(0, len(query_ids), 256):
@@ -145,10 +176,7 @@ def _search(forest: Forest, tree: int, ids, vecs, query_ids, queries, k: int, wa
             rows = np.where(ok, rows, 0)
             if n > want:
                 # Synchronous ascent: of the rows on both sides those that share the longest prefixes come first.
-                x = raw[rows] ^ at.view(np.uint8).reshape(-1, WIDTH)[:, None]
-                first = (x != 0).argmax(2)
-                byte = np.take_along_axis(x, first[..., None], 2)[..., 0]
-                prefix = np.where(byte == 0, 8 * WIDTH, 8 * first + 7 - np.floor(np.log2(np.maximum(byte, 1))).astype(np.int64))
+                prefix = _prefix(raw[rows], at.view(np.uint8).reshape(-1, WIDTH)[:, None])
                 prefix = np.where(ok, prefix, -1)
                 keep = np.argpartition(-prefix, want - 1, axis=1)[:, :want]
                 rows, ok = np.take_along_axis(rows, keep, 1), np.take_along_axis(ok, keep, 1)
