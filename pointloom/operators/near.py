@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.runtime import cut, finite, only
+from pointloom.runtime import cut, finite, only, partitions
 
 #: Cells of the near join that hold more rows are split to the side of the search radius itself.
 HEAVY_CELL = 4096
@@ -179,7 +179,9 @@ def coverage(polygons: DataFrame, base: float, id_col: str = "poly_id") -> DataF
                 yield pd.DataFrame(rows, columns=_COVER.names)
 
     p = only(polygons, id_col, "ring", "holes").toDF("key", "ring", "holes").where(F.col("key").isNotNull() & F.col("ring").isNotNull())
-    return p.select(F.col("key").cast("long"), "ring", "holes").distinct().mapInPandas(run, _COVER)
+    p = p.select(F.col("key").cast("long"), "ring", "holes").distinct()
+    # Rings are few bytes but much work: their number of tasks must not follow their size.
+    return p.repartition(4 * partitions(polygons.sparkSession), "key").mapInPandas(run, _COVER)
 
 
 def _even_odd(ring, x, y):
