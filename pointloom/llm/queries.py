@@ -139,7 +139,16 @@ QUERIES = {
 _SOURCE = r"lower(regexp_replace({}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'))"
 _TOKENS = "coalesce(octet_length(encode(text)), 0) + 1"
 
+_PAIRS = {"m": r"(?:^|[^0-9])([0-9]{6,7})[^a-z0-9]{0,2}[a-z]?[^a-z0-9]{0,2}([0-9]{7})(?:[^0-9]|$)", "k": r"(?:^|[^0-9])([0-9]{3,4})(?:[^a-z0-9/]{1,2}[a-z]?|y)([0-9]{4})(?:[^0-9]|$)"}
 SQL = {
+    "p3_found": f"""
+WITH f AS (SELECT DISTINCT file_id, replace(replace(replace(lower(replace(file_path, chr(92), '/')), '%5f', '_'), '%2d', '-'), '%20', '/') AS t FROM lidar_files WHERE file_id IS NOT NULL),
+m AS (SELECT file_id, {', '.join(f"regexp_extract_all(t, '{pattern}', {i}) AS {n}{i}" for n, pattern in _PAIRS.items() for i in (1, 2))} FROM f),
+c AS (SELECT file_id, list_concat([{{'x': k1[i]::INT, 'y': k2[i]::INT}} FOR i IN range(1, len(k1) + 1)], [{{'x': m1[i]::INT // 1000, 'y': m2[i]::INT // 1000}} FOR i IN range(1, len(m1) + 1)]) AS p FROM m),
+v AS (SELECT file_id, [q FOR q IN p IF q.x BETWEEN 0 AND 1300 AND q.y BETWEEN 6000 AND 7200][-1] AS q FROM c),
+g AS (SELECT file_id, printf('%04d_%04d', q.x, q.y) AS tile_key FROM v WHERE q IS NOT NULL)
+SELECT file_id, tile_key FROM g QUALIFY count(DISTINCT file_id) OVER (PARTITION BY tile_key) > 1
+""",
     "p1_found": """
 WITH f AS (SELECT * FROM point_features QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY enriched_at DESC) = 1),
 p AS (SELECT point_id, min(x) AS x, min(y) AS y, min(z) AS z FROM points WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id),
