@@ -9,13 +9,13 @@ SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 @pytest.mark.parametrize(
     "path, key",
     [
-        ("/d/20210401/HD_LIDARHD_FXX_0645_6697_PTS_C_LAMB93_IGN69.laz", "0645_6697"),
+        ("/d/20210401/HD_LIDARHD_FXX_0645_6697_PTS_C_LAMB93_ALT69.laz", "0645_6697"),
         ("s3://b/X0120Y6050_epsg2154.LAZ", "0120_6050"),
         ("./out/112000_6044000/points.laz", "0112_6044"),
         ("/in/E584500-N6994500_v1.copc.laz", "0584_6994"),
         ("/in/N6994500-E1020500_v1.laz", "1020_6994"),
         ("file:///s/Mes%20Tuiles/vol040/LHD%5FFXX%5F0518%5F6492%5FPTS.laz", "0518_6492"),
-        ("D:\\lidar\\lot-103\\lhd_fxx_0881_7022_pts_c_lamb93_ign69.laz", "0881_7022"),
+        ("D:\\lidar\\lot-103\\lhd_fxx_0881_7022_pts_c_lamb93_alt69.laz", "0881_7022"),
         ("patches/lod2/LHD_FXX_0987_7135_patch_0744.npz", "0987_7135"),
         ("/in/0121_6050/v5/cloud_20240523.laz", "0121_6050"),
         ("/d/dalle_532_7093.laz", "0532_7093"),
