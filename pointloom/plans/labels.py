@@ -14,6 +14,7 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def spectral_labels(spark, d):
     """A cascade over four bands: vegetation, sparse vegetation, water, concrete, metal, asphalt."""
+    # The thresholds of the cascade, in its order.
     r, g, bl, n = (F.col(c) for c in ("red", "green", "blue", "nir"))
     ndvi, bright, green = (n - r) / (n + r + 1e-8), (r + g + bl) / 3, (g > r) & (g > bl)
     veg = ((ndvi > 0.3) & (n > 0.35)) | ((ndvi > 0.18) & (n / (r + 1e-8) > 1.8)) | ((ndvi > 0.12) & (n > 0.32) & green) | ((ndvi > 0.08) & (n > 0.45) & green & (g > 0.4))
@@ -67,6 +68,7 @@ def ndvi_labels(spark, d):
     """Vegetation by the stored index and the height over the tile's ground, then what has none, then vegetation without index."""
     fs = features(spark, d).where(~F.isnan("ndvi") & F.col("ndvi").isNotNull() & F.col("classification").isNotNull())
     n, h, c = F.col("ndvi"), F.col("height"), F.col("classification")
+    # The levels of the index and the heights that part low, medium and high vegetation.
     free = ~c.isin(1, 2, 3, 4, 5)
     veg = F.when(n >= 0.6, 5).when(n >= 0.5, F.when(h >= 3, 5).otherwise(4)).when(n >= 0.4, 4).when(n >= 0.3, F.when(h >= 1, 4).otherwise(3)).when(n >= 0.2, 3)
     one = F.coalesce(F.when(free, veg), c)
@@ -77,6 +79,7 @@ def ndvi_labels(spark, d):
 
 def basic_labels(spark, d):
     h = F.col("height")
+    # The height bands and the planarity of surfaces.
     flat = F.col("planarity") > 0.7
     band = F.when(h < 0.5, 2).when(h < 2, 3).when(h < 5, 4).otherwise(5)
     return features(spark, d).select("point_id", F.when(flat & (h >= 1.5), 6).when(flat & (h < 0.5), 2).otherwise(band).alias("label"))
@@ -113,6 +116,7 @@ def roof_forms(spark, d):
 def source_fusion(spark, d):
     """Per building the source whose measurements score best on average (ties: the first by name), and the score."""
     q = table(spark, d, "polygon_quality").dropDuplicates(["quality_id"]).where("building_id IS NOT NULL")
+    # The weights of coverage, shape and faces.
     shape_ = (F.exp(-F.col("centroid_offset") / 2) + (1 - F.abs(1 - F.col("area_ratio"))) + F.col("shape_similarity")) / 3
     score = F.col("coverage_ratio") * 0.4 + shape_ * 0.3 + (F.col("wall_coverage") + F.col("roof_coverage")) / 2 * 0.3
     by = q.groupBy("building_id", F.lower(F.trim("bld_source")).alias("source")).agg(F.avg(score).alias("score"), F.count(F.lit(1)).alias("n")).where("score IS NOT NULL AND NOT isnan(score)")
