@@ -120,10 +120,10 @@ def fill_ground(points: DataFrame, spacing: float, apart: float, tile: str = "ti
     g = points.where(F.col("classification") == ground).select("x", "y", "z")
     span = points.where(F.col(tile) != "none").groupBy(tile).agg(*[f(F.floor(F.col(c) / spacing)).cast("long").alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
     nodes = span.withColumn("i", F.explode(F.sequence("x0", "x1"))).withColumn("j", F.explode(F.sequence("y0", "y1"))).select(tile, (F.col("i") * spacing).alias("x"), (F.col("j") * spacing).alias("y"))
-    wide = g.groupBy(F.floor(F.col("x") / 10).cast("long").alias("cx"), F.floor(F.col("y") / 10).cast("long").alias("cy")).agg(F.sum("z").alias("s"), F.count("z").alias("n"))
+    wide = g.groupBy(F.floor(F.col("x") / 10).cast("long").alias("cx"), F.floor(F.col("y") / 10).cast("long").alias("cy")).agg(F.sum(F.round(F.col("z") * 10**6).cast("long")).alias("s"), F.count("z").alias("n"))
     for c in ("cx", "cy"):
         wide = wide.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    wide = wide.groupBy("cx", "cy").agg((F.sum("s") / F.sum("n")).alias("z"))
+    wide = wide.groupBy("cx", "cy").agg((F.sum("s").cast("double") / F.sum("n") / 10**6).alias("z"))  # whole micrometres: no order of rows changes a mean
     placed = nodes.withColumns({"cx": F.floor(F.col("x") / 10).cast("long"), "cy": F.floor(F.col("y") / 10).cast("long")}).join(wide, ["cx", "cy"]).drop("cx", "cy")
     cell = {f"k{c}": F.floor(F.col(c) / apart).cast("long") for c in "xy"}
     close = g.select(F.col("x").alias("gx"), F.col("y").alias("gy"), *[F.floor(F.col(c) / apart).cast("long").alias(f"k{c}") for c in "xy"])

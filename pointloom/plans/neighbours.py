@@ -159,6 +159,9 @@ _LAB = _near("(SELECT * FROM P WHERE classification IS NOT NULL)")
 _SPACING = "SELECT point_id, count(*) AS n, avg(d) AS mean_distance, stddev_pop(d) AS std_distance, CASE WHEN max(d) > 0 THEN count(*) / (pow(max(d), 3) * 4.1887902047863905) ELSE 0 END AS point_density FROM N GROUP BY point_id"
 _LINK = """, U AS (SELECT * FROM P WHERE classification = 6), V AS (SELECT a.point_id AS a, b.point_id AS b FROM U AS a JOIN U AS b ON a.point_id <> b.point_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1
       AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 1)"""
+_DBSCAN = f"""WITH RECURSIVE {p('', _LINK)[5:]}, K AS (SELECT a AS id FROM V GROUP BY a HAVING count(*) >= 4), L AS (SELECT a, b FROM V WHERE a IN (SELECT id FROM K) AND b IN (SELECT id FROM K)),
+        R AS (SELECT id, id AS low FROM K UNION SELECT L.a, R.low FROM L JOIN R ON R.id = L.b WHERE R.low < L.a), Z AS (SELECT id, min(low) AS low FROM R GROUP BY id),
+        O AS (SELECT point_id, coalesce(z.low, e.low, 0) AS cluster FROM U LEFT JOIN Z AS z ON z.id = point_id LEFT JOIN (SELECT a AS pid, min(low) AS low FROM V JOIN Z ON Z.id = b GROUP BY a) AS e ON e.pid = point_id)"""
 SQL = {
     "nearest": p("SELECT point_id, nid, rank::INT AS rank, d FROM N", _ALL),
     "radius_counts": p("SELECT point_id, count(nid) AS n FROM P LEFT JOIN W USING (point_id) GROUP BY point_id", _ALL),
@@ -176,7 +179,6 @@ SQL = {
     "height_over_ground": p(
         """SELECT P.point_id, P.z - g AS height FROM P JOIN (SELECT point_id, quantile_cont(gz, 0.5) AS g FROM (SELECT W.point_id, o.z AS gz, row_number() OVER (PARTITION BY W.point_id ORDER BY d, nid) AS r FROM W JOIN P AS o ON o.point_id = nid WHERE o.classification = 2) WHERE r <= 5 GROUP BY 1) AS q ON q.point_id = P.point_id""", _ALL),
     "noise_points": p("SELECT a.point_id FROM P AS a LEFT JOIN W ON W.point_id = a.point_id LEFT JOIN P AS o ON o.point_id = nid WHERE a.classification = 1 GROUP BY a.point_id HAVING count(nid) < 3 OR abs(any_value(a.z) - quantile_cont(o.z, 0.5)) > 5", _ALL),
-    "density_clusters": f"""WITH RECURSIVE {p('', _LINK)[5:]}, K AS (SELECT a AS id FROM V GROUP BY a HAVING count(*) >= 4), L AS (SELECT a, b FROM V WHERE a IN (SELECT id FROM K) AND b IN (SELECT id FROM K)),
-        R AS (SELECT id, id AS low FROM K UNION SELECT L.a, R.low FROM L JOIN R ON R.id = L.b WHERE R.low < L.a), Z AS (SELECT id, min(low) AS low FROM R GROUP BY id)
-        SELECT point_id, coalesce(z.low, e.low, 0) AS cluster FROM U LEFT JOIN Z AS z ON z.id = point_id LEFT JOIN (SELECT a AS pid, min(low) AS low FROM V JOIN Z ON Z.id = b GROUP BY a) AS e ON e.pid = point_id""",
+    "density_clusters": f"{_DBSCAN} SELECT * FROM O",
+    "cluster_statistics": f"{_DBSCAN} SELECT cluster, count(*) AS n, min(z) AS z0, max(z) AS z1, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM O JOIN P USING (point_id) WHERE cluster > 0 GROUP BY cluster",
 }

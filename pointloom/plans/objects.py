@@ -137,4 +137,10 @@ SQL = {
         """SELECT tile, n, dens AS density, spacing, CASE WHEN dens > 10 THEN 20 WHEN dens > 1 THEN 12 ELSE 8 END AS k FROM (SELECT tile, count(*) AS n, CASE WHEN (max(x) - min(x)) * (max(y) - min(y)) > 0 THEN count(*) / ((max(x) - min(x)) * (max(y) - min(y))) ELSE 0 END AS dens, quantile_cont(d, 0.5) AS spacing
         FROM P LEFT JOIN (SELECT point_id, min(d) AS d FROM W GROUP BY point_id) USING (point_id) GROUP BY tile)""", _ALL),
     "tile_functions": p("SELECT tile, min(z) AS lo, max(z) AS hi, count(*) AS n FROM P GROUP BY tile"),
+    "line_crossings": """WITH S AS (SELECT DISTINCT poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM (SELECT poly_id, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM (
+        SELECT poly_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM polygons WHERE layer IN ('roads', 'railways', 'power_lines') AND ring IS NOT NULL AND len(ring) >= 2)) WHERE a.x <> b.x OR a.y <> b.y)
+        SELECT DISTINCT line_a, line_b, round(x1 + t * rx, 3) AS x, round(y1 + t * ry, 3) AS y FROM (SELECT *, ((u1 - x1) * sy - (v1 - y1) * sx) / det AS t, ((u1 - x1) * ry - (v1 - y1) * rx) / det AS u FROM (
+        SELECT a.poly_id AS line_a, b.poly_id AS line_b, a.x1, a.y1, b.x1 AS u1, b.y1 AS v1, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS sx, b.y2 - b.y1 AS sy, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS det
+        FROM S AS a JOIN S AS b ON a.poly_id < b.poly_id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)) WHERE det <> 0)
+        WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""",
 }
