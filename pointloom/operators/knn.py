@@ -56,25 +56,19 @@ def _block(level: int) -> tuple[float, float]:
 def _levels(points: DataFrame) -> DataFrame:
     """``level, bx, by``: the blocks in use. A block with more than FULL points is replaced by its quarters, down to LEVELS.
 
-    Counts are pre-aggregated on the finest cells in use, coarsened level by level, so the points are read once.
+    Each level counts only the points of blocks that were too full, so usual data take one pre-aggregated count.
     """
-    fine = _block(LEVELS)[0]
-    counts = points.groupBy(F.floor(F.col("x") / fine).cast("long").alias("bx"), F.floor(F.col("y") / fine).cast("long").alias("by")).agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts)
-    split, out = None, None
+    rest, out = points, None
     for level in range(LEVELS + 1):
-        shrink = LEVELS - level
-        at = counts.groupBy(F.shiftright("bx", shrink).alias("bx"), F.shiftright("by", shrink).alias("by")).agg(F.sum("n").alias("n"))
-        if split is not None:
-            at = at.join(split, (F.shiftright("bx", 1) == F.col("px")) & (F.shiftright("by", 1) == F.col("py")), "left_semi")
+        cell = [F.floor(F.col(c) / _block(level)[0]).cast("long") for c in "xy"]
+        at = cut(rest.groupBy(cell[0].alias("bx"), cell[1].alias("by")).agg(F.count(F.lit(1)).alias("n")))
         done = at if level == LEVELS else at.where(F.col("n") <= FULL)
         done = done.select(F.lit(level).alias("level"), "bx", "by")
         out = done if out is None else out.union(done)
-        if level < LEVELS:
-            split = cut(at.where(F.col("n") > FULL).select(F.col("bx").alias("px"), F.col("by").alias("py")))
-            if split.isEmpty():
-                break
-    return cut(out)
+        full = at.where(F.col("n") > FULL).select(F.col("bx").alias("_px"), F.col("by").alias("_py"))
+        if level == LEVELS or full.isEmpty():
+            return out
+        rest = rest.join(full, (cell[0] == F.col("_px")) & (cell[1] == F.col("_py")), "left_semi")
 
 
 def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, carry: list[str] = [], rounds: int = 12) -> DataFrame:
