@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -65,6 +66,9 @@ def cut(df: DataFrame) -> DataFrame:
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            continue
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
