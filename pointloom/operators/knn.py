@@ -74,8 +74,8 @@ def _levels(points: DataFrame) -> DataFrame:
 def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, carry: list[str] = [], rounds: int = 12) -> DataFrame:
     """``point_id`` and the columns of ``schema`` that ``measure`` gives over each point's k nearest others.
 
-    measure(xyz of the points (m, 3), distances (m, k), neighbours' xyz (m, k, 3), neighbours' carried columns (m, k),
-            valid (m, k)) -> columns. Where a table holds fewer than k others, ``valid`` is false for the rest.
+    measure(xyz of the points (m, 3), distances (m, k), neighbours' xyz (m, k, 3), neighbours' carried columns (m, k) and
+            the points' own as own_<column> (m), valid (m, k)) -> columns. Where a table holds fewer than k others, ``valid`` is false for the rest.
     points  ``point_id, x, y, z`` and the carried columns, one row per id; non-finite places and NULL ids are left out.
 
     Blocks of the plane with a halo, of a side that follows the density, are grouped into Arrow tables. A point is done if
@@ -87,7 +87,7 @@ def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, car
     blocks = _levels(p)
     levels = [r["level"] for r in blocks.select("level").distinct().collect()]
     names = [c.strip().split()[0] for c in schema.split(",")]
-    kind = f"point_id long, done boolean, {schema}"
+    kind = f"point_id long, level int, done boolean, {schema}"
 
     def runner(wide: float, last: bool):
         def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -100,42 +100,40 @@ def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, car
             parts = [_chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure) for rows in np.array_split(np.flatnonzero(own), max(1, math.ceil(own.sum() * len(ids) / 2_000_000)))]
             parts = [q for q in parts if q is not None]
             cols = {c: np.concatenate([q[c] for q in parts]) if parts else np.empty(0) for c in ["point_id", "done", *names]}
-            return pa.table({c: pa.array(v) for c, v in cols.items()}).cast(_arrow_schema(kind))
+            cols["level"] = np.full(len(cols["point_id"]), key[0].as_py())
+            return pa.table({c: pa.array(cols[c]) for c in ["point_id", "level", "done", *names]}).cast(_arrow_schema(kind))
 
         return run
 
     todo, out = None, None
     for n in range(rounds):
         wide = 4.0**n
+        if todo is None:
+            seen, active = p.withColumn("_open", F.lit(None).cast("int")), blocks
+        else:
+            # Wider blocks: those of points still open, each at the level it had.
+            seen = cut(p.join(todo, "point_id", "left"))
+            side = F.lit(SIDE * wide) / F.pow(F.lit(2.0), F.col("_open"))
+            active = seen.where("_open IS NOT NULL").select(F.col("_open").alias("level"), *[F.floor(F.col(c) / side).cast("long").alias(f"b{c}") for c in "xy"]).distinct()
         shown = []
         for level in levels:
             side, halo = (v * wide for v in _block(level))
-            at = p
+            at = seen
             for c in "xy":
                 at = at.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - halo) / side).cast("long"), F.floor((F.col(c) + halo) / side).cast("long"))))
             home = (F.floor(F.col("x") / side).cast("long") == F.col("bx")) & (F.floor(F.col("y") / side).cast("long") == F.col("by"))
-            shown.append(at.withColumns({"level": F.lit(level), "own": home}))
+            mine = home if todo is None else home & F.coalesce(F.col("_open") == level, F.lit(False))
+            shown.append(at.withColumns({"level": F.lit(level), "own": mine}).drop("_open"))
         rows = shown[0]
         for s in shown[1:]:
             rows = rows.unionByName(s)
-        if todo is None:
-            active = blocks
-        else:
-            # Wider blocks: those of points still open, each at the level it had.
-            rows = rows.join(todo.withColumn("_open", F.lit(True)), ["point_id", "level"], "left").withColumn("own", F.col("own") & F.coalesce("_open", F.lit(False))).drop("_open")
-            active = rows.where("own").select("level", "bx", "by").distinct()
         rows = rows.join(active, ["level", "bx", "by"], "left_semi")
-        got = cut(rows.groupBy("level", "bx", "by").applyInArrow(runner(wide, n == rounds - 1), kind).withColumn("_r", F.lit(n)))
+        got = cut(rows.groupBy("level", "bx", "by").applyInArrow(runner(wide, n == rounds - 1), kind))
         good = got.where("done").select("point_id", *names)
         out = good if out is None else out.union(good)
-        left = got.where("NOT done").select("point_id")
-        if left.isEmpty():
+        todo = got.where("NOT done").select("point_id", F.col("level").alias("_open"))
+        if todo.isEmpty():
             break
-        if todo is None:
-            mine = rows.where("own").select("point_id", "level")
-            todo = cut(mine.join(left, "point_id", "left_semi"))
-        else:
-            todo = cut(todo.join(left, "point_id", "left_semi"))
     return out
 
 
@@ -157,7 +155,10 @@ def _chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure):
         near = np.argpartition(d2, some - 1, axis=1)[:, :some] if some < n else np.broadcast_to(np.arange(n), (len(rows), n)).copy()
         d = np.take_along_axis(d2, near, 1)
         order = np.lexsort((ids[near], d), axis=1)[:, :m]
+        most = d.max(1)
         near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        for r in np.flatnonzero(d[:, -1] == most) if some < n else []:  # the tie may go on beyond what was taken
+            near[r] = np.lexsort((ids, d2[r]))[:m]
     else:
         near, d = np.zeros((len(rows), 0), int), np.zeros((len(rows), 0))
     if m < k:
@@ -166,9 +167,9 @@ def _chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure):
     valid = np.isfinite(d)
     rim = np.minimum(q[:, :2] - lo, hi - q[:, :2]).min(1)
     enough = valid[:, -1] if k else np.ones(len(rows), bool)
-    done = (enough & (np.sqrt(d[:, -1]) <= rim)) | (n >= total) | last
+    done = (enough & (np.sqrt(d[:, -1]) < rim)) | (n >= total) | last
     dist = np.sqrt(d)
-    out = measure(q, dist, xyz[near], {c: v[near] for c, v in extra.items()}, valid)
+    out = measure(q, dist, xyz[near], {c: v[near] for c, v in extra.items()} | {f"own_{c}": v[rows] for c, v in extra.items()}, valid)
     return {"point_id": ids[rows], "done": done, **out}
 
 
@@ -205,11 +206,62 @@ def density_measures(q, d, nxyz, extra, valid):
     zm = zs.sum(1) / n
     vstd = np.sqrt((np.where(valid, nxyz[..., 2] - zm[:, None], 0.0) ** 2).sum(1) / n)
     return {
-        "point_density": density, "mean_distance": mean, "std_distance": std, "max_distance": far, "n_2m": ((d <= 2.0) & valid).sum(1).astype(np.int32),
+        "n": valid.sum(1).astype(np.int32), "point_density": density, "mean_distance": mean, "std_distance": std, "max_distance": far, "n_2m": ((d <= 2.0) & valid).sum(1).astype(np.int32),
         "extent": np.sqrt((span**2).sum(1)), "height_ratio": ratio, "vertical_std": vstd,
     }
 
 
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """``point_id, nid, d, rank``: the k nearest others at any distance (fewer only where the table holds fewer); ties by id."""
+
+    def ids_and_distances(q, d, nxyz, extra, valid):
+        cols = {f"n{i}": extra["nid"][:, i] for i in range(k)} | {f"d{i}": d[:, i] for i in range(k)}
+        return {"n": valid.sum(1).astype(np.int32), **cols}
+
+    kind = ", ".join(["n int", *[f"n{i} long" for i in range(k)], *[f"d{i} double" for i in range(k)]])
+    wide = neighbourhoods(points.withColumn("nid", F.col("point_id")), k, ids_and_distances, kind, ["nid"])
+    one = F.array(*[F.struct(F.col(f"n{i}").alias("nid"), F.col(f"d{i}").alias("d"), F.lit(i + 1).alias("rank")) for i in range(k)])
+    return wide.select("point_id", F.explode(F.slice(one, F.lit(1), F.col("n"))).alias("e")).select("point_id", "e.*")
+
+
+def spread_measures(q, d, nxyz, extra, valid):
+    """Number of the neighbours and the population covariances of them and the point, relative to it (they keep their digits)."""
+    rel = np.where(valid[..., None], nxyz - q[:, None, :], 0.0)
+    n = valid.sum(1) + 1
+    c = np.where(valid[..., None], rel - (rel.sum(1) / n[:, None])[:, None, :], 0.0)
+    own = -rel.sum(1) / n[:, None]
+    cov = (np.einsum("mki,mkj->mij", c, c) + own[:, :, None] * own[:, None, :]) / n[:, None, None]
+    return {"n": n.astype(np.int32), **{f"c{a}{b}": cov[:, i, j] for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j}}
+
+
+def median_measure(column: str) -> Measure:
+    """``n, m``: number of neighbours and the median of their ``column``."""
+
+    def run(q, d, nxyz, extra, valid):
+        n, v = valid.sum(1), np.sort(np.where(valid, extra[column], np.inf), 1)
+        at = np.arange(len(v))
+        low, high = v[at, np.maximum(n - 1, 0) // 2], v[at, np.minimum(n // 2, v.shape[1] - 1)]
+        return {"n": n.astype(np.int32), "m": np.where(n > 0, (low + high) / 2, np.nan)}
+
+    return run
+
+
+def label_measures(q, d, nxyz, extra, valid):
+    """``n, same, other``: neighbours, those with the point's label, and the most frequent label (the lowest on ties)."""
+    lab = np.asarray(extra["label"], np.int64)
+    count = np.where(valid, ((lab[:, :, None] == lab[:, None, :]) & valid[:, None, :]).sum(2), -1)
+    other = np.where(count == count.max(1)[:, None], lab, np.iinfo(np.int64).max).min(1)
+    same = ((lab == np.asarray(extra["own_label"], np.int64)[:, None]) & valid).sum(1)
+    return {"n": valid.sum(1).astype(np.int32), "same": same.astype(np.int32), "other": other}
+
+
+def normal_measures(q, d, nxyz, extra, valid):
+    """``n, curvature``: the mean length of the differences between the normals (nx, ny, nz) of a point and its neighbours."""
+    gap = np.sqrt(sum((extra[c] - extra[f"own_{c}"][:, None]) ** 2 for c in ("nx", "ny", "nz")))
+    n = valid.sum(1)
+    return {"n": n.astype(np.int32), "curvature": np.where(valid, gap, 0.0).sum(1) / np.maximum(n, 1)}
+
+
 def agg_features(neighbours: DataFrame, points: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Aggregates over a long table of neighbours joined with the neighbours' columns (named ``n_<column>``)."""
     others = points.select(*[F.col(c).alias(f"n_{c}" if c != "point_id" else "nid") for c in points.columns])

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pointloom.functions import shape
 from pointloom.operators import cluster, knn
 from pointloom.plans.base import f, features, p, points
+from pointloom.runtime import cut
 
 K, RADIUS = 10, 1.5
 
 
 def nearest(spark, d):
-    """The 10 nearest points within 1.5 m of each point."""
-    return knn.nearest_within(points(spark, d), K, RADIUS).select("point_id", "nid", "rank", "d")
+    """The 10 nearest points of each point, at any distance."""
+    return knn.nearest(cut(points(spark, d).select("point_id", "x", "y", "z")), K).select("point_id", "nid", "rank", "d")
 
 
 def radius_counts(spark, d):
@@ -23,15 +24,10 @@ def radius_counts(spark, d):
 
 
 def covariance_shape(spark, d):
-    """Covariance of each neighbourhood (the point itself included), its eigenvalues in closed form and the shape they give."""
-    ps = points(spark, d).select("point_id", "x", "y", "z")
-    near = knn.nearest_within(ps, K, RADIUS).select("point_id", "nid")
-    near = near.union(ps.select("point_id", F.col("point_id").alias("nid")))
-    # Coordinates are taken relative to the point: far from the origin, covariances would lose their digits.
-    o = ps.select(F.col("point_id").alias("nid"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
-    j = near.join(o, "nid").join(ps, "point_id").select("point_id", *[(F.col(f"n{c}") - F.col(c)).alias(c) for c in "xyz"])
+    """Covariance of each point and its 10 nearest at any distance, its eigenvalues in closed form and the shape they give."""
     pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
-    c = j.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs]).where("n >= 4")
+    kind = ", ".join(["n int", *[f"c{a}{b} double" for a, b in pairs]])
+    c = knn.neighbourhoods(cut(points(spark, d).select("point_id", "x", "y", "z")), K, knn.spread_measures, kind).where("n >= 4")
     e = shape.eigenvalues_3x3(*[F.col(f"c{a}{b}") for a, b in pairs])
     out = c.withColumns({f"l{i + 1}": v for i, v in enumerate(e)})
     l = [F.col(f"l{i}") for i in (1, 2, 3)]  # noqa: E741
@@ -52,14 +48,14 @@ def exact_density(spark, d):
 
 
 def local_spacing(spark, d):
-    """Mean and deviation of the distances to the 10 nearest within 1.5 m, and a density from the farthest."""
-    n = knn.nearest_within(points(spark, d), K, RADIUS).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance"), F.max("d").alias("far"))
-    return n.select("point_id", "n", "mean_distance", "std_distance", F.when(F.col("far") > 0, F.try_divide(F.col("n"), F.pow("far", F.lit(3.0)) * 4.1887902047863905)).otherwise(0.0).alias("point_density"))
+    """Mean and deviation of the distances to the 10 nearest at any distance, and a density from the farthest."""
+    kind = "n int, mean_distance double, std_distance double, point_density double"
+    return knn.neighbourhoods(cut(points(spark, d).select("point_id", "x", "y", "z")), K, knn.density_measures, kind).where("n > 0")
 
 
 def statistical_outliers(spark, d):
     """Points whose mean distance to their neighbours is a deviation or more above the mean of all."""
-    m = local_spacing(spark, d).select("point_id", "mean_distance")
+    m = cut(local_spacing(spark, d).select("point_id", "mean_distance"))
     t = m.agg((F.avg("mean_distance") + F.stddev_pop("mean_distance")).alias("t")).first()["t"]
     return m.where(F.col("mean_distance") >= F.lit(t)).select("point_id")
 
@@ -71,32 +67,25 @@ def radius_outliers(spark, d):
 
 def smoothed_planarity(spark, d):
     """Planarity replaced by the median of the 10 nearest where it is off by more than 0.3 (3 neighbours at least)."""
-    fs = features(spark, d).select("point_id", "x", "y", "z", "planarity")
-    o = fs.select(F.col("point_id").alias("nid"), F.col("planarity").alias("v"))
-    m = knn.nearest_within(fs, K, RADIUS).join(o, "nid").groupBy("point_id").agg(F.count("v").alias("n"), F.percentile("v", 0.5).alias("m"))
+    fs = cut(features(spark, d).select("point_id", "x", "y", "z", "planarity"))
+    m = knn.neighbourhoods(fs, K, knn.median_measure("planarity"), "n int, m double", ["planarity"])
     new = F.when((F.col("n") >= 3) & (F.abs(F.col("planarity") - F.col("m")) > 0.3), F.col("m")).when((F.col("n") < 3) & (F.col("n") > 0), F.col("m")).otherwise(F.col("planarity"))
     return fs.join(m, "point_id", "left").select("point_id", new.alias("planarity"))
 
 
 def label_coherence(spark, d):
     """Per point with a label: the share of labelled neighbours with the same one, and the majority (lowest on ties) where that share is below 0.3."""
-    ps = points(spark, d).where("classification IS NOT NULL")
-    lab = ps.select(F.col("point_id").alias("nid"), F.col("classification").alias("other"))
-    own = ps.select("point_id", "classification")
-    by = knn.nearest_within(ps, K, RADIUS).join(lab, "nid").groupBy("point_id", "other").agg(F.count(F.lit(1)).alias("n"))
-    j = by.join(own, "point_id")
-    g = j.groupBy("point_id", "classification").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("other") == F.col("classification"), F.col("n")).otherwise(0)).alias("same"), F.max(F.struct("n", (-F.col("other")).alias("m"))).alias("b"))
-    share = F.col("same") / F.col("all")
-    return g.select("point_id", share.alias("share"), F.when(share < 0.3, -F.col("b.m")).otherwise(F.col("classification")).alias("label"))
+    ps = cut(points(spark, d).where("classification IS NOT NULL").select("point_id", "x", "y", "z", F.col("classification").alias("label")))
+    g = knn.neighbourhoods(ps, K, knn.label_measures, "n int, same int, other long", ["label"]).where("n > 0").join(ps.select("point_id", "label"), "point_id")
+    share = F.col("same") / F.col("n")
+    return g.select("point_id", share.alias("share"), F.when(share < 0.3, F.col("other")).otherwise(F.col("label")).cast("int").alias("label"))
 
 
 def curvature_from_normals(spark, d):
     """The mean length of the differences between a point's normal and those of its neighbours."""
-    fs = features(spark, d).select("point_id", "x", "y", "z", "nx", "ny", "nz")
-    o = fs.select(F.col("point_id").alias("nid"), *[F.col(c).alias(f"o{c}") for c in ("nx", "ny", "nz")])
-    j = knn.nearest_within(fs, K, RADIUS).join(o, "nid").join(fs.drop("x", "y", "z"), "point_id")
-    gap = shape.norm([F.col(c) - F.col(f"o{c}") for c in ("nx", "ny", "nz")])
-    return j.groupBy("point_id").agg(F.avg(gap).alias("curvature"))
+    fs = cut(features(spark, d).select("point_id", "x", "y", "z", "nx", "ny", "nz"))
+    out = knn.neighbourhoods(fs, K, knn.normal_measures, "n int, curvature double", ["nx", "ny", "nz"])
+    return out.where("n > 0").select("point_id", "curvature")
 
 
 def local_verticality(spark, d):
