@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.graph import components
 from pointloom.operators.knn import within_radius
-from pointloom.runtime import cut
+from pointloom.runtime import cut, finite
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
@@ -31,22 +31,28 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
 
 
 def nearest_plane(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
-    """``point_id, plane_id, distance``: of the planes of a point's file that hold it (by ``idx``) or whose centroid is within
-    ten reaches in the plane, the one nearest along its normal, at most ``reach`` away; ties by id.
+    """``point_id, plane_id, distance``: of all planes of a point's file, wherever their centroids are, the one nearest along
+    its normal, at most ``reach`` away; ties by id.
 
-    An equi-join on file and cell of ten reaches; planes go to nine cells, so points are not copied.
+    Planes meet the occupied cubes of their file, first coarse and then fine ones; a cube is left out only if none of it can
+    be within reach. Points meet the planes of their fine cube, so none is copied.
     """
-    side = 10 * reach
     good = planes.where("plane_id IS NOT NULL AND size(normal) = 3 AND size(centroid) = 3").where("NOT exists(normal, v -> v IS NULL OR isnan(v)) AND NOT exists(centroid, v -> v IS NULL OR isnan(v))")
     length = F.sqrt(F.aggregate("normal", F.lit(0.0), lambda a, v: a + v * v))
     g = good.groupBy("plane_id").agg(F.max(F.struct("file_id", "normal", "centroid")).alias("g")).select("plane_id", "g.*").withColumn("len", length).where("len > 0")
     g = g.select("plane_id", "file_id", *[(F.col("normal")[i] / F.col("len")).alias(f"n{c}") for i, c in enumerate("xyz")], *[F.col("centroid")[i].alias(f"g{c}") for i, c in enumerate("xyz")])
-    for c in "xy":
-        at = F.floor(F.col(f"g{c}") / side).cast("long")
-        g = g.withColumn(f"c{c}", F.explode(F.sequence(at - 1, at + 1)))
-    p = points.select("point_id", "file_id", "x", "y", "z", *[F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xy"])
+    coarse, fine = 32 * reach, 4 * reach
+    p = cut(points.where(F.col("point_id").isNotNull() & finite("x", "y", "z")).select("point_id", "file_id", "x", "y", "z"))
+    p = p.withColumns({f"c{c}": F.floor(F.col(c) / fine).cast("long") for c in "xyz"})
+
+    def crossed(cubes: DataFrame, side: float, keys: list[str]) -> DataFrame:
+        off = sum(((F.col(f"{k}") + 0.5) * side - F.col(f"g{c}")) * F.col(f"n{c}") for k, c in zip(keys, "xyz"))
+        return cubes.where(F.abs(off) <= (F.abs("nx") + F.abs("ny") + F.abs("nz")) * (side / 2) + reach + 1e-6)
+
+    cubes = cut(p.select("file_id", "cx", "cy", "cz").distinct().withColumns({f"b{c}": F.floor(F.col(f"c{c}") / 8).cast("long") for c in "xyz"}))
+    large = crossed(cubes.select("file_id", "bx", "by", "bz").distinct().join(g, "file_id"), coarse, ["bx", "by", "bz"])
+    small = crossed(cubes.join(large, ["file_id", "bx", "by", "bz"]), fine, ["cx", "cy", "cz"]).drop("bx", "by", "bz")
     d = F.abs((F.col("x") - F.col("gx")) * F.col("nx") + (F.col("y") - F.col("gy")) * F.col("ny") + (F.col("z") - F.col("gz")) * F.col("nz"))
-    flat = (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy"))
-    met = p.join(g, ["file_id", "cx", "cy"]).where((flat <= side * side) & (d <= reach))
+    met = p.join(small, ["file_id", "cx", "cy", "cz"]).where(d <= reach)
     best = met.groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "plane_id")).alias("b"))
     return best.select("point_id", F.col("b.plane_id").alias("plane_id"), F.col("b.d").alias("distance"))

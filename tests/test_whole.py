@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from pointloom.operators import knn
-from pointloom.plans import base, neighbours
+from pointloom.operators import cluster, knn
+from pointloom.plans import base, labels, neighbours
+from pointloom.runtime import table
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,29 @@ def test_ties_beyond_the_taken_rows_go_to_the_smaller_id(spark):
     rows = [(i, 0.0, 0.0, 0.0) for i in range(40, 0, -1)]
     got = knn.nearest(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 3).where("point_id = 20").orderBy("rank").collect()
     assert [r["nid"] for r in got] == [1, 2, 3]
+
+
+def test_planes_far_from_their_centroid(spark, data):
+    got = {r["point_id"]: (r["plane_id"], r["distance"]) for r in labels.plane_assignment(spark, data).collect()}
+    g = table(spark, data, "planes").where("normal IS NOT NULL AND centroid IS NOT NULL").select("plane_id", "file_id", "normal", "centroid").distinct().toPandas().sort_values("plane_id")
+    p = base.points(spark, data).select("point_id", "file_id", "x", "y", "z").toPandas()
+    want, far = {}, 0
+    for f, own in p.groupby("file_id"):
+        own_g = g[g["file_id"] == f]
+        if not len(own_g):
+            continue
+        n, c, xyz = np.array(own_g["normal"].tolist()), np.array(own_g["centroid"].tolist()), own[["x", "y", "z"]].to_numpy()
+        d = np.abs(((xyz[:, None] - c) * (n / np.linalg.norm(n, axis=1)[:, None])).sum(2))
+        best = d.argmin(1)
+        for i, k in enumerate(best):
+            if d[i, k] <= 0.5:
+                want[own["point_id"].iloc[i]] = (own_g["plane_id"].iloc[k], d[i, k])
+                far += np.hypot(*(xyz[i] - c[k])[:2]) > 5
+    assert far and set(got) == set(want)
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 and (got[i][0] == want[i][0]) for i in want)
+
+
+def test_plane_of_a_wide_roof(spark):
+    roof = spark.createDataFrame([(7, 1, [0.0, 0.0, 2.0], [0.0, 0.0, 10.0])], "plane_id long, file_id long, normal array<double>, centroid array<double>")
+    p = spark.createDataFrame([(1, 1, 80.0, -60.0, 10.2), (2, 1, 80.0, -60.0, 10.6), (3, 2, 0.0, 0.0, 10.0)], "point_id long, file_id long, x double, y double, z double")
+    assert [(r["point_id"], r["plane_id"]) for r in cluster.nearest_plane(p, roof, 0.5).collect()] == [(1, 7)]
