@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import near
 from pointloom.operators.regions import segment_distance  # noqa: F401 - part of this module's surface
+from pointloom.runtime import cut
+
+#: Points of a patch up to which it is one Arrow group.
+LARGE = 500_000
 
 
 def floors(points: DataFrame, polygons: DataFrame, height: float = 3.0) -> DataFrame:
@@ -98,24 +103,48 @@ def _relative(fn):
 def farthest_points(patches: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The keys, ``point_id`` and ``step`` of n points a patch, each the farthest from those before; the first has the smallest id.
 
-    Patches must be resampled or bounded before: each is one Arrow group. Ties: the smaller id.
+    Exact over all points of a patch. Patches of at most ``LARGE`` points are Arrow groups; a larger one is spread, its
+    points are farthest in partial maxima and one winner a round. Both give the same points. Ties: the smaller id.
     """
     kinds = ", ".join(f"{k} {patches.schema[k].dataType.simpleString()}" for k in keys)
+    p = cut(patches.select(*keys, "point_id", "x", "y", "z"))
+    large = p.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE)
+    large = cut(large.drop("_n"))
 
     def run(t: pa.Table) -> pa.Table:
         ids = t["point_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, xyz = ids[order], np.stack([t[c].to_numpy() for c in ("x", "y", "z")], 1)[order]
-        took, d = [0], ((xyz - xyz[0]) ** 2).sum(1)
+        ids, (x, y, z) = ids[order], (t[c].to_numpy()[order] for c in ("x", "y", "z"))
+        away = lambda i: (x - x[i]) * (x - x[i]) + (y - y[i]) * (y - y[i]) + (z - z[i]) * (z - z[i])
+        took, d = [0], away(0)
+        d[0] = -1
         while len(took) < min(n, len(ids)):
             i = int(d.argmax())
             took.append(i)
-            d = np.minimum(d, ((xyz - xyz[i]) ** 2).sum(1))
+            d = np.minimum(d, away(i))
             d[took] = -1
         cols = {k: pa.array([t[k][0].as_py()] * len(took), t[k].type) for k in keys}
         return pa.table({**cols, "point_id": pa.array(ids[took]), "step": pa.array(range(len(took)), pa.int32())})
 
-    return patches.select(*keys, "point_id", "x", "y", "z").groupBy(*keys).applyInArrow(run, f"{kinds}, point_id long, step int")
+    def same(other: str):
+        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys])
+
+    if large.isEmpty():
+        return p.groupBy(*keys).applyInArrow(run, f"{kinds}, point_id long, step int")
+    out = p.join(F.broadcast(large), same("_"), "left_anti").groupBy(*keys).applyInArrow(run, f"{kinds}, point_id long, step int")
+    rest = cut(p.join(F.broadcast(large), same("_"), "left_semi"))
+    won = None
+    for step in range(n):
+        if won is None:
+            best = rest.groupBy(*keys).agg(F.min(F.struct("point_id", "x", "y", "z")).alias("b"))
+        else:
+            has = won.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.collect_list(F.struct("point_id", "x", "y", "z")).alias("_w"))
+            at = rest.join(F.broadcast(has), same("_")).where(~F.exists("_w", lambda w: w["point_id"] == F.col("point_id")))
+            d = F.array_min(F.transform("_w", lambda w: sum(((F.col(c) - w[c]) * (F.col(c) - w[c]) for c in "yz"), (F.col("x") - w["x"]) * (F.col("x") - w["x"]))))
+            best = at.groupBy(*keys).agg(F.min(F.struct((-d).alias("d"), "point_id", "x", "y", "z")).alias("b"))
+        best = cut(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in ("point_id", "x", "y", "z")], F.lit(step).alias("step")))
+        won = best if won is None else won.unionByName(best)
+    return out.unionByName(won.select(*keys, "point_id", "step"))
 
 
 def samples(resampled: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

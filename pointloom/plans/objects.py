@@ -58,10 +58,9 @@ def tile_analysis(spark, d):
 
 
 def farthest_samples(spark, d):
-    """64 spread points of each patch of at most 512 points."""
-    g = patches.patch_grid(points(spark, d).where("tile <> 'none'").select("point_id", "tile", "x", "y", "z", "classification"), 20.0, 0.1, 50)
-    r = patches.resample(g, ["tile", "px", "py"], 512).where("copy = 1")
-    return buildings.farthest_points(r, ["tile", "px", "py"], 64)
+    """64 spread points of each patch, chosen from all of its points."""
+    g = patches.patch_grid(points(spark, d).where("tile <> 'none'").select("point_id", "tile", "x", "y", "z"), 20.0, 0.1, 50)
+    return buildings.farthest_points(g, ["tile", "px", "py"], 64)
 
 
 def training_samples(spark, d):

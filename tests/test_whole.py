@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from pointloom.operators import cluster, knn
-from pointloom.plans import base, labels, neighbours
+from pointloom.operators import buildings, cluster, knn
+from pointloom.plans import base, labels, neighbours, objects
 from pointloom.runtime import table
 
 
@@ -98,3 +98,26 @@ def test_plane_of_a_wide_roof(spark):
     roof = spark.createDataFrame([(7, 1, [0.0, 0.0, 2.0], [0.0, 0.0, 10.0])], "plane_id long, file_id long, normal array<double>, centroid array<double>")
     p = spark.createDataFrame([(1, 1, 80.0, -60.0, 10.2), (2, 1, 80.0, -60.0, 10.6), (3, 2, 0.0, 0.0, 10.0)], "point_id long, file_id long, x double, y double, z double")
     assert [(r["point_id"], r["plane_id"]) for r in cluster.nearest_plane(p, roof, 0.5).collect()] == [(1, 7)]
+
+
+def test_farthest_samples_read_the_whole_patch(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    xyz = np.round(rng.uniform(0, 18, (900, 3)), 1)
+    p = spark.createDataFrame([(i, "a", *map(float, v)) for i, v in enumerate(xyz)], "point_id long, tile string, x double, y double, z double")
+    monkeypatch.setattr(objects, "points", lambda spark, d: p)
+    want, d = [0], np.full(len(xyz), np.inf)
+    while len(want) < 64:
+        d = np.minimum(d, ((xyz - xyz[want[-1]]) ** 2).sum(1))
+        d[want] = -1
+        want.append(int(d.argmax()))
+    got = [r for r in objects.farthest_samples(spark, "").orderBy("px", "py", "step").collect() if (r["px"], r["py"]) == (0, 0)]
+    assert [r["point_id"] for r in got] == want
+
+
+def test_large_patches_in_rounds_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], i, *map(float, v)) for i, v in enumerate(rng.integers(0, 4, (60, 3)))] + [("c", 99, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "g string, point_id long, x double, y double, z double")
+    small = {tuple(r) for r in buildings.farthest_points(p, ["g"], 5).collect()}
+    monkeypatch.setattr(buildings, "LARGE", 10)
+    assert {tuple(r) for r in buildings.farthest_points(p, ["g"], 5).collect()} == small and len(small) == 11
