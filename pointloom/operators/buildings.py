@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators import near
@@ -31,21 +31,33 @@ def floors(points: DataFrame, polygons: DataFrame, height: float = 3.0) -> DataF
 def best_shifts(points: DataFrame, boxes: DataFrame, step: float = 1.0, most: int = 1, reward: float = 1.0, penalty: float = 1.0) -> DataFrame:
     """``box_id, dx, dy, score``: the shift of each box (``box_id, x0, y0, x1, y1``) that holds most building points and least ground.
 
-    The shifts of a box are rows of it; they meet the points of their 20 m cells in an equi-join and are scored by sums.
+    A point in reach of a box is held by a range of shifts on each axis. The gains go to the corners of these ranges, are
+    summed there and then along both axes, so no point is copied by shift and a box has at most one row a shift.
     Ties: the smallest move, then dx and dy. Boxes without points keep their place with score 0.
     """
-    n = 2 * most + 1
-    s = boxes.where("box_id IS NOT NULL").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
-    s = s.withColumns({"dx": (F.floor(F.col("_k") / n) - most) * step, "dy": (F.col("_k") % n - most) * step}).drop("_k")
-    s = s.select("box_id", "dx", "dy", (F.col("x0") + F.col("dx")).alias("x0"), (F.col("y0") + F.col("dy")).alias("y0"), (F.col("x1") + F.col("dx")).alias("x1"), (F.col("y1") + F.col("dy")).alias("y1"))
-    cells = s
+    s = boxes.where("box_id IS NOT NULL").select("box_id", "x0", "y0", "x1", "y1")
+    cells, far = s, most * step
     for c in "xy":
-        cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / 20).cast("long"), F.floor(F.col(f"{c}1") / 20).cast("long"))))
+        cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"{c}0") - far) / 20).cast("long"), F.floor((F.col(f"{c}1") + far) / 20).cast("long"))))
     gain = F.when(F.col("classification") == 6, reward).when(F.col("classification") == 2, -penalty).otherwise(0.0)
     p = points.select("x", "y", gain.alias("gain"), *[F.floor(F.col(c) / 20).cast("long").alias(f"c{c}") for c in "xy"]).where("gain <> 0")
-    met = p.join(cells, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    score = met.groupBy("box_id", "dx", "dy").agg(F.sum("gain").alias("score"))
-    every = s.select("box_id", "dx", "dy").join(score, ["box_id", "dx", "dy"], "left").fillna(0.0, ["score"])
+    met = p.join(cells, ["cx", "cy"]).where(F.col("x").between(F.col("x0") - far, F.col("x1") + far) & F.col("y").between(F.col("y0") - far, F.col("y1") + far))
+    for c in "xy":
+        # The last shift whose lower edge is not beyond the point, the first whose upper edge is not before it; divisions may round.
+        g = F.floor((F.col(c) - F.col(f"{c}0")) / step)
+        last = F.when(F.col(f"{c}0") + (g + 1) * step <= F.col(c), g + 1).when(F.col(f"{c}0") + g * step > F.col(c), g - 1).otherwise(g)
+        g = F.ceil((F.col(c) - F.col(f"{c}1")) / step)
+        first = F.when(F.col(f"{c}1") + (g - 1) * step >= F.col(c), g - 1).when(F.col(f"{c}1") + g * step < F.col(c), g + 1).otherwise(g)
+        met = met.withColumns({f"{c}a": F.greatest(first, F.lit(-most)).cast("int"), f"{c}b": (F.least(last, F.lit(most)) + 1).cast("int")})
+    spans = met.where("xa < xb AND ya < yb").groupBy("box_id", "xa", "xb", "ya", "yb").agg(F.sum("gain").alias("gain"))
+    corner = lambda i, j, sign: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (F.col("gain") * sign).alias("gain"))
+    ends = spans.select("box_id", F.inline(F.array(corner("xa", "ya", 1), corner("xb", "ya", -1), corner("xa", "yb", -1), corner("xb", "yb", 1)))).where((F.col("i") <= most) & (F.col("j") <= most))
+    side = F.sequence(F.lit(-most), F.lit(most))
+    every = s.select("box_id").distinct().withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).withColumn("gain", F.lit(0.0))
+    sums = every.unionByName(ends).groupBy("box_id", "i", "j").agg(F.sum("gain").alias("score")).repartition("box_id")
+    for a, b in ("ij", "ji"):
+        sums = sums.withColumn("score", F.sum("score").over(Window.partitionBy("box_id", a).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)))
+    every = sums.select("box_id", (F.col("i") * step).alias("dx"), (F.col("j") * step).alias("dy"), "score")
     move = F.abs("dx") + F.abs("dy")
     best = every.groupBy("box_id").agg(F.max(F.struct("score", (-move).alias("m"), (-F.col("dx")).alias("ax"), (-F.col("dy")).alias("ay"))).alias("b"))
     return best.select("box_id", (-F.col("b.ax")).alias("dx"), (-F.col("b.ay")).alias("dy"), F.col("b.score").alias("score"))

@@ -18,9 +18,10 @@ def building_floors(spark, d):
 
 
 def footprint_shifts(spark, d):
+    """The best shift of each building's extent, of up to 5 m on each axis in steps of 0.5 m."""
     b = table(spark, d, "polygons").where(F.col("layer").isin("buildings") & finite("xmin", "ymin", "xmax", "ymax"))
     b = b.select(F.col("poly_id").alias("box_id"), F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), F.col("xmax").alias("x1"), F.col("ymax").alias("y1")).distinct()
-    return buildings.best_shifts(points(spark, d), b)
+    return buildings.best_shifts(points(spark, d), b, step=0.5, most=10)
 
 
 def cluster_hulls(spark, d):

@@ -121,3 +121,25 @@ def test_large_patches_in_rounds_give_the_same(spark, monkeypatch):
     small = {tuple(r) for r in buildings.farthest_points(p, ["g"], 5).collect()}
     monkeypatch.setattr(buildings, "LARGE", 10)
     assert {tuple(r) for r in buildings.farthest_points(p, ["g"], 5).collect()} == small and len(small) == 11
+
+
+def test_footprints_shift_over_the_whole_window(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.uniform([3.5, -4.0], [8.5, 0.5], (150, 2)), np.round(rng.uniform(-8, 14, (250, 2)) * 2) / 2])
+    cls = np.array([6] * 150 + [2, 6] * 125)
+    p = spark.createDataFrame([(float(x), float(y), int(c)) for (x, y), c in zip(xy, cls)], "x double, y double, classification int")
+    boxes = {1: (0.0, 0.0, 5.0, 4.5), 2: (-3.0, -3.5, 1.0, 2.0), 3: (500.0, 0.0, 501.0, 1.0)}
+    polygons = spark.createDataFrame([(k, "buildings", *b) for k, b in boxes.items()], "poly_id long, layer string, xmin double, ymin double, xmax double, ymax double")
+    monkeypatch.setattr(objects, "points", lambda spark, d: p)
+    monkeypatch.setattr(objects, "table", lambda spark, d, name: polygons)
+    got = {r["box_id"]: (r["dx"], r["dy"], r["score"]) for r in objects.footprint_shifts(spark, "").collect()}
+    gain, want = np.where(cls == 6, 1.0, -1.0), {}
+    for k, (x0, y0, x1, y1) in boxes.items():
+        scores = []
+        for dx in np.arange(-5, 5.1, 0.5):
+            for dy in np.arange(-5, 5.1, 0.5):
+                held = (xy[:, 0] >= x0 + dx) & (xy[:, 0] <= x1 + dx) & (xy[:, 1] >= y0 + dy) & (xy[:, 1] <= y1 + dy)
+                scores.append((-gain[held].sum(), abs(dx) + abs(dy), dx, dy))
+        s, _, dx, dy = min(scores)
+        want[k] = (dx, dy, -s)
+    assert got == want and max(abs(want[1][0]), abs(want[1][1])) > 1
