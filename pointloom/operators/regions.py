@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators import near
-from pointloom.runtime import finite, only
+from pointloom.runtime import cut, finite, only
 
 
 def overlay(points: DataFrame, polygons: DataFrame, attributes: list[str], first: bool = True) -> DataFrame:
@@ -97,14 +99,29 @@ def raster(points: DataFrame, value, size: float) -> DataFrame:
     return points.groupBy(F.floor(F.col("y") / size).cast("long").alias("row"), F.floor(F.col("x") / size).cast("long").alias("col")).agg(value.alias("value")).where("value IS NOT NULL")
 
 
-def sample_raster(points: DataFrame, cells: DataFrame, size: float, default: float | None = None) -> DataFrame:
-    """``point_id, value``: the cell under each point, else the mean of the valid cells around it, else the default."""
-    p = points.select("point_id", F.floor(F.col("y") / size).cast("long").alias("row"), F.floor(F.col("x") / size).cast("long").alias("col"))
-    direct = p.join(cells, ["row", "col"], "left")
-    around = cells.withColumn("row", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1))).withColumn("col", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)))
-    around = around.groupBy("row", "col").agg(F.avg("value").alias("around"))
-    out = direct.join(around, ["row", "col"], "left")
-    return out.select("point_id", F.coalesce("value", "around", F.lit(default).cast("double")).alias("value"))
+def sample_raster(points: DataFrame, cells: DataFrame, size: float, default: float | None = None, reach: float = 10.0) -> DataFrame:
+    """``point_id, value``: the cell under each point, else the valid cell whose middle is nearest within ``reach`` (ties: the
+    smaller row, then col), else the default.
+
+    Points over no valid cell look at the 3 x 3 cells around; those to which a cell farther off may be nearer look at all in reach.
+    """
+    p = points.select("point_id", "x", "y", F.floor(F.col("y") / size).cast("long").alias("row"), F.floor(F.col("x") / size).cast("long").alias("col"))
+    direct = cut(p.join(cells, ["row", "col"], "left"))
+    c = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    todo, out = direct.where("value IS NULL").drop("value"), direct.where("value IS NOT NULL").select("point_id", "value")
+    most = max(1, math.floor(reach / size + 0.5))
+    for ring in sorted({1, most}):
+        at = todo
+        for k, v in (("_r", "row"), ("_c", "col")):
+            at = at.withColumn(k, F.explode(F.sequence(F.col(v) - ring, F.col(v) + ring)))
+        dx, dy = F.col("x") - (F.col("_c") + 0.5) * size, F.col("y") - (F.col("_r") + 0.5) * size
+        d = F.sqrt(dx * dx + dy * dy)
+        best = at.join(c, ["_r", "_c"]).where(d <= reach).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "_r", "_c", "value")).alias("b"))
+        # Cells beyond the ring are at least half a cell more than it away.
+        got = cut(todo.join(best, "point_id", "left").withColumn("_done", F.coalesce(F.col("b.d") < (ring + 0.5) * size, F.lit(False)) | F.lit(ring == most)))
+        out = out.union(got.where("_done").select("point_id", F.coalesce("b.value", F.lit(default).cast("double"))))
+        todo = got.where("NOT _done").select("point_id", "x", "y", "row", "col")
+    return out
 
 
 def touching_tiles(tiles: DataFrame, slack: float = 10.0) -> DataFrame:

@@ -54,7 +54,7 @@ def nearest_buildings(spark, d):
 
 
 def terrain_heights(spark, d):
-    """Heights above a raster of the ground (mean of the ground points of 2 m cells, or of the cells around)."""
+    """Heights above a raster of the ground (the lowest ground point of 2 m cells, or the nearest such cell within 10 m)."""
     ps = points(spark, d)
     ground = regions.raster(ps.where("classification = 2"), F.min("z"), 2.0)
     at = regions.sample_raster(ps, ground, 2.0)

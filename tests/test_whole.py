@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pointloom.operators import buildings, cluster, knn
+from pointloom.operators import buildings, cluster, knn, regions
 from pointloom.plans import base, labels, neighbours, objects
 from pointloom.runtime import table
 
@@ -143,3 +143,19 @@ def test_footprints_shift_over_the_whole_window(spark, monkeypatch):
         s, _, dx, dy = min(scores)
         want[k] = (dx, dy, -s)
     assert got == want and max(abs(want[1][0]), abs(want[1][1])) > 1
+
+
+def test_raster_gaps_take_the_nearest_cell_within_reach(spark):
+    rng = np.random.default_rng(8)
+    cells = {(int(r), int(c)): float(i) for i, (r, c) in enumerate(rng.integers(-15, 15, (25, 2)))}
+    xy = rng.uniform(-40, 40, (300, 2))
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "point_id long, x double, y double")
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "row long, col long, value double")
+    got = {r["point_id"]: r["value"] for r in regions.sample_raster(p, df, 2.0).collect()}
+    want, far = {}, 0
+    for i, (x, y) in enumerate(xy):
+        own = (int(np.floor(y / 2)), int(np.floor(x / 2)))
+        d, _, v = min((np.hypot(x - (c + 0.5) * 2, y - (r + 0.5) * 2), (r, c), v) for (r, c), v in cells.items())
+        want[i] = cells[own] if own in cells else v if d <= 10 else None
+        far += 4.3 < d <= 10
+    assert far and got == want and None in want.values()
