@@ -11,14 +11,20 @@ POINT = ["file_id", "tile_id", "idx", "x", "y", "z", "intensity", "return_number
 FEATURE = ["nx", "ny", "nz", "planarity", "linearity", "sphericity", "anisotropy", "verticality", "omnivariance", "eigenentropy", "curvature", "roughness", "density", "height"]
 
 
+def tile_name(x: Column, y: Column) -> Column:
+    """The name of the kilometre tile of a place, by its south-west corner."""
+    return F.format_string("T%04d_%04d", F.floor(x / 1000).cast("int"), F.floor(y / 1000).cast("int"))
+
+
 def current_points(points: DataFrame) -> DataFrame:
     """One row per point with finite x, y, z: the latest ingested (NULL earliest), of equal ones the greatest by its values.
 
-    Partial maxima are taken before the one shuffle. ``tile`` is ``tile_id``, or 'none' where that is NULL.
+    Partial maxima are taken before the one shuffle. ``tile`` is ``tile_id``, or the kilometre
+    tile that the place lies in where that is NULL.
     """
     p = only(points, "point_id", "ingested_at", *POINT).where(F.col("point_id").isNotNull() & finite("x", "y", "z"))
     last = p.groupBy("point_id").agg(F.max(F.struct("ingested_at", "classification", *[c for c in POINT if c != "classification"])).alias("p"))
-    return last.select("point_id", *[F.col(f"p.{c}").alias(c) for c in POINT], F.coalesce("p.tile_id", F.lit("none")).alias("tile"))
+    return last.select("point_id", *[F.col(f"p.{c}").alias(c) for c in POINT], F.coalesce("p.tile_id", tile_name(F.col("p.x"), F.col("p.y"))).alias("tile"))
 
 
 def current_features(features: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
 
 
 def voxel_majority(points: DataFrame, size: float, label: str = "classification", measures: list[str] = ["intensity"]) -> DataFrame:
-    """One row per voxel: the most frequent label (ties: the lowest) and the means of some columns."""
+    """One row per voxel: the most frequent label (ties: the lowest) and the means of some columns (summed in whole millionths)."""
     keys = [f"v{c}" for c in "xyz"]
     at = points.withColumns({f"v{c}": cell(c, size) for c in "xyz"})
-    by = at.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(f"s_{m}") for m in measures], *[F.count(m).alias(f"c_{m}") for m in measures])
+    by = at.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(F.col(m) * 10**6).cast("long")).alias(f"s_{m}") for m in measures], *[F.count(m).alias(f"c_{m}") for m in measures])
     best = F.max(F.struct("n", (-F.col(label)).alias("minus")))
-    out = by.groupBy(*keys).agg(best.alias("best"), F.sum("n").alias("points"), *[F.try_divide(F.sum(f"s_{m}"), F.sum(f"c_{m}")).alias(f"mean_{m}") for m in measures])
+    out = by.groupBy(*keys).agg(best.alias("best"), F.sum("n").alias("points"), *[(F.try_divide(F.sum(f"s_{m}").cast("double"), F.sum(f"c_{m}")) / 10**6).alias(f"mean_{m}") for m in measures])
     return out.select(*keys, (-F.col("best.minus")).alias("label"), "points", *[f"mean_{m}" for m in measures])
 
 
@@ -47,7 +47,7 @@ def ground_gaps(points: DataFrame, size: float, least: float, ground: int = 2) -
     """
     at = points.withColumns({"gx": cell("x", size), "gy": cell("y", size)})
     spine = at.groupBy("tile").agg(*[f(c).alias(n) for c, f, n in (("gx", F.min, "x0"), ("gx", F.max, "x1"), ("gy", F.min, "y0"), ("gy", F.max, "y1"))])
-    spine = spine.where("tile <> 'none'").withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).select("tile", "gx", "gy")
+    spine = spine.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).select("tile", "gx", "gy")
     counts = at.where(F.col("classification") == ground).groupBy("tile", "gx", "gy").agg(F.count(F.lit(1)).alias("ground"))
     out = spine.join(counts, ["tile", "gx", "gy"], "left").withColumn("density", F.coalesce("ground", F.lit(0)) / (size * size))
     return out.where(F.col("density") < least).select("tile", "gx", "gy", "density")

@@ -118,7 +118,7 @@ def fill_ground(points: DataFrame, spacing: float, apart: float, tile: str = "ti
     it, and nodes without any get no point. Columns ``tile, x, y, z, synthetic``.
     """
     g = points.where(F.col("classification") == ground).select("x", "y", "z")
-    span = points.where(F.col(tile) != "none").groupBy(tile).agg(*[f(F.floor(F.col(c) / spacing)).cast("long").alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
+    span = points.groupBy(tile).agg(*[f(F.floor(F.col(c) / spacing)).cast("long").alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
     nodes = span.withColumn("i", F.explode(F.sequence("x0", "x1"))).withColumn("j", F.explode(F.sequence("y0", "y1"))).select(tile, (F.col("i") * spacing).alias("x"), (F.col("j") * spacing).alias("y"))
     wide = g.groupBy(F.floor(F.col("x") / 10).cast("long").alias("cx"), F.floor(F.col("y") / 10).cast("long").alias("cy")).agg(F.sum(F.round(F.col("z") * 10**6).cast("long")).alias("s"), F.count("z").alias("n"))
     for c in ("cx", "cy"):

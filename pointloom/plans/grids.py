@@ -31,11 +31,11 @@ def ground_gaps(spark, d):
 
 
 def spatial_artifacts(spark, d):
-    return grid.spatial_artifacts(points(spark, d).where("tile <> 'none'"), "z")
+    return grid.spatial_artifacts(points(spark, d), "z")
 
 
 def dash_lines(spark, d):
-    return grid.dash_lines(points(spark, d).where("tile <> 'none'"), "z")
+    return grid.dash_lines(points(spark, d), "z")
 
 
 def class_distribution(spark, d):
@@ -59,7 +59,7 @@ def file_info(spark, d):
 
 def group_features(spark, d):
     """Per file (a group of points): area, density, means, deviations, range and median of the features."""
-    g = features(spark, d).groupBy("file_id")
+    g = features(spark, d, "height", "planarity", "curvature", "nz").groupBy("file_id")
     area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
     out = g.agg(
         F.count(F.lit(1)).alias("n"), area.alias("raw_area"), F.avg("height").alias("mean_height"), F.stddev_pop("height").alias("std_height"), (F.max("height") - F.min("height")).alias("range_height"),
@@ -73,7 +73,7 @@ def _predicted(spark, d):
     """Stored labels against those of a simple height rule."""
     h = F.col("height")
     rule = F.when(h < 0.5, 2).when(h < 2, 3).when(h < 5, 4).when(F.col("planarity") > 0.7, 6).otherwise(5)
-    return features(spark, d).withColumn("predicted", rule)
+    return features(spark, d, "height", "planarity").withColumn("predicted", rule)
 
 
 def confusion(spark, d):
@@ -115,6 +115,7 @@ QUERIES = {
 }
 
 _C = ", ".join(f"floor({c} / 2.0)::BIGINT AS v{c}" for c in "xyz")
+_HP = "height planarity"
 _PRED = ", Q AS (SELECT *, CASE WHEN height < 0.5 THEN 2 WHEN height < 2 THEN 3 WHEN height < 5 THEN 4 WHEN planarity > 0.7 THEN 6 ELSE 5 END AS predicted FROM F), M AS (SELECT classification AS reference, predicted, count(*) AS n FROM Q WHERE classification IS NOT NULL GROUP BY ALL)"
 _CAL = (
     _PRED
@@ -124,7 +125,7 @@ C AS (SELECT s.bin::INT AS bin, coalesce(n, 0) AS n, coalesce(accuracy, 0) AS ac
 
 
 def _bins(axis: str, bins: int) -> str:
-    return f"""(SELECT *, CASE WHEN b > a THEN floor(({axis} - a) * {bins} / (b - a)) + 1 ELSE {bins + 1} END::INT AS bin FROM (SELECT *, min({axis}) OVER (PARTITION BY tile) AS a, max({axis}) OVER (PARTITION BY tile) AS b FROM P WHERE tile <> 'none'))"""
+    return f"""(SELECT *, CASE WHEN b > a THEN floor(({axis} - a) * {bins} / (b - a)) + 1 ELSE {bins + 1} END::INT AS bin FROM (SELECT *, min({axis}) OVER (PARTITION BY tile) AS a, max({axis}) OVER (PARTITION BY tile) AS b FROM P))"""
 
 
 def _cv(axis: str) -> str:
@@ -134,13 +135,13 @@ def _cv(axis: str) -> str:
 SQL = {
     "voxel_centroids": p(f"SELECT vx, vy, vz, sum(round(x * 1000000)::BIGINT)::DOUBLE / count(x) / 1000000 AS x, sum(round(y * 1000000)::BIGINT)::DOUBLE / count(y) / 1000000 AS y, sum(round(z * 1000000)::BIGINT)::DOUBLE / count(z) / 1000000 AS z, count(*) AS n, min(point_id) AS point_id FROM (SELECT *, {_C} FROM P) GROUP BY vx, vy, vz"),
     "voxel_labels": p(
-        f"""SELECT vx, vy, vz, classification AS label, points, mean_intensity FROM (SELECT vx, vy, vz, classification, n, sum(n) OVER w AS points, sum(s) OVER w / sum(c) OVER w AS mean_intensity, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY n DESC, classification) AS r
-        FROM (SELECT vx, vy, vz, classification, count(*) AS n, sum(intensity) AS s, count(intensity) AS c FROM (SELECT *, {_C} FROM P WHERE classification IS NOT NULL) GROUP BY ALL) WINDOW w AS (PARTITION BY vx, vy, vz)) WHERE r = 1"""),
+        f"""SELECT vx, vy, vz, classification AS label, points, mean_intensity FROM (SELECT vx, vy, vz, classification, n, sum(n) OVER w AS points, (sum(s) OVER w)::DOUBLE / (sum(c) OVER w) / 1000000 AS mean_intensity, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY n DESC, classification) AS r
+        FROM (SELECT vx, vy, vz, classification, count(*) AS n, sum(round(intensity * 1000000)::BIGINT) AS s, count(intensity) AS c FROM (SELECT *, {_C} FROM P WHERE classification IS NOT NULL) GROUP BY ALL) WINDOW w AS (PARTITION BY vx, vy, vz)) WHERE r = 1"""),
     "height_map": p("SELECT floor(x / 5)::BIGINT AS bx, floor(y / 5)::BIGINT AS by, sum(round(z * 1000000)::BIGINT)::DOUBLE / count(z) / 1000000 AS mean, count(z) AS n FROM P GROUP BY 1, 2"),
     "ground_density": p("SELECT floor(x / 5)::BIGINT AS gx, floor(y / 5)::BIGINT AS gy, count(*) AS n, count(*) FILTER (classification = 2) AS ground, count(*) FILTER (classification = 2) / 25.0 AS density FROM P GROUP BY 1, 2"),
     "ground_gaps": p(
         """SELECT tile, gx, gy, coalesce(ground, 0) / 25.0 AS density FROM (SELECT tile, gx, unnest(range(y0, y1 + 1)) AS gy FROM (SELECT tile, y0, y1, unnest(range(x0, x1 + 1)) AS gx FROM (
-        SELECT tile, min(floor(x / 5))::BIGINT AS x0, max(floor(x / 5))::BIGINT AS x1, min(floor(y / 5))::BIGINT AS y0, max(floor(y / 5))::BIGINT AS y1 FROM P WHERE tile <> 'none' GROUP BY tile)))
+        SELECT tile, min(floor(x / 5))::BIGINT AS x0, max(floor(x / 5))::BIGINT AS x1, min(floor(y / 5))::BIGINT AS y0, max(floor(y / 5))::BIGINT AS y1 FROM P GROUP BY tile)))
         LEFT JOIN (SELECT tile, floor(x / 5)::BIGINT AS gx, floor(y / 5)::BIGINT AS gy, count(*) AS ground FROM P WHERE classification = 2 GROUP BY ALL) USING (tile, gx, gy) WHERE coalesce(ground, 0) / 25.0 < 0.5"""),
     "spatial_artifacts": p(
         f"""SELECT tile, coalesce(cv_x, 0) AS cv_x, coalesce(cv_y, 0) AS cv_y, greatest(coalesce(cv_x, 0), coalesce(cv_y, 0)) AS max_cv,
@@ -160,18 +161,18 @@ SQL = {
     "group_features": f(
         """SELECT file_id, n, area, n / area AS point_density, mean_height, std_height, range_height, mean_planarity, mean_curvature, median_nz FROM (SELECT file_id, count(*) AS n,
         CASE WHEN (max(x) - min(x)) * (max(y) - min(y)) > 0 THEN (max(x) - min(x)) * (max(y) - min(y)) ELSE 1 END AS area, avg(height) AS mean_height, stddev_pop(height) AS std_height, max(height) - min(height) AS range_height,
-        avg(planarity) AS mean_planarity, avg(curvature) AS mean_curvature, quantile_cont(nz, 0.5) AS median_nz FROM F GROUP BY file_id)"""),
-    "confusion": f("SELECT * FROM M", _PRED),
+        avg(planarity) AS mean_planarity, avg(curvature) AS mean_curvature, quantile_cont(nz, 0.5) AS median_nz FROM F GROUP BY file_id)""", read="height planarity curvature nz"),
+    "confusion": f("SELECT * FROM M", _PRED, _HP),
     "class_metrics": f(
         """SELECT label, support, found, coalesce(tp / nullif(found, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(found + support, 0), 0) AS f1, coalesce(tp / nullif(found + support - tp, 0), 0) AS iou
         FROM (SELECT coalesce(a.label, b.label) AS label, coalesce(support, 0)::BIGINT AS support, coalesce(found, 0)::BIGINT AS found, coalesce(tp, 0)::DOUBLE AS tp FROM (SELECT reference AS label, sum(n) AS support, sum(n) FILTER (reference = predicted) AS tp FROM M GROUP BY 1) AS a
-        FULL JOIN (SELECT predicted AS label, sum(n) AS found FROM M GROUP BY 1) AS b USING (label))""", _PRED),
+        FULL JOIN (SELECT predicted AS label, sum(n) AS found FROM M GROUP BY 1) AS b USING (label))""", _PRED, _HP),
     "agreement": f(
         """SELECT n::BIGINT AS n, po AS accuracy, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 0 END AS kappa FROM (SELECT sum(n) AS n, sum(n) FILTER (reference = predicted) / sum(n)::DOUBLE AS po FROM M),
-        (SELECT sum(r::DOUBLE * c) / any_value(t) / any_value(t) AS pe FROM (SELECT reference AS label, sum(n) AS r FROM M GROUP BY 1) JOIN (SELECT predicted AS label, sum(n) AS c FROM M GROUP BY 1) USING (label), (SELECT sum(n)::DOUBLE AS t FROM M))""", _PRED),
-    "confused_pairs": f("SELECT least(reference, predicted) AS label_a, greatest(reference, predicted) AS label_b, sum(n)::BIGINT AS n FROM M WHERE reference <> predicted GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 5", _PRED),
-    "calibration": f("SELECT * FROM C", _CAL),
-    "calibration_error": f("SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM C", _CAL),
+        (SELECT sum(r::DOUBLE * c) / any_value(t) / any_value(t) AS pe FROM (SELECT reference AS label, sum(n) AS r FROM M GROUP BY 1) JOIN (SELECT predicted AS label, sum(n) AS c FROM M GROUP BY 1) USING (label), (SELECT sum(n)::DOUBLE AS t FROM M))""", _PRED, _HP),
+    "confused_pairs": f("SELECT least(reference, predicted) AS label_a, greatest(reference, predicted) AS label_b, sum(n)::BIGINT AS n FROM M WHERE reference <> predicted GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 5", _PRED, _HP),
+    "calibration": f("SELECT * FROM C", _CAL, _HP),
+    "calibration_error": f("SELECT sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM C", _CAL, _HP),
     "feature_statistics": "WITH L AS (SELECT * FROM point_features WHERE point_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY enriched_at DESC NULLS LAST) = 1) " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS least, max(v) AS greatest, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (isnan({c})) AS nans, count(*) FILTER (isinf({c})) AS infs
         FROM (SELECT *, CASE WHEN isfinite({c}) THEN {c}::DOUBLE END AS v FROM L)""" for c in FEATURE),

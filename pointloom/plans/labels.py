@@ -26,6 +26,10 @@ def spectral_labels(spark, d):
     return rules.apply_levels(bands(spark, d), [(cascade, "first")]).select(*KEYS, "label", "rule", "confidence")
 
 
+#: What these rules read.
+_READ = ("height", "planarity", "verticality", "curvature")
+
+
 def _votes():
     h, plan, vert, curv = (F.col(c) for c in ("height", "planarity", "verticality", "curvature"))
     return [
@@ -35,26 +39,26 @@ def _votes():
 
 
 def first_rule(spark, d):
-    return rules.apply_levels(features(spark, d), [(_votes(), "first")]).select("point_id", "label", "rule", "confidence")
+    return rules.apply_levels(features(spark, d, *_READ), [(_votes(), "first")]).select("point_id", "label", "rule", "confidence")
 
 
 def best_rule(spark, d):
-    return rules.apply_levels(features(spark, d), [(_votes(), "best")]).select("point_id", "label", "rule", "confidence")
+    return rules.apply_levels(features(spark, d, *_READ), [(_votes(), "best")]).select("point_id", "label", "rule", "confidence")
 
 
 def weighted_rules(spark, d):
-    return rules.apply_levels(features(spark, d), [(_votes(), "weighted")], "classification").select("point_id", "label", "confidence")
+    return rules.apply_levels(features(spark, d, *_READ), [(_votes(), "weighted")], "classification").select("point_id", "label", "confidence")
 
 
 def rule_levels(spark, d):
     """Two levels: the roof and wall rules by priority, then the others by confidence; what is left keeps its class."""
     v = _votes()
-    return rules.apply_levels(features(spark, d), [(v[:2], "priority"), (v[2:], "best")], "classification").select("point_id", "label", "rule")
+    return rules.apply_levels(features(spark, d, *_READ), [(v[:2], "priority"), (v[2:], "best")], "classification").select("point_id", "label", "rule")
 
 
 def merged_results(spark, d):
     """Three sources of labels per point, merged by the highest confidence and by vote."""
-    fs = features(spark, d)
+    fs = features(spark, d, "planarity", "height")
     made = [(0, F.col("classification"), F.lit(0.5), 1), (1, F.when(F.col("planarity") > 0.7, 6).otherwise(0), F.col("planarity"), 3), (2, F.when(F.col("height") < 0.5, 2).otherwise(5), F.lit(0.55), 2)]
     three = F.array(*[F.struct(F.lit(s).alias("source"), lab.alias("label"), c.alias("confidence"), F.lit(pr).alias("priority")) for s, lab, c, pr in made])
     long = fs.select("point_id", F.inline(three))
@@ -66,7 +70,7 @@ def merged_results(spark, d):
 
 def ndvi_labels(spark, d):
     """Vegetation by the stored index and the height over the tile's ground, then what has none, then vegetation without index."""
-    fs = features(spark, d).where(~F.isnan("ndvi") & F.col("ndvi").isNotNull() & F.col("classification").isNotNull())
+    fs = features(spark, d, "height").where(~F.isnan("ndvi") & F.col("ndvi").isNotNull() & F.col("classification").isNotNull())
     n, h, c = F.col("ndvi"), F.col("height"), F.col("classification")
     # The levels of the index and the heights that part low, medium and high vegetation.
     free = ~c.isin(1, 2, 3, 4, 5)
@@ -82,12 +86,12 @@ def basic_labels(spark, d):
     # The height bands and the planarity of surfaces.
     flat = F.col("planarity") > 0.7
     band = F.when(h < 0.5, 2).when(h < 2, 3).when(h < 5, 4).otherwise(5)
-    return features(spark, d).select("point_id", F.when(flat & (h >= 1.5), 6).when(flat & (h < 0.5), 2).otherwise(band).alias("label"))
+    return features(spark, d, "height", "planarity").select("point_id", F.when(flat & (h >= 1.5), 6).when(flat & (h < 0.5), 2).otherwise(band).alias("label"))
 
 
 def label_errors(spark, d):
     """Labels that the features contradict, one boolean per kind."""
-    fs = features(spark, d)
+    fs = features(spark, d, "height", "planarity")
     c, h = F.col("classification"), F.col("height")
     return fs.select("point_id", F.coalesce((c == 6) & (h < 1), F.lit(False)).alias("low_building"), F.coalesce((c == 2) & (h > 2), F.lit(False)).alias("high_ground"), F.coalesce(c.isin(3, 4, 5) & (F.col("planarity") > 0.9), F.lit(False)).alias("flat_vegetation"))
 
@@ -143,6 +147,7 @@ def _best(names) -> str:
     return "list_max([" + ", ".join(f"CASE WHEN {_R[n][0]} THEN {{'c': ({_R[n][2]})::DOUBLE, 'o': {-i}, 'l': {_R[n][1]}, 'n': '{n}'}} END" for i, n in enumerate(names)) + "])"
 
 
+_SQL_READ = " ".join(_READ)
 _TOTAL = " + ".join(f"(CASE WHEN {c} THEN {w} ELSE 0 END)" for c, _, _, w in _R.values())
 _WEIGHTED = "list_max([" + ", ".join(
     "CASE WHEN " + " OR ".join(f"({c})" for c, lab, _, _ in _R.values() if lab == label) + " THEN {'c': ((" + " + ".join(f"(CASE WHEN {c} THEN ({s}) * {w} ELSE 0 END)" for c, lab, s, w in _R.values() if lab == label) + f") / ({_TOTAL}))::DOUBLE, 'o': {-label}, 'l': {label}}} END"
@@ -156,20 +161,20 @@ SQL = {
         WHEN v > 0.05 AND v <= 0.12 AND nir > 0.25 AND nir < 0.45 AND br > 0.35 AND g THEN 'sparse' WHEN v < -0.1 AND nir < 0.2 AND br < 0.3 THEN 'water' WHEN nir >= 0.3 AND nir < 0.35 AND br >= 0.4 AND br <= 0.7 AND v < 0.15 THEN 'concrete'
         WHEN nir >= 0.2 AND nir <= 0.5 AND br >= 0.5 AND br <= 0.8 AND v < 0.2 THEN 'metal' WHEN nir < 0.15 AND br < 0.3 AND v < 0.1 THEN 'asphalt' END AS rule
         FROM (SELECT *, (nir - red) / (nir + red + 1e-8) AS v, (red + green + blue) / 3 AS br, green > red AND green > blue AS g FROM B))"""),
-    "first_rule": f(f"SELECT point_id, coalesce({_first(_R, lambda n: _R[n][1])}, 0) AS label, {_first(_R, lambda n: repr(n))} AS rule, coalesce({_first(_R, lambda n: _R[n][2])}, 0) AS confidence FROM F"),
-    "best_rule": f(f"SELECT point_id, coalesce(d.l, 0) AS label, d.n AS rule, coalesce(d.c, 0) AS confidence FROM (SELECT point_id, {_best(list(_R))} AS d FROM F)"),
-    "weighted_rules": f(f"SELECT point_id, coalesce(d.l, classification) AS label, coalesce(d.c, 0) AS confidence FROM (SELECT point_id, classification, {_WEIGHTED} AS d FROM F)"),
-    "rule_levels": f(f"SELECT point_id, coalesce(a, d.l, classification) AS label, coalesce(r, d.n) AS rule FROM (SELECT point_id, classification, {_first(['roof', 'wall'], lambda n: _R[n][1])} AS a, {_first(['roof', 'wall'], lambda n: repr(n))} AS r, {_best(['ground', 'low', 'tree'])} AS d FROM F)"),
+    "first_rule": f(f"SELECT point_id, coalesce({_first(_R, lambda n: _R[n][1])}, 0) AS label, {_first(_R, lambda n: repr(n))} AS rule, coalesce({_first(_R, lambda n: _R[n][2])}, 0) AS confidence FROM F", read=_SQL_READ),
+    "best_rule": f(f"SELECT point_id, coalesce(d.l, 0) AS label, d.n AS rule, coalesce(d.c, 0) AS confidence FROM (SELECT point_id, {_best(list(_R))} AS d FROM F)", read=_SQL_READ),
+    "weighted_rules": f(f"SELECT point_id, coalesce(d.l, classification) AS label, coalesce(d.c, 0) AS confidence FROM (SELECT point_id, classification, {_WEIGHTED} AS d FROM F)", read=_SQL_READ),
+    "rule_levels": f(f"SELECT point_id, coalesce(a, d.l, classification) AS label, coalesce(r, d.n) AS rule FROM (SELECT point_id, classification, {_first(['roof', 'wall'], lambda n: _R[n][1])} AS a, {_first(['roof', 'wall'], lambda n: repr(n))} AS r, {_best(['ground', 'low', 'tree'])} AS d FROM F)", read=_SQL_READ),
     "merged_results": f(
         """SELECT point_id, max_by(label, o1) AS best, any_value(vote) AS vote, max_by(label, o2) AS prior FROM (SELECT *, {'a': c, 'b': -s} AS o1, {'a': pr, 'b': -s} AS o2 FROM R) JOIN (
         SELECT point_id, max_by(label, {'a': t, 'b': -label}) AS vote FROM (SELECT point_id, label, sum(c) AS t FROM R GROUP BY ALL) GROUP BY point_id) USING (point_id) GROUP BY point_id""",
         """, R AS (SELECT * FROM (SELECT point_id, 0 AS s, classification AS label, 0.5::DOUBLE AS c, 1 AS pr FROM F UNION ALL SELECT point_id, 1, CASE WHEN planarity > 0.7 THEN 6 ELSE 0 END, planarity, 3 FROM F
-        UNION ALL SELECT point_id, 2, CASE WHEN height < 0.5 THEN 2 ELSE 5 END, 0.55, 2 FROM F) WHERE label IS NOT NULL AND label <> 0)"""),
+        UNION ALL SELECT point_id, 2, CASE WHEN height < 0.5 THEN 2 ELSE 5 END, 0.55, 2 FROM F) WHERE label IS NOT NULL AND label <> 0)""", "planarity height"),
     "ndvi_labels": f(
         f"""SELECT point_id, coalesce(CASE WHEN two = 1 AND n >= 0.2 THEN {_VEG} END, two) AS label FROM (SELECT *, CASE WHEN one IN (3, 4, 5) AND n <= 0.15 THEN 1 ELSE one END AS two FROM (
-        SELECT *, coalesce(CASE WHEN c NOT IN (1, 2, 3, 4, 5) THEN {_VEG} END, c) AS one FROM (SELECT point_id, ndvi AS n, height AS h, classification AS c FROM F WHERE ndvi IS NOT NULL AND NOT isnan(ndvi) AND classification IS NOT NULL)))"""),
-    "basic_labels": f("SELECT point_id, CASE WHEN planarity > 0.7 AND height >= 1.5 THEN 6 WHEN planarity > 0.7 AND height < 0.5 THEN 2 WHEN height < 0.5 THEN 2 WHEN height < 2 THEN 3 WHEN height < 5 THEN 4 ELSE 5 END AS label FROM F"),
-    "label_errors": f("SELECT point_id, coalesce(classification = 6 AND height < 1, false) AS low_building, coalesce(classification = 2 AND height > 2, false) AS high_ground, coalesce(classification IN (3, 4, 5) AND planarity > 0.9, false) AS flat_vegetation FROM F"),
+        SELECT *, coalesce(CASE WHEN c NOT IN (1, 2, 3, 4, 5) THEN {_VEG} END, c) AS one FROM (SELECT point_id, ndvi AS n, height AS h, classification AS c FROM F WHERE ndvi IS NOT NULL AND NOT isnan(ndvi) AND classification IS NOT NULL)))""", read="height"),
+    "basic_labels": f("SELECT point_id, CASE WHEN planarity > 0.7 AND height >= 1.5 THEN 6 WHEN planarity > 0.7 AND height < 0.5 THEN 2 WHEN height < 0.5 THEN 2 WHEN height < 2 THEN 3 WHEN height < 5 THEN 4 ELSE 5 END AS label FROM F", read="height planarity"),
+    "label_errors": f("SELECT point_id, coalesce(classification = 6 AND height < 1, false) AS low_building, coalesce(classification = 2 AND height > 2, false) AS high_ground, coalesce(classification IN (3, 4, 5) AND planarity > 0.9, false) AS flat_vegetation FROM F", read="height planarity"),
     "normalized_classes": p("SELECT point_id, code, layer AS name FROM (SELECT point_id, CASE WHEN classification BETWEEN 0 AND 25 OR classification BETWEEN 40 AND 69 THEN classification ELSE 1 END AS code FROM P) LEFT JOIN layer_codes ON asprs_class = code"),
     "plane_assignment": p(
         """SELECT point_id, plane_id, d AS distance FROM (SELECT point_id, plane_id, abs((x - c[1]) * n[1] / l + (y - c[2]) * n[2] / l + (z - c[3]) * n[3] / l) AS d FROM P JOIN (

@@ -67,7 +67,7 @@ def radius_outliers(spark, d):
 
 def smoothed_planarity(spark, d):
     """Planarity replaced by the median of the 10 nearest where it is off by more than 0.3 (3 neighbours at least)."""
-    fs = cut(features(spark, d).select("point_id", "x", "y", "z", "planarity"))
+    fs = cut(features(spark, d, "planarity").select("point_id", "x", "y", "z", "planarity"))
     m = knn.neighbourhoods(fs, K, knn.median_measure("planarity"), "n int, m double", ["planarity"])
     new = F.when((F.col("n") >= 3) & (F.abs(F.col("planarity") - F.col("m")) > 0.3), F.col("m")).when((F.col("n") < 3) & (F.col("n") > 0), F.col("m")).otherwise(F.col("planarity"))
     return fs.join(m, "point_id", "left").select("point_id", new.alias("planarity"))
@@ -83,7 +83,7 @@ def label_coherence(spark, d):
 
 def curvature_from_normals(spark, d):
     """The mean length of the differences between a point's normal and those of its neighbours."""
-    fs = cut(features(spark, d).select("point_id", "x", "y", "z", "nx", "ny", "nz"))
+    fs = cut(features(spark, d, "nx", "ny", "nz").select("point_id", "x", "y", "z", "nx", "ny", "nz"))
     out = knn.neighbourhoods(fs, K, knn.normal_measures, "n int, curvature double", ["nx", "ny", "nz"])
     return out.where("n > 0").select("point_id", "curvature")
 

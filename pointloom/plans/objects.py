@@ -60,13 +60,13 @@ def tile_analysis(spark, d):
 
 def farthest_samples(spark, d):
     """64 spread points of each patch, chosen from all of its points."""
-    g = patches.patch_grid(points(spark, d).where("tile <> 'none'").select("point_id", "tile", "x", "y", "z"), 20.0, 0.1, 50)
+    g = patches.patch_grid(points(spark, d).select("point_id", "tile", "x", "y", "z"), 20.0, 0.1, 50)
     return buildings.farthest_points(g, ["tile", "px", "py"], 64)
 
 
 def training_samples(spark, d):
     """Patches as rows of arrays."""
-    fs = features(spark, d).where("tile <> 'none'").select("point_id", "tile", "x", "y", "z", "classification", "planarity", "height", "curvature")
+    fs = features(spark, d, "planarity", "height", "curvature").select("point_id", "tile", "x", "y", "z", "classification", "planarity", "height", "curvature")
     r = patches.resample(patches.patch_grid(fs, 20.0, 0.1, 50), ["tile", "px", "py"], 256)
     s = buildings.samples(r, ["tile", "px", "py"], ["planarity", "height", "curvature"])
     return s.select("tile", "px", "py", F.size("points").alias("n"), F.array_join(F.transform(F.array_sort(F.array_distinct("labels")), lambda x: x.cast("string")), ",").alias("labels"))
@@ -96,7 +96,7 @@ def model_votes(spark, d):
     from pyspark.ml.feature import VectorAssembler
 
     cols = ["planarity", "linearity", "curvature", "roughness", "verticality", "height"]
-    fs = VectorAssembler(inputCols=cols, outputCol="v").transform(features(spark, d).where("classification BETWEEN 0 AND 30").select("point_id", "classification", *cols))
+    fs = VectorAssembler(inputCols=cols, outputCol="v").transform(features(spark, d, *cols).where("classification BETWEEN 0 AND 30").select("point_id", "classification", *cols))
     n = fs.count()
     out = fs
     for i in range(3):

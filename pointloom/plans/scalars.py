@@ -18,7 +18,7 @@ def _eigen(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
     """Three values per point, largest first, that stand for eigenvalues."""
     c = [F.col(x) for x in ("planarity", "linearity", "sphericity")]
     l1, l3 = F.greatest(*c), F.least(*c)
-    df = features(spark, d).withColumns({"l1": l1, "l2": c[0] + c[1] + c[2] - l1 - l3, "l3": l3})
+    df = features(spark, d, "planarity", "linearity", "sphericity", "nz").withColumns({"l1": l1, "l2": c[0] + c[1] + c[2] - l1 - l3, "l3": l3})
     return df, [F.col(x) for x in ("l1", "l2", "l3")]
 
 
@@ -46,7 +46,7 @@ def normal_angles(spark, d):
     n = [F.col(c) for c in ("nx", "ny", "nz")]
     unit = shape.normalize(n)
     up = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
-    return features(spark, d).select("point_id", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)], shape.angle_between(n, up).alias("slope"), shape.safe_divide(F.col("nx"), F.abs("nz")).alias("ratio"))
+    return features(spark, d, "nx", "ny", "nz").select("point_id", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)], shape.angle_between(n, up).alias("slope"), shape.safe_divide(F.col("nx"), F.abs("nz")).alias("ratio"))
 
 
 def height_above_ground(spark, d):
@@ -74,7 +74,7 @@ def spectral_features(spark, d):
 
 
 def standardized(spark, d):
-    df = features(spark, d).select("point_id", "height", "curvature")
+    df = features(spark, d, "height", "curvature").select("point_id", "height", "curvature")
     df = with_total(df, {"m": F.avg("height"), "s": F.stddev_pop("height"), "lo": F.min("curvature"), "hi": F.max("curvature")})
     z = (F.col("height") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
     return df.select("point_id", z.alias("z_height"), F.coalesce(F.try_divide(F.col("curvature") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("minmax_curvature"))
@@ -90,7 +90,7 @@ def validated_features(spark, d):
 
 
 def confidences(spark, d):
-    df = features(spark, d).select("point_id", "planarity", "curvature", "roughness")
+    df = features(spark, d, "planarity", "curvature", "roughness").select("point_id", "planarity", "curvature", "roughness")
     s = F.col("planarity")
     parts = {"a": F.col("planarity"), "b": 1 - F.col("curvature"), "c": 1 - F.col("roughness")}
     w = {"a": 2.0, "b": 1.0, "c": 1.0}
@@ -107,6 +107,7 @@ QUERIES = {
     "ground_flags": ground_flags, "rgb_features": rgb_features, "spectral_features": spectral_features, "standardized": standardized, "validated_features": validated_features, "confidences": confidences, "morton_keys": morton_keys,
 }
 
+_LPS = "planarity linearity sphericity nz"
 _E = ", E AS (SELECT *, greatest(planarity, linearity, sphericity) AS l1, planarity + linearity + sphericity - greatest(planarity, linearity, sphericity) - least(planarity, linearity, sphericity) AS l2, least(planarity, linearity, sphericity) AS l3 FROM F)"
 _01 = lambda e: f"greatest(0, least(1, {e}))"
 _B = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -118,16 +119,16 @@ SQL = {
     "eigen_features": f(
         f"""SELECT point_id, {_01('(greatest(l1, 1e-6) - l2) / greatest(l1, 1e-6)')} AS linearity, {_01('(l2 - l3) / greatest(l1, 1e-6)')} AS planarity, {_01('l3 / greatest(l1, 1e-6)')} AS sphericity,
         {_01('(greatest(l1, 1e-6) - l3) / greatest(l1, 1e-6)')} AS anisotropy, cbrt(l1 * l2 * l3 + 1e-10) AS omnivariance, -({' + '.join(f'{x} * ln({x} + 1e-10)' for x in _SHARES)}) AS eigenentropy,
-        l3 / (l1 + l2 + l3 + 2e-6) AS change_of_curvature, {_01('1 - abs(l3) / greatest(l1, 1e-6)')} AS eigen_verticality, l1 + l2 + l3 AS sum_eigenvalues FROM E""", _E),
+        l3 / (l1 + l2 + l3 + 2e-6) AS change_of_curvature, {_01('1 - abs(l3) / greatest(l1, 1e-6)')} AS eigen_verticality, l1 + l2 + l3 AS sum_eigenvalues FROM E""", _E, _LPS),
     "curvature_features": f(
         f"""SELECT point_id, l3 / (l1 + l2 + l3 + 1e-10) AS curvature_standard, l3 / (l1 + 1e-10) AS curvature_normalized, l2 * l3 / (l1 * l1 + 1e-10) AS curvature_gaussian, (l2 + l3) / (l1 + 1e-10) AS mean_curvature,
-        {2 / math.pi} * atan2((l2 + l3) / (l1 + 1e-10), l2 / (l1 + 1e-10) - l3 / (l1 + 1e-10) + 1e-10) AS shape_index, sqrt((l2 * l2 + l3 * l3) / (2 * (l1 + 1e-10) * (l1 + 1e-10))) AS curvedness FROM E""", _E),
+        {2 / math.pi} * atan2((l2 + l3) / (l1 + 1e-10), l2 / (l1 + 1e-10) - l3 / (l1 + 1e-10) + 1e-10) AS shape_index, sqrt((l2 * l2 + l3 * l3) / (2 * (l1 + 1e-10) * (l1 + 1e-10))) AS curvedness FROM E""", _E, _LPS),
     "architectural_features": f(
         f"""SELECT point_id, 1 - abs(n) AS verticality, abs(n) AS horizontality, {_01('sqrt((1 - abs(n)) * planarity)')} AS wall, {_01('sqrt(abs(n) * planarity)')} AS roof,
         (1 - abs(n)) * {_01('2 * (z - z0) / (z1 - z0 + 1e-10)')} AS facade, {_01('(l2 - l3) / greatest(l1, 1e-10)')} * (1 - l3 / (l1 + 1e-10)) AS regularity, {_01('(greatest(l1, 1e-6) - l2) / greatest(l1, 1e-6)')} AS corner
-        FROM (SELECT *, greatest(-1, least(1, nz)) AS n, min(z) OVER (PARTITION BY tile) AS z0, max(z) OVER (PARTITION BY tile) AS z1 FROM E)""", _E),
+        FROM (SELECT *, greatest(-1, least(1, nz)) AS n, min(z) OVER (PARTITION BY tile) AS z0, max(z) OVER (PARTITION BY tile) AS z1 FROM E)""", _E, _LPS),
     "normal_angles": f(
-        f"""SELECT point_id, nx / ({_NORM} + 1e-10) AS ux, ny / ({_NORM} + 1e-10) AS uy, nz / ({_NORM} + 1e-10) AS uz, CASE WHEN {_NORM} > 0 THEN acos(greatest(-1, least(1, nz / {_NORM}))) END AS slope, nx / (abs(nz) + 1e-10) AS ratio FROM F"""),
+        f"""SELECT point_id, nx / ({_NORM} + 1e-10) AS ux, ny / ({_NORM} + 1e-10) AS uy, nz / ({_NORM} + 1e-10) AS uz, CASE WHEN {_NORM} > 0 THEN acos(greatest(-1, least(1, nz / {_NORM}))) END AS slope, nx / (abs(nz) + 1e-10) AS ratio FROM F""", read="nx ny nz"),
     "height_above_ground": p(
         """SELECT point_id, height, z - ground AS relative, CASE WHEN top > 0 THEN least(1, height / top) ELSE 0 END AS normalized, CASE WHEN top > 0 THEN least(9, floor(height * 10 / top)) ELSE 0 END::INT AS bin
         FROM (SELECT *, max(height) OVER (PARTITION BY tile) AS top FROM (SELECT *, greatest(z - ground, 0) AS height FROM (
@@ -142,7 +143,7 @@ SQL = {
         trunc(greatest(0, least(255, blue * 255)))::INT AS blue8, trunc(greatest(0, least(255, blue * 255)))::INT / 255.0::DOUBLE AS blue_back FROM B"""),
     "standardized": f(
         """SELECT point_id, (height - avg(height) OVER ()) / (CASE WHEN stddev_pop(height) OVER () = 0 THEN 1 ELSE stddev_pop(height) OVER () END) AS z_height,
-        coalesce((curvature - min(curvature) OVER ()) / nullif(max(curvature) OVER () - min(curvature) OVER (), 0), 0) AS minmax_curvature FROM F"""),
+        coalesce((curvature - min(curvature) OVER ()) / nullif(max(curvature) OVER () - min(curvature) OVER (), 0), 0) AS minmax_curvature FROM F""", read="height curvature"),
     "validated_features": f"""WITH L AS (SELECT * FROM point_features WHERE point_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY enriched_at DESC NULLS LAST) = 1),
         R AS (SELECT point_id, height::DOUBLE AS raw, {', '.join(f"CASE WHEN isnan({c}) OR {c} = '-inf' THEN {lo} WHEN {c} = 'inf' THEN {hi} ELSE {c}::DOUBLE END AS r_{c}" for c, (lo, hi) in _RANGES.items())} FROM L),
         S AS (SELECT {', '.join(f'avg(r_{c}) AS m_{c}, stddev_pop(r_{c}) AS s_{c}' for c in _RANGES)} FROM R)
@@ -153,7 +154,7 @@ SQL = {
         exp(-pow(planarity - 0.5, 2) / (2 * 0.2 * 0.2)) AS c_gaussian, CASE WHEN planarity < 0.5 - 0.1 THEN 0 WHEN planarity > 0.5 + 0.1 THEN 1 ELSE (planarity - 0.4) / 0.2 END AS c_threshold, {_01('exp(-planarity)')} AS c_exponential,
         planarity * 0.5 + b * 0.25 + c * 0.25 AS k_weighted, greatest(planarity, b, c) AS k_max, least(planarity, b, c) AS k_min, planarity * b * c AS k_product,
         pow(greatest(planarity, 1e-10), 0.5) * pow(greatest(b, 1e-10), 0.25) * pow(greatest(c, 1e-10), 0.25) AS k_geometric, 1 / (0.5 / greatest(planarity, 1e-10) + 0.25 / greatest(b, 1e-10) + 0.25 / greatest(c, 1e-10)) AS k_harmonic
-        FROM (SELECT *, 1 - curvature AS b, 1 - roughness AS c FROM F)"""),
+        FROM (SELECT *, 1 - curvature AS b, 1 - roughness AS c FROM F)""", read="planarity curvature roughness"),
     "morton_keys": p(
         "SELECT point_id, (" + " + ".join(f"(((c{c} >> {i}) & 1) << {3 * i + j})" for i in range(10) for j, c in enumerate("xyz")) + """)::BIGINT AS morton
         FROM (SELECT point_id, (floor(x)::BIGINT % 1024 + 1024) % 1024 AS cx, (floor(y)::BIGINT % 1024 + 1024) % 1024 AS cy, (floor(z)::BIGINT % 1024 + 1024) % 1024 AS cz FROM P)"""),

@@ -62,7 +62,7 @@ def terrain_heights(spark, d):
 
 
 def _tiles(spark, d):
-    t = points(spark, d).where("tile <> 'none'").groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    t = points(spark, d).groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     return t
 
 
@@ -78,7 +78,7 @@ def tile_halos(spark, d):
 
 def boundary_points(spark, d):
     """Points at most 1 m from a side of their tile's extent."""
-    ps = points(spark, d).where("tile <> 'none'").join(_tiles(spark, d), "tile")
+    ps = points(spark, d).join(_tiles(spark, d), "tile")
     rim = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
     return ps.where(rim <= 1.0).select("point_id", "tile")
 
@@ -119,7 +119,7 @@ T AS (SELECT point_id, poly_id, layer, x, y, x1, y1, x2, y2, greatest(0, least(1
       FROM P JOIN S ON x BETWEEN least(x1, x2) - 1.0 AND greatest(x1, x2) + 1.0 AND y BETWEEN least(y1, y2) - 1.0 AND greatest(y1, y2) + 1.0),
 D AS (SELECT point_id, poly_id, layer, sqrt((x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2) AS distance FROM T)
 """
-TILES = ", T AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM P WHERE tile <> 'none' GROUP BY tile)"
+TILES = ", T AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM P GROUP BY tile)"
 SQL = {
     "polygon_ids": p("SELECT point_id, coalesce(min(poly_id), 0) AS first_id, coalesce(max(poly_id), 0) AS last_id, count(poly_id) AS n FROM P LEFT JOIN I USING (point_id) GROUP BY point_id", INSIDE),
     "points_in_layer": p("SELECT DISTINCT point_id FROM I WHERE poly_id IN (SELECT poly_id FROM polygons WHERE layer = 'buildings')", INSIDE),
