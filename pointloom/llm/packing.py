@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.rank import ranked
-from pointloom.runtime import cut, only, partitions
+from pointloom.runtime import cut, partitions
+
+#: Ranks of one size are cut into cells of so many; a cell is the unit in which items meet their slots.
+CELL = 1024
 
 
 def byte_tokens(text: Column) -> Column:
@@ -69,7 +72,8 @@ def pack(items: DataFrame, id_col: str, size: Column, capacity: int) -> DataFram
     of the piece in the item. Sizes of NULL or below 1 count as 1. Repeated ids are items of their own; NULL ids too.
 
     The driver sees one row per different size, at most ``capacity`` of them, and plans slots over counts. Items then
-    take slots by their rank within their size (ranks are made in hash parts, so one frequent size is no hot task).
+    take slots by their rank within their size (ranks are made in hash parts, slots met in cells of ranks, so one
+    frequent size is no hot task).
     Empty table: no rows.
     """
     base = items.select(F.col(f"`{id_col}`").alias("id"), F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("whole"))
@@ -81,11 +85,25 @@ def pack(items: DataFrame, id_col: str, size: Column, capacity: int) -> DataFram
     histogram = {r["size"]: r["count"] for r in one.groupBy("size").count().collect()}  # at most ``capacity`` rows
     slots, _ = plan_slots(histogram, capacity)
     spark = items.sparkSession
-    slots = spark.createDataFrame(slots or [(1, 0, 0, 0, 1)], "size long, lo long, hi long, container0 long, per long")
+    slots = spark.createDataFrame(slots, "size long, lo long, hi long, container0 long, per long")
     h = F.xxhash64("id", "piece")
     at = ranked(one.withColumn("h", h), ["size"], [F.col("h"), F.col("id"), F.col("piece")], F.pmod(F.col("h"), F.lit(partitions(spark))))
-    met = at.join(slots, "size").where("rank0 >= lo AND rank0 < hi")
-    return met.select("id", "piece", "pieces", "offset", "size", (F.col("container0") + F.floor((F.col("rank0") - F.col("lo")) / F.col("per"))).cast("long").alias("container"))
+    met = _slot_of(at.drop("h"), slots)
+    return met.select("id", "piece", "pieces", "offset", "size", (F.col("slot.container0") + F.floor((F.col("rank0") - F.col("slot.lo")) / F.col("slot.per"))).cast("long").alias("container"))
+
+
+def _slot_of(ranked_items: DataFrame, slots: DataFrame) -> DataFrame:
+    """The items with the slot of their size whose ranks hold theirs: the last one that starts at or before it.
+
+    Slots are cut at the borders of rank cells, put among the items of (size, cell) and carried on to the items behind
+    them. So a row is written per item and per slot and cell, however many slots a size has, and no task holds a size.
+    """
+    cells = slots.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))))
+    starts = cells.select("size", "cell", F.greatest("lo", F.col("cell") * CELL).alias("rank0"), F.struct("lo", "container0", "per").alias("_slot"))
+    items = ranked_items.withColumns({"cell": F.floor(F.col("rank0") / CELL), "_item": F.lit(True)})
+    both = items.unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy("size", "cell").orderBy("rank0", F.col("_item").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("slot", F.last("_slot", ignorenulls=True).over(w)).where("_item").drop("_slot", "_item", "cell")
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
@@ -96,8 +114,3 @@ def fill(packed: DataFrame, capacity: int) -> DataFrame:
         F.count(F.lit(1)).alias("containers"), total.alias("tokens"), F.try_divide(total.cast("double"), F.count(F.lit(1)) * capacity).alias("fill"),
         F.ceil(total / capacity).alias("least_containers"), F.max("used").alias("fullest"), F.max("items").alias("most_items"),
     )
-
-
-def documents_sizes(documents: DataFrame) -> DataFrame:
-    """``doc_id, size`` of a table of texts."""
-    return only(documents, "doc_id", "text").select("doc_id", byte_tokens(F.col("text")).alias("size"))

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from pointloom.llm import mixing, packing
 
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=15))
+@example({21: 10})
 def test_slots_place_every_item_within_capacity(histogram):
     slots, n = packing.plan_slots(histogram, 40)
     used, seen = defaultdict(int), defaultdict(int)
@@ -19,8 +20,35 @@ def test_slots_place_every_item_within_capacity(histogram):
         for r in range(lo, hi):
             used[first + (r - lo) // per] += size
     assert dict(seen) == histogram and all(u <= 40 for u in used.values()) and set(used) == set(range(n))
-    total = sum(k * v for k, v in histogram.items())
-    assert n * 40 <= 1.5 * total + 80
+    # What best fit in descending order is bound to: 3/2 of the least number. That number is at least the items over half
+    # the capacity, and the tokens over the capacity; it is at most 3/2 of the bound that pairs both (Martello and Toth).
+    least = max((_bound(histogram, 40, k) for k in range(21)), default=0)
+    assert n <= 1.5 * 1.5 * least
+    assert sum(u <= 20 for u in used.values()) <= 1  # two containers at most half full would be one
+
+
+def _bound(histogram, capacity, k):
+    """A lower bound of containers: items over capacity - k are alone, those of k to half must share what the large ones leave."""
+    alone = sum(n for s, n in histogram.items() if s > capacity - k)
+    large = {s: n for s, n in histogram.items() if capacity / 2 < s <= capacity - k}
+    small = sum(s * n for s, n in histogram.items() if k <= s <= capacity / 2)
+    room = sum((capacity - s) * n for s, n in large.items())
+    return alone + sum(large.values()) + max(0, -(-(small - room) // capacity))
+
+
+def test_many_slots_of_a_frequent_size(spark):
+    """A hundred thousand texts of one size in hundreds of slots: one row an item, none lost, the plan kept."""
+    random.seed(11)
+    sizes = [1] * 100_000 + [min(999, int(random.lognormvariate(5, 1)) + 1) for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc long, n int")
+    got = packing.pack(df, "doc", F.col("n"), 1000)
+    f = packing.fill(got, 1000).first()
+    assert got.count() == len(sizes) and f["tokens"] == sum(sizes) and f["fullest"] <= 1000
+    histogram = defaultdict(int)
+    for s in sizes:
+        histogram[s] += 1
+    slots, n = packing.plan_slots(histogram, 1000)
+    assert f["containers"] == n and sum(s[0] == 1 for s in slots) > 300
 
 
 def test_long_items_are_cut_and_nothing_is_lost(spark):
