@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +70,49 @@ def test_empty_and_null_ids(spark):
 
 
 def test_allocation_is_whole_and_proportional():
-    plan = splits.allocate([(1, (), 1000), (7, (("a", 7),), 30), (500, (), 1)], SHARES)
-    assert all(sum(t.values()) == n for t, n in zip((plan[1, ()], plan[7, (("a", 7),)], plan[500, ()]), (1000, 30, 1)))
-    got = {s: sum(size * t[s] for (size, _), t in plan.items()) for s in SHARES}
+    bundles = [(1, (), 1000), (7, (("a", 7),), 30), (500, (), 1)]
+    plan = splits.allocate(bundles, SHARES)
+    assert [sum(t.values()) for t in plan] == [1000, 30, 1]
+    got = {s: sum(size * t[s] for (size, _, _), t in zip(bundles, plan)) for s in SHARES}
     assert abs(got["val"] - 171) <= 7 and abs(got["test"] - 171) <= 7
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_equals_the_exact_solution(seed):
+    """Components of one size: no whole plan of any kind has a lower cost (every one is tried)."""
+    rng = random.Random(seed)
+    shares = {"a": 0.5, "b": 0.3, "c": 0.2}
+    bundles = [(rng.choice([3]), ((lab, 3),), rng.randint(1, 5)) for lab in rng.choices("xyz", k=rng.randint(2, 4))]
+    bundles = list({b[1]: b for b in bundles}.values())
+    ways = [[(i, j, n - i - j) for i in range(n + 1) for j in range(n + 1 - i)] for _, _, n in bundles]
+    best = min(splits.deviation(bundles, [dict(zip("abc", w)) for w in ws], shares) for ws in itertools.product(*ways))
+    assert splits.deviation(bundles, splits.allocate(bundles, shares), shares) <= best + 1e-3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixed_sizes_are_near_the_exact_solution(seed):
+    rng = random.Random(seed)
+    shares = {"a": 0.6, "b": 0.4}
+    bundles = [(size, (("x", size - size // 2), ("y", size // 2)) if size > 1 else (("x", 1),), rng.randint(1, 4)) for size in (1, 2, 5, 9)]
+    ways = [range(n + 1) for _, _, n in bundles]
+    best = min(splits.deviation(bundles, [{"a": w, "b": b[2] - w} for w, b in zip(ws, bundles)], shares) for ws in itertools.product(*ways))
+    assert splits.deviation(bundles, splits.allocate(bundles, shares), shares) <= best + 1.5
+
+
+def test_a_hot_component_with_labels_keeps_the_label_shares():
+    """A component of a third of all rows, mostly of one label: the others make up for it in exact counts."""
+    bundles = [(190_001, (("cloud", 190_000), ("patch", 1)), 1), (1, (("cloud", 1),), 200_000), (1, (("patch", 1),), 180_000)]
+    plan = splits.allocate(bundles, SHARES)
+    for s, share in SHARES.items():
+        cloud, patch = (sum(dict(p).get(lab, 0) * t[s] for (_, p, _), t in zip(bundles, plan)) for lab in ("cloud", "patch"))
+        assert abs(cloud - share * 390_000) < 3 and abs(patch - share * 180_001) < 3
+
+
+def test_many_bundles_are_planned_quickly():
+    rng = random.Random(5)
+    bundles = [(size, (("a", k), ("b", size - k)) if 0 < k < size else (("a", size),), rng.randint(1, 50)) for size in range(2, 60) for k in range(1, size)]
+    plan = splits.allocate(bundles, SHARES)
+    total = sum(s * n for s, _, n in bundles)
+    assert all(sum(t.values()) == n for t, (_, _, n) in zip(plan, bundles))
+    for s, share in SHARES.items():
+        assert abs(sum(size * t[s] for (size, _, _), t in zip(bundles, plan)) - share * total) < 5
