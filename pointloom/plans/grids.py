@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointloom.operators import grid, quality
+from pointloom.operators import grid, quality, quantile
 from pointloom.operators.frames import FEATURE, current_features
 from pointloom.plans.base import f, features, p, points
-from pointloom.runtime import table
+from pointloom.runtime import cut, table
 
 
 def voxel_centroids(spark, d):
@@ -43,11 +43,12 @@ def class_distribution(spark, d):
 
 
 def tile_statistics(spark, d):
-    p = points(spark, d)
+    p = cut(points(spark, d).select("tile", "x", "y", "z", "intensity", "classification"))
+    q = quantile.group_quantiles(p, ["tile"], "z", {"p25_z": 0.25, "median_z": 0.5, "p75_z": 0.75, "p90_z": 0.9}, 0.25).drop("n")
     return p.groupBy("tile").agg(
         F.count(F.lit(1)).alias("n"), *[g(c).alias(f"{c}{i}") for c in "xyz" for i, g in ((0, F.min), (1, F.max))], F.avg("intensity").alias("mean_intensity"), F.stddev_pop("z").alias("std_z"),
-        F.percentile("z", 0.5).alias("median_z"), F.percentile("z", 0.9).alias("p90_z"), F.count_if(F.col("classification") == 2).alias("ground"),
-    )
+        F.count_if(F.col("classification") == 2).alias("ground"),
+    ).join(q, "tile")
 
 
 def file_info(spark, d):
@@ -59,12 +60,14 @@ def file_info(spark, d):
 
 def group_features(spark, d):
     """Per file (a group of points): area, density, means, deviations, range and median of the features."""
-    g = features(spark, d, "height", "planarity", "curvature", "nz").groupBy("file_id")
+    fs = cut(features(spark, d, "height", "planarity", "curvature", "nz").select("file_id", "x", "y", "height", "planarity", "curvature", "nz"))
+    g = fs.groupBy("file_id")
+    q = quantile.group_quantiles(fs, ["file_id"], "nz", {"median_nz": 0.5}, 0.002).select("file_id", "median_nz")
     area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
     out = g.agg(
         F.count(F.lit(1)).alias("n"), area.alias("raw_area"), F.avg("height").alias("mean_height"), F.stddev_pop("height").alias("std_height"), (F.max("height") - F.min("height")).alias("range_height"),
-        F.avg("planarity").alias("mean_planarity"), F.avg("curvature").alias("mean_curvature"), F.percentile("nz", 0.5).alias("median_nz"),
-    )
+        F.avg("planarity").alias("mean_planarity"), F.avg("curvature").alias("mean_curvature"),
+    ).join(q, "file_id")
     out = out.withColumn("area", F.when(F.col("raw_area") > 0, F.col("raw_area")).otherwise(1.0))
     return out.select("file_id", "n", "area", (F.col("n") / F.col("area")).alias("point_density"), "mean_height", "std_height", "range_height", "mean_planarity", "mean_curvature", "median_nz")
 
@@ -153,8 +156,8 @@ SQL = {
         WHERE k >= 3 AND off > s AND (coalesce(before, 0) > 0.5 * s OR coalesce(after, 0) > 0.5 * s OR off > 2 * s)"""),
     "class_distribution": p("SELECT classification, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM P GROUP BY classification"),
     "tile_statistics": p(
-        """SELECT tile, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, avg(intensity) AS mean_intensity, stddev_pop(z) AS std_z, quantile_cont(z, 0.5) AS median_z,
-        quantile_cont(z, 0.9) AS p90_z, count(*) FILTER (classification = 2) AS ground FROM P GROUP BY tile"""),
+        """SELECT tile, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, avg(intensity) AS mean_intensity, stddev_pop(z) AS std_z, quantile_cont(z, 0.25) AS p25_z, quantile_cont(z, 0.5) AS median_z,
+        quantile_cont(z, 0.75) AS p75_z, quantile_cont(z, 0.9) AS p90_z, count(*) FILTER (classification = 2) AS ground FROM P GROUP BY tile"""),
     "file_info": p(
         """SELECT file_id, n, x0, x1, y0, y1, seconds, num_points AS stated, num_points = n AS agrees FROM (SELECT file_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, max(gps_time) - min(gps_time) AS seconds FROM P GROUP BY file_id)
         LEFT JOIN (SELECT file_id, num_points FROM lidar_files WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY loaded_at DESC NULLS LAST, num_points DESC NULLS LAST) = 1) USING (file_id)"""),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointloom.operators import buildings, cluster, knn, learning, patches, regions, scales
+from pointloom.operators import buildings, cluster, knn, learning, patches, quantile, regions, scales
 from pointloom.plans.base import f, features, p, points
 from pointloom.plans.neighbours import _ALL
 from pointloom.plans.spatial import INSIDE
-from pointloom.runtime import finite, table
+from pointloom.runtime import cut, finite, table
 
 RADII, WEIGHTS = [0.5, 1.0, 1.5], [1.0, 2.0, 1.0]
 
@@ -50,12 +50,14 @@ def multi_scale(spark, d):
 
 
 def tile_analysis(spark, d):
-    """Per tile: density over the extent, median distance to the nearest point within 1.5 m, and settings these suggest."""
+    """Per tile: density over the extent, median and 95th percentile of the distance to the nearest point within 1.5 m, and settings these suggest."""
     ps = points(spark, d)
     one = knn.within_radius(ps, 1.5).groupBy("point_id").agg(F.min("d").alias("d"))
-    g = ps.select("point_id", "tile", "x", "y").join(one, "point_id", "left").groupBy("tile").agg(F.count(F.lit(1)).alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"), F.percentile("d", 0.5).alias("spacing"))
+    at = cut(ps.select("point_id", "tile", "x", "y").join(one, "point_id", "left"))
+    g = at.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
+    g = g.join(quantile.group_quantiles(at, ["tile"], "d", {"spacing": 0.5, "noise": 0.95}, 0.01).drop("n"), "tile", "left")
     dens = F.when(F.col("area") > 0, F.try_divide("n", "area")).otherwise(0.0)
-    return g.select("tile", "n", dens.alias("density"), "spacing", F.when(dens > 10, 20).when(dens > 1, 12).otherwise(8).alias("k"))
+    return g.select("tile", "n", dens.alias("density"), "spacing", "noise", F.when(dens > 10, 20).when(dens > 1, 12).otherwise(8).alias("k"))
 
 
 def farthest_samples(spark, d):
@@ -134,7 +136,7 @@ SQL = {
         f"""SELECT point_id, n0, n1, n2, {_mean([f'({w} / (1 + coalesce(var{i}, 0)))' for i, w in enumerate(WEIGHTS)])} AS by_variance, {_mean([str(w) for w in WEIGHTS])} AS plain,
         {_mean([f'exp(-2 * abs(1 - least(1, var2) - {i} / 2.0::DOUBLE))' for i in range(3)])} AS adaptive, coalesce(len(a) > 1 AND list_var_pop(a) > 0.01, false) AS disagree FROM (SELECT *, [v FOR v IN [mean0, mean1, mean2] IF v IS NOT NULL] AS a FROM Y)""", _SCALES),
     "tile_analysis": p(
-        """SELECT tile, n, dens AS density, spacing, CASE WHEN dens > 10 THEN 20 WHEN dens > 1 THEN 12 ELSE 8 END AS k FROM (SELECT tile, count(*) AS n, CASE WHEN (max(x) - min(x)) * (max(y) - min(y)) > 0 THEN count(*) / ((max(x) - min(x)) * (max(y) - min(y))) ELSE 0 END AS dens, quantile_cont(d, 0.5) AS spacing
+        """SELECT tile, n, dens AS density, spacing, noise, CASE WHEN dens > 10 THEN 20 WHEN dens > 1 THEN 12 ELSE 8 END AS k FROM (SELECT tile, count(*) AS n, CASE WHEN (max(x) - min(x)) * (max(y) - min(y)) > 0 THEN count(*) / ((max(x) - min(x)) * (max(y) - min(y))) ELSE 0 END AS dens, quantile_cont(d, 0.5) AS spacing, quantile_cont(d, 0.95) AS noise
         FROM P LEFT JOIN (SELECT point_id, min(d) AS d FROM W GROUP BY point_id) USING (point_id) GROUP BY tile)""", _ALL),
     "tile_functions": p("SELECT tile, min(z) AS lo, max(z) AS hi, count(*) AS n FROM P GROUP BY tile"),
     "line_crossings": """WITH S AS (SELECT DISTINCT poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM (SELECT poly_id, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.operators import heavy, near
+from pointloom.operators import heavy, near, quantile
 from pointloom.plans import grids, labels, neighbours, objects, scalars, sets, spatial
 from pointloom.runtime import cut, settings, table
 
@@ -19,11 +19,19 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 def p5_buildings(spark: SparkSession, d: str) -> DataFrame:
     """Per building: measurements, points inside and their relation to ``n_points``."""
     share = settings(spark, d)["heavy_share"]
-    sums = {"n_measurements": F.count(F.lit(1)), "sum_points_inside": F.sum("points_inside"), "best_score": F.max("quality_score")}
+    sums = {"n_measurements": F.count(F.lit(1)), "sum_points_inside": F.sum("points_inside"), "best_score": F.max("quality_score"), "n_above": F.count_if(F.col("points_inside") > F.col("n_points"))}
     b = table(spark, d, "fused_buildings").select("building_id", "n_points")
     out = heavy.per_key(cut(measurements(spark, d)), b, "building_id", sums, share)
     ratio = F.when(F.col("n_points") > 0, F.col("sum_points_inside") / F.col("n_points"))
-    return out.select("building_id", "n_points", F.coalesce("n_measurements", F.lit(0)).alias("n_measurements"), "sum_points_inside", "best_score", ratio.alias("inside_ratio"))
+    return out.select("building_id", "n_points", F.coalesce("n_measurements", F.lit(0)).alias("n_measurements"), "sum_points_inside", "best_score", F.coalesce("n_above", F.lit(0)).alias("n_above"), ratio.alias("inside_ratio"))
+
+
+def p5_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Per building the median and the 90th percentile of its scores, and its different sources: measures whose parts don't combine."""
+    m = cut(table(spark, d, "polygon_quality").select("quality_id", "building_id", "bld_source", "quality_score").dropDuplicates(["quality_id"]).where("building_id IS NOT NULL"))
+    q = quantile.group_quantiles(m, ["building_id"], "quality_score", {"median_score": 0.5, "p90_score": 0.9}, 0.001)
+    s = heavy.distinct_per_key(m.withColumn("source", F.lower(F.trim("bld_source"))), "building_id", "source")
+    return q.join(s.withColumnRenamed("n", "sources"), "building_id", "left").select("building_id", "n", "median_score", "p90_score", F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +53,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLANS = (scalars, grids, spatial, neighbours, labels, sets, objects)
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_buildings": p5_buildings, **{n: q for m in _PLANS for n, q in m.QUERIES.items()}}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_buildings": p5_buildings, "p5_medians": p5_medians, **{n: q for m in _PLANS for n, q in m.QUERIES.items()}}
 
 _QUALITY = "(SELECT DISTINCT quality_id, building_id, points_inside, quality_score FROM polygon_quality)"
 
@@ -78,9 +86,13 @@ SELECT building_id FROM {_QUALITY} WHERE building_id IN (SELECT building_id FROM
 HAVING count(*) > (SELECT setting_value FROM settings WHERE setting = 'heavy_share') * (SELECT count(DISTINCT quality_id) FROM polygon_quality)
 """,
     "p5_buildings": f"""
-SELECT building_id, n_points, count(q.quality_id) AS n_measurements, sum(points_inside)::BIGINT AS sum_points_inside, max(quality_score) AS best_score,
+SELECT building_id, n_points, count(q.quality_id) AS n_measurements, sum(points_inside)::BIGINT AS sum_points_inside, max(quality_score) AS best_score, count(*) FILTER (points_inside > n_points) AS n_above,
        CASE WHEN n_points > 0 THEN sum(points_inside)::DOUBLE / n_points END AS inside_ratio
 FROM fused_buildings LEFT JOIN {_QUALITY} AS q USING (building_id) GROUP BY building_id, n_points
+""",
+    "p5_medians": """
+SELECT building_id, count(quality_score) FILTER (isfinite(quality_score)) AS n, quantile_cont(quality_score, 0.5) AS median_score, quantile_cont(quality_score, 0.9) AS p90_score, count(DISTINCT lower(trim(bld_source))) AS sources
+FROM (SELECT * FROM polygon_quality QUALIFY row_number() OVER (PARTITION BY quality_id) = 1) WHERE building_id IS NOT NULL GROUP BY building_id HAVING count(quality_score) > 0
 """,
     **{n: q for m in _PLANS for n, q in m.SQL.items()},
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import shape, signal
 from pointloom.functions.confidence import combine, confidence
-from pointloom.operators import cluster, frames, grid, heavy, knn, learning, near, patches, quality, regions, rules
+from pointloom.operators import cluster, frames, grid, heavy, knn, learning, near, patches, quality, quantile, regions, rules
 from pointloom.operators.graph import components
 from pointloom.operators.rank import ranked
 
@@ -148,6 +148,33 @@ def test_closed_form_eigenvalues(spark):
         assert np.allclose([r["l0"], r["l1"], r["l2"]], np.linalg.eigvalsh(m[r["i"]])[::-1], atol=1e-9)
 
 
+def test_heavy_facts_meet_attributes_of_their_rows(spark):
+    rows = [(1, i) for i in range(3000)] + [(i % 50 + 2, i) for i in range(600)] + [(None, 5), (999, 5)]
+    facts = spark.createDataFrame(rows, "k long, v long")
+    dim = spark.createDataFrame([(i, i * 10, "a") for i in range(1, 60)] + [(1, 7, "b"), (None, 1, "c")], "k long, w long, note string")
+    got = {(r["k"], r["note"]): r for r in heavy.per_key(facts, dim, "k", {"c": F.count(F.lit(1)), "above": F.count_if(F.col("v") > F.col("w"))}, 0.1).collect()}
+    assert (got[1, "a"]["c"], got[1, "a"]["above"], got[1, "a"]["is_heavy"]) == (3000, 2989, True) and got[1, "b"]["above"] == 2992
+    assert got[2, "a"]["c"] == 12 and got[55, "a"]["c"] is None and got[None, "c"]["c"] is None and len(got) == 61
+    plan = heavy.with_rows(facts, dim, "k", 0.1)
+    assert plan.count() == 3000 * 2 + 600 and "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
+    assert {r["k"]: r["n"] for r in heavy.distinct_per_key(facts.withColumn("v", F.col("v") % 7), "k", "v").collect()}[1] == 7
+    with pytest.raises(ValueError):
+        heavy.with_rows(facts, dim.withColumnRenamed("w", "v"), "k", 0.1)
+
+
+def test_quantiles_of_groups(spark):
+    rng = np.random.default_rng(4)
+    groups = {"hot": np.round(rng.normal(size=4000) * 40, 2), "one": np.array([3.5]), "same": np.full(500, -1.25), None: rng.uniform(-1, 1, 99)}
+    rows = [(k, float(v), 1) for k, g in groups.items() for v in g] + [("hot", None, 1), ("hot", float("nan"), 1), ("hot", float("inf"), 1), ("bad", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, n int")
+    probs = {"lo": 0.0, "q": 0.25, "m": 0.5, "p": 0.913, "hi": 1.0}
+    got = {r["k"]: r for r in quantile.group_quantiles(df, ["k"], "v", probs, 0.5).collect()}
+    assert set(got) == set(groups)
+    for k, g in groups.items():
+        assert got[k]["n"] == len(g) and np.allclose([got[k][p] for p in probs], np.quantile(g, list(probs.values())))
+    assert quantile.group_quantiles(df.limit(0), ["k"], "v", probs, 0.5).collect() == []
+
+
 def test_eigen_measures(spark):
     df = spark.createDataFrame([(1.0, 0.5, 0.1), (1.0, 0.95, 0.01), (1e-15, 1e-16, 1e-17), (None, 0.1, 0.1)], "a double, b double, c double")
     rows = df.select(*[v.alias(k) for k, v in shape.eigen_features(F.col("a"), F.col("b"), F.col("c")).items()]).collect()

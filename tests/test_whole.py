@@ -59,10 +59,11 @@ def test_labels_features_and_normals_of_every_point(spark, data, brute):
     most = np.array([np.bincount(v).argmax() for v in lab[near]])
     assert len(got) == len(t) and np.allclose(got["share"], share) and (got["label"].to_numpy() == np.where(share < 0.3, most, lab)).all()
 
-    t, near, _ = brute(base.features(spark, data))
+    t, near, _ = brute(base.features(spark, data, "planarity"))
     v, m = t["planarity"].to_numpy(), np.median(t["planarity"].to_numpy()[near], axis=1)
     got = neighbours.smoothed_planarity(spark, data).toPandas().sort_values("point_id")
     assert np.allclose(got["planarity"], np.where(np.abs(v - m) > 0.3, m, v))
+    t, near, _ = brute(base.features(spark, data, "nx", "ny", "nz"))
     n = t[["nx", "ny", "nz"]].to_numpy()
     got = neighbours.curvature_from_normals(spark, data).toPandas().sort_values("point_id")
     assert len(got) == len(t) and np.allclose(got["curvature"], np.sqrt(((n[near] - n[:, None]) ** 2).sum(2)).mean(1))
