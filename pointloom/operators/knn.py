@@ -2,13 +2,14 @@
 
 Two forms. ``within_radius`` and ``nearest_within`` are relational (cells, one shuffle, generated code) and give long
 tables of neighbours. ``neighbourhoods`` finds the exact k nearest at any distance and computes array measures in one
-Arrow pass over blocks with a halo; what it cannot prove complete goes into a wider round.
+Arrow pass over leaves of a quadtree with a halo; points whose neighbours may be beyond it descend the tree.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from pointloom.runtime import cut, finite, only
 
-#: Side and halo of a block on level 0 (metres); each level halves both. Rows a block should hold at most; levels.
-SIDE, HALO, FULL, LEVELS = 16.0, 4.0, 4096, 8
+#: Side of the finest cells of the tree in metres (of places with very many points down to FINEST), points of a leaf, halo
+#: of a leaf as a share of its side.
+FINE, FINEST, FULL, HALO = 1.0, 1e-3, 512, 0.25
 
 
 def within_radius(points: DataFrame, radius: float) -> DataFrame:
@@ -49,92 +51,212 @@ def nearest_within(points: DataFrame, k: int, radius: float) -> DataFrame:
 Measure = Callable[[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
 
 
-def _block(level: int) -> tuple[float, float]:
-    return SIDE / 2**level, HALO / 2**level
+@dataclass(frozen=True)
+class Tree:
+    """A quadtree over the plane: cells of ``side`` (level 0) with counts and heights, all nodes above them, and its leaves.
 
+    A leaf is the largest node with at most FULL points; a finest cell that holds more is one as well. All are tables.
+    """
 
-def _levels(points: DataFrame) -> DataFrame:
-    """``level, bx, by``: the blocks in use. A block with more than FULL points is replaced by its quarters, down to LEVELS.
+    side: float
+    top: int
+    cells: DataFrame
+    nodes: DataFrame
+    leaves: DataFrame
+    levels: list[int]
+    most: int
 
-    Each level counts only the points of blocks that were too full, so usual data take one pre-aggregated count.
-    """
-    rest, out = points, None
-    for level in range(LEVELS + 1):
-        cell = [F.floor(F.col(c) / _block(level)[0]).cast("long") for c in "xy"]
-        at = cut(rest.groupBy(cell[0].alias("bx"), cell[1].alias("by")).agg(F.count(F.lit(1)).alias("n")))
-        done = at if level == LEVELS else at.where(F.col("n") <= FULL)
-        done = done.select(F.lit(level).alias("level"), "bx", "by")
-        out = done if out is None else out.union(done)
-        full = at.where(F.col("n") > FULL).select(F.col("bx").alias("_px"), F.col("by").alias("_py"))
-        if level == LEVELS or full.isEmpty():
-            return out
-        rest = rest.join(full, (cell[0] == F.col("_px")) & (cell[1] == F.col("_py")), "left_semi")
-
-
-def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, carry: list[str] = [], rounds: int = 12) -> DataFrame:
-    """``point_id`` and the columns of ``schema`` that ``measure`` gives over each point's k nearest others.
+
+def _cell(side: float) -> list[Column]:
+    return [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xy"]
+
+
+def _tree(p: DataFrame) -> Tree | None:
+    """The tree of a table, or None of an empty one. Points are read once for each fineness of cells, mostly once."""
+    side = FINE
+    while True:
+        cells = cut(p.groupBy(*_cell(side)).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z0"), F.max("z").alias("z1")))
+        span = cells.agg(F.max("n").alias("n"), *[g(c).alias(f"{c}{i}") for c in ("cx", "cy") for i, g in ((0, F.min), (1, F.max))]).first()
+        if span["n"] is None:
+            return None
+        if span["n"] <= 4 * FULL or side <= FINEST:
+            break
+        side /= 8
+    top = max(int(span["cx1"] - span["cx0"]).bit_length(), int(span["cy1"] - span["cy0"]).bit_length())
+    top += top % 2
+    at = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    nodes = at.groupBy("level", F.expr("shiftright(cx, level)").alias("bx"), F.expr("shiftright(cy, level)").alias("by")).agg(F.sum("n").alias("n"), F.min("z0").alias("z0"), F.max("z1").alias("z1"))
+    nodes = cut(nodes)
+    above = nodes.where(F.col("n") > FULL).select((F.col("level") - 1).alias("level"), F.col("bx").alias("_px"), F.col("by").alias("_py"))
+    small = nodes.where((F.col("n") <= FULL) | (F.col("level") == 0)).withColumns({"_px": F.shiftright("bx", 1), "_py": F.shiftright("by", 1)})
+    leaves = small.join(above, ["level", "_px", "_py"], "left_semi").unionByName(small.where(F.col("level") == top)).select("level", "bx", "by", "n")
+    # The halo of a leaf is bounded too: where the nodes around it hold many points it has none, and its rim is its own border.
+    around = leaves.select("level", F.col("bx").alias("_x"), F.col("by").alias("_y"), *[F.explode(F.sequence(F.col("bx") - 1, F.col("bx") + 1)).alias("bx")], "by")
+    around = around.withColumn("by", F.explode(F.sequence(F.col("by") - 1, F.col("by") + 1))).join(nodes.select("level", "bx", "by", "n"), ["level", "bx", "by"])
+    around = around.groupBy("level", F.col("_x").alias("bx"), F.col("_y").alias("by")).agg((F.sum("n") <= 8 * FULL).alias("wide"))
+    leaves = cut(leaves.join(around, ["level", "bx", "by"]))
+    return Tree(side, top, cells, nodes, leaves, sorted(r["level"] for r in leaves.select("level").distinct().collect()), int(span["n"]))
+
+
+def _seen(p: DataFrame, tree: Tree, k: int) -> DataFrame:
+    """Every point once per leaf that it lies in (``own``) or whose halo it is in. What a leaf needs is found by cells."""
+    w = F.pow(F.lit(2.0), F.col("level"))
+    at = tree.cells.select("cx", "cy").withColumn("level", F.explode(F.array(*[F.lit(x) for x in tree.levels])))
+    for c in "xy":
+        low, high = F.floor((F.col(f"c{c}") - w * HALO) / w), F.floor((F.col(f"c{c}") + 1 + w * HALO) / w)
+        at = at.withColumn(f"b{c}", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    home = (F.expr("shiftright(cx, level)") == F.col("bx")) & (F.expr("shiftright(cy, level)") == F.col("by"))
+    cover = cut(at.join(tree.leaves, ["level", "bx", "by"]).withColumn("own", home).where("own OR wide"))
+    rows = p.withColumns({f"c{c}": e for c, e in zip("xy", _cell(tree.side))}).join(cover, ["cx", "cy"]).drop("cx", "cy").withColumns({"cand": F.lit(True), "salt": F.lit(0)})
+    if tree.most <= 4 * FULL:
+        return rows.drop("n")
+    # Cells of FINEST with too many points: of points at one place only the k + 1 smallest ids can be neighbours, and the
+    # points are spread over salts.
+    much = F.col("n") > 4 * FULL
+    place = F.row_number().over(Window.partitionBy("level", "bx", "by", "x", "y", "z").orderBy("point_id"))
+    salts = F.ceil(F.col("n") / (4 * FULL)).cast("int")
+    big = rows.where(much).withColumns({"cand": place <= k + 1, "_mine": F.pmod(F.xxhash64("point_id"), salts).cast("int")})
+    big = big.withColumn("salt", F.explode(F.when(F.col("cand"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array("_mine"))))
+    big = big.withColumn("own", F.col("own") & (F.col("salt") == F.col("_mine"))).where("own OR cand").drop("_mine")
+    return rows.where(~much).unionByName(big).drop("n")
+
+
+def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, carry: list[str] = []) -> DataFrame:
+    """``point_id`` and the columns of ``schema`` that ``measure`` gives over each point's k nearest others, at any distance.
 
     measure(xyz of the points (m, 3), distances (m, k), neighbours' xyz (m, k, 3), neighbours' carried columns (m, k) and
             the points' own as own_<column> (m), valid (m, k)) -> columns. Where a table holds fewer than k others, ``valid`` is false for the rest.
     points  ``point_id, x, y, z`` and the carried columns, one row per id; non-finite places and NULL ids are left out.
 
-    Blocks of the plane with a halo, of a side that follows the density, are grouped into Arrow tables. A point is done if
-    its k-th neighbour is nearer than the rim of what its block saw; the others go into a round with blocks and halos four
-    times as wide. The last round has one block. Neighbours are in order of distance, ties by id.
+    Leaves of a quadtree, of at most FULL points, are searched with a halo in one Arrow group each. A point is done if its
+    k-th neighbour is nearer than the rim of what its leaf saw. The others descend the tree: of the nodes of each level
+    only those remain that may hold a nearer point than k others are sure to be, down to single cells (``_descend``). So
+    no leaf is ever widened, wherever its points' neighbours are. Neighbours are in order of distance, ties by id.
     """
-    p = only(points, "point_id", "x", "y", "z", *carry).where(F.col("point_id").isNotNull() & finite("x", "y", "z"))
-    total = p.count()
-    blocks = _levels(p)
-    levels = [r["level"] for r in blocks.select("level").distinct().collect()]
+    p = cut(only(points, "point_id", "x", "y", "z", *carry).where(F.col("point_id").isNotNull() & finite("x", "y", "z")))
     names = [c.strip().split()[0] for c in schema.split(",")]
-    kind = f"point_id long, level int, done boolean, {schema}"
-
-    def runner(wide: float, last: bool):
-        def run(key: tuple, t: pa.Table) -> pa.Table:
-            side, halo = (v * wide for v in _block(key[0].as_py()))
-            lo = np.array([key[1].as_py() * side - halo, key[2].as_py() * side - halo])
-            hi = lo + side + 2 * halo
-            ids, own = t["point_id"].to_numpy(), np.asarray(t["own"].to_numpy(zero_copy_only=False), bool)
-            xyz = np.stack([t[c].to_numpy() for c in "xyz"], 1)
-            extra = {c: t[c].to_numpy(zero_copy_only=False) for c in carry}
-            parts = [_chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure) for rows in np.array_split(np.flatnonzero(own), max(1, math.ceil(own.sum() * len(ids) / 2_000_000)))]
-            parts = [q for q in parts if q is not None]
-            cols = {c: np.concatenate([q[c] for q in parts]) if parts else np.empty(0) for c in ["point_id", "done", *names]}
-            cols["level"] = np.full(len(cols["point_id"]), key[0].as_py())
-            return pa.table({c: pa.array(cols[c]) for c in ["point_id", "level", "done", *names]}).cast(_arrow_schema(kind))
-
-        return run
-
-    todo, out = None, None
-    for n in range(rounds):
-        wide = 4.0**n
-        if todo is None:
-            seen, active = p.withColumn("_open", F.lit(None).cast("int")), blocks
-        else:
-            # Wider blocks: those of points still open, each at the level it had.
-            seen = cut(p.join(todo, "point_id", "left"))
-            side = F.lit(SIDE * wide) / F.pow(F.lit(2.0), F.col("_open"))
-            active = seen.where("_open IS NOT NULL").select(F.col("_open").alias("level"), *[F.floor(F.col(c) / side).cast("long").alias(f"b{c}") for c in "xy"]).distinct()
-        shown = []
-        for level in levels:
-            side, halo = (v * wide for v in _block(level))
-            at = seen
+    kind = f"point_id long, done boolean, leaf int, reach double, {schema}"
+    tree = _tree(p)
+    if tree is None:
+        return p.limit(0).select("point_id", *[F.lit(None).cast(c.strip().split()[1]).alias(n) for n, c in zip(names, schema.split(","))])
+    total, side0 = int(tree.cells.agg(F.sum("n")).first()[0]), tree.side
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        side = side0 * 2.0 ** key[0].as_py()
+        halo = HALO if t["wide"][0].as_py() else 0.0
+        lo = np.array([key[1].as_py(), key[2].as_py()]) * side - side * halo
+        hi = lo + side * (1 + 2 * halo)
+        ids, own, cand = t["point_id"].to_numpy(), np.asarray(t["own"].to_numpy(zero_copy_only=False), bool), np.asarray(t["cand"].to_numpy(zero_copy_only=False), bool)
+        xyz = np.stack([t[c].to_numpy() for c in "xyz"], 1)
+        extra = {c: t[c].to_numpy(zero_copy_only=False) for c in carry}
+        parts = [_chunk(rows, ids, xyz, extra, np.flatnonzero(cand), k, lo, hi, total, measure) for rows in np.array_split(np.flatnonzero(own), max(1, math.ceil(own.sum() * cand.sum() / 1_000_000)))]
+        parts = [q for q in parts if q is not None]
+        cols = {c: np.concatenate([q[c] for q in parts]) if parts else np.empty(0) for c in ["point_id", "done", "reach", *names]}
+        cols["leaf"] = np.full(len(cols["point_id"]), key[0].as_py())
+        return pa.table({c: pa.array(cols[c], from_pandas=c == "reach") for c in ["point_id", "done", "leaf", "reach", *names]}).cast(_arrow_schema(kind))
+
+    got = cut(_seen(p, tree, k).groupBy("level", "bx", "by", "salt").applyInArrow(run, kind))
+    todo = got.where("NOT done").select("point_id", "leaf", "reach")
+    out = got.where("done").select("point_id", *names)
+    if todo.isEmpty():
+        return out
+    asked = cut(p.join(todo, "point_id"))
+    found = _descend(p, asked, tree, k, carry)
+    return out.unionByName(_measured(found, asked, k, measure, schema, carry))
+
+
+def _descend(p: DataFrame, asked: DataFrame, tree: Tree, k: int, carry: list[str]) -> DataFrame:
+    """``point_id, rank, d`` and the neighbours' places and carried columns: the k nearest of some points, through the tree.
+
+    asked  points with ``reach``, the distance of the k-th neighbour that their leaf saw (NULL if it saw fewer), and ``leaf``,
+           its level. A leaf that saw too few has a parent with more than FULL points: its farthest corner is their reach.
+
+    Each point starts at the nodes of the level whose side is its reach, four or nine of them; nodes that begin beyond the
+    reach are dropped, the others replaced by their children two levels below, down to single cells. Where the reach is the
+    parent's, it shrinks on the way: the nodes of a level, in order of their greatest distance, hold k + 1 points (the point
+    itself among them) up to some distance.
+    """
+    sure = asked.where("reach IS NOT NULL").select("point_id", "x", "y", "z", (F.col("reach") * (1 + 1e-9)).alias("r"))
+    w = F.lit(tree.side) * F.pow(F.lit(2.0), F.col("level"))
+    far = [F.greatest(F.abs(F.col(c) - F.col(f"b{c}") * w), F.abs((F.col(f"b{c}") + 1) * w - F.col(c))) for c in "xy"] + [F.greatest(F.abs(F.col("z") - F.col("z0")), F.abs(F.col("z1") - F.col("z")))]
+    own = asked.where("reach IS NULL").select("point_id", "x", "y", "z", F.least(F.col("leaf") + 1, F.lit(tree.top)).alias("level"), *[F.floor(F.col(c) / tree.side).cast("long").alias(f"c{c}") for c in "xy"])
+    own = own.withColumns({f"b{c}": F.expr(f"shiftright(c{c}, level)") for c in "xy"}).join(tree.nodes, ["level", "bx", "by"])
+    unsure = cut(own.select("point_id", "x", "y", "z", (F.sqrt(far[0] * far[0] + far[1] * far[1] + far[2] * far[2]) * (1 + 1e-9)).alias("r")))
+    cells = _held(sure, tree, k, False)
+    if not unsure.isEmpty():
+        cells = cells.unionByName(_held(unsure, tree, k, True))
+    f = cut(cells.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), F.col("bx").alias("cx"), F.col("by").alias("cy"), "r"))
+    others = p.withColumns({f"c{c}": e for c, e in zip("xy", _cell(tree.side))}).withColumnRenamed("point_id", "_oid")
+    d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
+    met = f.join(others, ["cx", "cy"]).withColumn("d2", d2).where((F.col("_oid") != F.col("point_id")) & (F.col("d2") <= F.col("r") * F.col("r")))
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "_oid"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "rank", F.sqrt("d2").alias("d"), *dict.fromkeys(["x", "y", "z", *carry]))
+
+
+def _held(q: DataFrame, tree: Tree, k: int, shrink: bool) -> DataFrame:
+    """``point_id, x, y, z, r, bx, by``: the cells of level 0 within reach ``r`` of each point, from the level of its reach down."""
+    least = F.ceil(F.log2(F.greatest(F.col("r") / tree.side, F.lit(1.0))) / 2).cast("int") * 2
+    q = cut(q.withColumn("start", F.least(least, F.lit(tree.top))))
+    top = q.agg(F.max("start")).first()[0]
+    f = None
+    for level in range(top if top is not None else 0, -1, -2):
+        s = tree.side * 2.0**level
+        begun = q.where(F.col("start") == level).drop("start")
+        for c in "xy":
+            begun = begun.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("r")) / s).cast("long"), F.floor((F.col(c) + F.col("r")) / s).cast("long"))))
+        if f is not None:
             for c in "xy":
-                at = at.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - halo) / side).cast("long"), F.floor((F.col(c) + halo) / side).cast("long"))))
-            home = (F.floor(F.col("x") / side).cast("long") == F.col("bx")) & (F.floor(F.col("y") / side).cast("long") == F.col("by"))
-            mine = home if todo is None else home & F.coalesce(F.col("_open") == level, F.lit(False))
-            shown.append(at.withColumns({"level": F.lit(level), "own": mine}).drop("_open"))
-        rows = shown[0]
-        for s in shown[1:]:
-            rows = rows.unionByName(s)
-        rows = rows.join(active, ["level", "bx", "by"], "left_semi")
-        got = cut(rows.groupBy("level", "bx", "by").applyInArrow(runner(wide, n == rounds - 1), kind))
-        good = got.where("done").select("point_id", *names)
-        out = good if out is None else out.union(good)
-        todo = got.where("NOT done").select("point_id", F.col("level").alias("_open"))
-        if todo.isEmpty():
-            break
-    return out
+                f = f.withColumn(f"b{c}", F.explode(F.sequence(F.col(f"b{c}") * 4, F.col(f"b{c}") * 4 + 3)))
+            begun = begun.unionByName(f)
+        near, far = [], []
+        for c, lo, hi in (("x", F.col("bx") * s, (F.col("bx") + 1) * s), ("y", F.col("by") * s, (F.col("by") + 1) * s), ("z", F.col("z0"), F.col("z1"))):
+            near.append(F.greatest(lo - F.col(c), F.col(c) - hi, F.lit(0.0)))
+            far.append(F.greatest(F.abs(F.col(c) - lo), F.abs(hi - F.col(c))))
+        # What the extent in the plane leaves out needs no look at the nodes.
+        begun = begun.where(near[0] * near[0] + near[1] * near[1] <= F.col("r") * F.col("r"))
+        f = begun.join(tree.nodes.where(F.col("level") == level).drop("level"), ["bx", "by"])
+        f = f.where(near[0] * near[0] + near[1] * near[1] + near[2] * near[2] <= F.col("r") * F.col("r"))
+        if shrink:
+            f = f.withColumns({"_near": F.sqrt(sum((v * v for v in near[1:]), near[0] * near[0])), "_far": F.sqrt(sum((v * v for v in far[1:]), far[0] * far[0]))})
+            f = f.withColumn("_upto", F.sum("n").over(Window.partitionBy("point_id").orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)))
+            reach = F.min(F.when(F.col("_upto") >= k + 1, F.col("_far"))).over(Window.partitionBy("point_id"))
+            f = f.withColumn("r", F.least(F.col("r"), reach * (1 + 1e-9))).where(F.col("_near") <= F.col("r"))
+        f = f.select("point_id", "x", "y", "z", "r", "bx", "by")
+    return f
+
+
+def _measured(found: DataFrame, asked: DataFrame, k: int, measure: Measure, schema: str, carry: list[str]) -> DataFrame:
+    """``measure`` over ranked neighbours in rows: at most k to an array, many points to a batch."""
+    cols = list(dict.fromkeys(["x", "y", "z", *carry]))
+    lists = found.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "d", *[F.col(c).alias(f"n_{c}") for c in cols]))).alias("near"))
+    rows = asked.select("point_id", *cols).join(lists, "point_id", "left")
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    kind = f"point_id long, {schema}"
+
+    def run(batches):
+        for b in batches:
+            m = b.num_rows
+            if not m:
+                continue
+            near = b.column("near")
+            n = np.nan_to_num(np.asarray(near.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
+            flat = near.flatten()
+            valid = np.arange(k)[None] < n[:, None]
+
+            def padded(name: str, fill, flat=flat, valid=valid, m=m):
+                v = flat.field(name).to_numpy(zero_copy_only=False)
+                full = np.full((m, k), fill, dtype=v.dtype if len(v) else float)
+                full[valid] = v
+                return full
+
+            q = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
+            nxyz = np.stack([padded(f"n_{c}", 0.0) for c in "xyz"], 2)
+            extra = {c: padded(f"n_{c}", 0) for c in carry} | {f"own_{c}": b.column(c).to_numpy(zero_copy_only=False) for c in carry}
+            out = measure(q, padded("d", np.inf), nxyz, extra, valid)
+            t = pa.table({"point_id": b.column("point_id"), **{c: pa.array(out[c]) for c in names}}).cast(_arrow_schema(kind))
+            yield from t.to_batches()
+
+    return rows.mapInArrow(run, kind)
 
 
 def _arrow_schema(kind: str) -> pa.Schema:
@@ -142,23 +264,28 @@ def _arrow_schema(kind: str) -> pa.Schema:
     return pa.schema([(c, types[t]) for c, t in (f.strip().split() for f in kind.split(","))])
 
 
-def _chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure):
+def _chunk(rows, ids, xyz, extra, cand, k, lo, hi, total, measure):
     if not len(rows):
         return None
-    q, n = xyz[rows], len(ids)
-    d2 = ((q[:, None, 0] - xyz[None, :, 0]) ** 2) + ((q[:, None, 1] - xyz[None, :, 1]) ** 2) + ((q[:, None, 2] - xyz[None, :, 2]) ** 2)
-    d2[np.arange(len(rows)), rows] = np.inf
+    q, n = xyz[rows], len(cand)
+    others, oids = xyz[cand], ids[cand]
+    d2 = (q[:, None, 0] - others[None, :, 0]) ** 2
+    d2 += (q[:, None, 1] - others[None, :, 1]) ** 2
+    d2 += (q[:, None, 2] - others[None, :, 2]) ** 2
+    at = np.searchsorted(cand, rows)  # the place of a point among the candidates, if it is one
+    itself = (at < n) & (cand[np.minimum(at, n - 1)] == rows)
+    d2[np.flatnonzero(itself), at[itself]] = np.inf
     m = min(k, n - 1)
     if m > 0:
-        # One more than k, so that a tie at the end is seen; then in order of distance and id.
+        # Some more than k, so that a tie at the end is seen; then in order of distance and id.
         some = min(m + 8, n)
         near = np.argpartition(d2, some - 1, axis=1)[:, :some] if some < n else np.broadcast_to(np.arange(n), (len(rows), n)).copy()
         d = np.take_along_axis(d2, near, 1)
-        order = np.lexsort((ids[near], d), axis=1)[:, :m]
+        order = np.lexsort((oids[near], d), axis=1)[:, :m]
         most = d.max(1)
         near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
         for r in np.flatnonzero(d[:, -1] == most) if some < n else []:  # the tie may go on beyond what was taken
-            near[r] = np.lexsort((ids, d2[r]))[:m]
+            near[r] = np.lexsort((oids, d2[r]))[:m]
     else:
         near, d = np.zeros((len(rows), 0), int), np.zeros((len(rows), 0))
     if m < k:
@@ -167,10 +294,10 @@ def _chunk(rows, ids, xyz, extra, k, lo, hi, total, last, measure):
     valid = np.isfinite(d)
     rim = np.minimum(q[:, :2] - lo, hi - q[:, :2]).min(1)
     enough = valid[:, -1] if k else np.ones(len(rows), bool)
-    done = (enough & (np.sqrt(d[:, -1]) < rim)) | (n >= total) | last
+    done = (enough & (np.sqrt(d[:, -1]) < rim)) | (len(ids) >= total)
     dist = np.sqrt(d)
-    out = measure(q, dist, xyz[near], {c: v[near] for c, v in extra.items()} | {f"own_{c}": v[rows] for c, v in extra.items()}, valid)
-    return {"point_id": ids[rows], "done": done, **out}
+    out = measure(q, dist, others[near], {c: v[cand][near] for c, v in extra.items()} | {f"own_{c}": v[rows] for c, v in extra.items()}, valid)
+    return {"point_id": ids[rows], "done": done, "reach": np.where(enough, dist[:, -1] if k else 0.0, np.nan), **out}
 
 
 def covariance_measures(q, d, nxyz, extra, valid):

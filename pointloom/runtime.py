@@ -23,6 +23,7 @@ def session(cpus: int = 8, memory: str = "8g", name: str = "pointloom") -> Spark
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )

@@ -160,3 +160,41 @@ def test_raster_gaps_take_the_nearest_cell_within_reach(spark):
         want[i] = cells[own] if own in cells else v if d <= 10 else None
         far += 4.3 < d <= 10
     assert far and got == want and None in want.values()
+
+
+@pytest.mark.parametrize("kind", ["mixed", "outliers", "one place", "line", "few"])
+def test_tree_search_equals_brute_force(spark, monkeypatch, kind):
+    """Uneven densities, points 100 km away, thousands at one place, a line, fewer points than asked for."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(knn, "FULL", 64)
+    if kind == "mixed":
+        xyz = np.concatenate([rng.normal(size=(700, 3)) * [1, 1, 3], rng.uniform(-300, 300, (120, 3)), rng.normal(size=(300, 3)) * 0.05 + [40, 0, 0]])
+    elif kind == "outliers":
+        xyz = np.concatenate([rng.normal(size=(500, 3)) * 5, [[1e5, 0, 0], [1e5, 1, 0], [-3e4, 9e4, 0], [2e5, 2e5, 500]]])
+    elif kind == "one place":
+        xyz = np.concatenate([np.tile([[3.0, 4.0, 5.0]], (700, 1)), np.tile([[3.0, 4.0, 5.5]], (20, 1)), rng.uniform(0, 9, (60, 3))])
+    elif kind == "line":
+        xyz = np.stack([np.arange(400) * 7.0, np.zeros(400), np.sort(rng.uniform(0, 50, 400))], 1)
+    else:
+        xyz = rng.normal(size=(5, 3))
+    ids = rng.permutation(len(xyz)) + 1
+    p = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, xyz)], "point_id long, x double, y double, z double")
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    k = min(10, len(xyz) - 1)
+    near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+    got = knn.nearest(p, 10).toPandas().sort_values(["point_id", "rank"])
+    want = {int(i): [int(v) for v in ids[n]] for i, n in zip(ids, near)}
+    assert {i: list(g["nid"]) for i, g in got.groupby("point_id")} == want
+
+
+def test_an_outlier_widens_no_leaf(spark):
+    """A leaf holds at most FULL points and the halo's, wherever the others are."""
+    rng = np.random.default_rng(13)
+    xyz = np.concatenate([rng.uniform(0, 60, (6000, 3)), [[1e5, 0, 0], [0, -2e5, 0]]])
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xyz)], "point_id long, x double, y double, z double")
+    tree = knn._tree(p)
+    sizes = [r["count"] for r in knn._seen(p, tree, 10).groupBy("level", "bx", "by").count().collect()]
+    assert max(sizes) < 4 * knn.FULL and sum(sizes) < 5 * len(xyz)
+    got = knn.nearest(p, 3).where("point_id >= 6000").groupBy("point_id").count().collect()
+    assert sorted(r["count"] for r in got) == [3, 3]
