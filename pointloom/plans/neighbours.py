@@ -15,7 +15,7 @@ K, RADIUS = 10, 1.5
 
 def nearest(spark, d):
     """The 10 nearest points of each point, at any distance."""
-    return knn.nearest(cut(points(spark, d).select("point_id", "x", "y", "z")), K).select("point_id", "nid", "rank", "d")
+    return knn.nearest(points(spark, d).select("point_id", "x", "y", "z"), K).select("point_id", "nid", "rank", "d")
 
 
 def radius_counts(spark, d):
@@ -23,12 +23,23 @@ def radius_counts(spark, d):
     return points(spark, d).select("point_id").join(n, "point_id", "left").select("point_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+PAIRS = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
+
+
+def _covariances(spark, d):
+    kind = ", ".join(["n int", *[f"c{a}{b} double" for a, b in PAIRS]])
+    return knn.neighbourhoods(points(spark, d).select("point_id", "x", "y", "z"), K, knn.spread_measures, kind)
+
+
+def covariances(spark, d):
+    """The covariance matrix of each point and its 10 nearest at any distance."""
+    return _covariances(spark, d).select("point_id", "n", *[(F.round(f"c{a}{b}", 3) + F.lit(0.0)).alias(f"c{a}{b}") for a, b in PAIRS])
+
+
 def covariance_shape(spark, d):
     """Covariance of each point and its 10 nearest at any distance, its eigenvalues in closed form and the shape they give."""
-    pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
-    kind = ", ".join(["n int", *[f"c{a}{b} double" for a, b in pairs]])
-    c = knn.neighbourhoods(cut(points(spark, d).select("point_id", "x", "y", "z")), K, knn.spread_measures, kind).where("n >= 4")
-    e = shape.eigenvalues_3x3(*[F.col(f"c{a}{b}") for a, b in pairs])
+    c = _covariances(spark, d).where("n >= 4")
+    e = shape.eigenvalues_3x3(*[F.col(f"c{a}{b}") for a, b in PAIRS])
     out = c.withColumns({f"l{i + 1}": v for i, v in enumerate(e)})
     l = [F.col(f"l{i}") for i in (1, 2, 3)]  # noqa: E741
     return out.select("point_id", "n", *[F.round(v, 5).alias(f"l{i + 1}") for i, v in enumerate(l)], F.round(shape.linearity(*l), 3).alias("linearity"), F.round(shape.planarity(*l), 3).alias("planarity"))
@@ -50,7 +61,7 @@ def exact_density(spark, d):
 def local_spacing(spark, d):
     """Mean and deviation of the distances to the 10 nearest at any distance, and a density from the farthest."""
     kind = "n int, mean_distance double, std_distance double, point_density double"
-    return knn.neighbourhoods(cut(points(spark, d).select("point_id", "x", "y", "z")), K, knn.density_measures, kind).where("n > 0")
+    return knn.neighbourhoods(points(spark, d).select("point_id", "x", "y", "z"), K, knn.density_measures, kind).where("n > 0")
 
 
 def statistical_outliers(spark, d):
@@ -128,7 +139,7 @@ def cluster_statistics(spark, d):
 
 
 QUERIES = {
-    "nearest": nearest, "radius_counts": radius_counts, "covariance_shape": covariance_shape, "exact_shape": exact_shape, "exact_density": exact_density, "local_spacing": local_spacing, "statistical_outliers": statistical_outliers,
+    "nearest": nearest, "radius_counts": radius_counts, "covariances": covariances, "covariance_shape": covariance_shape, "exact_shape": exact_shape, "exact_density": exact_density, "local_spacing": local_spacing, "statistical_outliers": statistical_outliers,
     "radius_outliers": radius_outliers, "smoothed_planarity": smoothed_planarity, "label_coherence": label_coherence, "curvature_from_normals": curvature_from_normals, "local_verticality": local_verticality,
     "height_over_ground": height_over_ground, "noise_points": noise_points, "density_clusters": density_clusters, "cluster_statistics": cluster_statistics,
 }
@@ -143,26 +154,52 @@ W AS (SELECT a.point_id, b.point_id AS nid, sqrt((b.x - a.x) * (b.x - a.x) + (b.
 N AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, nid) AS rank FROM W QUALIFY rank <= {K})"""
 
 
+def nearest_sql(src: str, k: int, radii: tuple[float, ...] = (2.0, 8.0, 40.0)) -> str:
+    """N(point_id, nid, d, rank): the k nearest at any distance. Who has k within a radius is served by cells of it, the others
+    by the next one, and the last ones by all points."""
+    gap = "(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)"
+    out, rest = [f", S AS (SELECT point_id, x, y, z FROM {src})"], "S"
+    for i, r in enumerate(radii):
+        cell = f"floor(x / {r})::BIGINT AS cx, floor(y / {r})::BIGINT AS cy"
+        out.append(f"""A{i} AS (SELECT a.point_id, b.point_id AS nid, sqrt({gap}) AS d FROM (SELECT *, {cell} FROM {rest}) AS a JOIN (SELECT point_id, x, y, z, cx + i AS cx, cy + j AS cy FROM (SELECT *, {cell} FROM S), range(-1, 2) AS t1(i), range(-1, 2) AS t2(j)) AS b USING (cx, cy)
+      WHERE a.point_id <> b.point_id AND {gap} <= {r * r}),
+N{i} AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, nid) AS rank, count(*) OVER (PARTITION BY point_id) AS m FROM A{i} QUALIFY m >= {k} AND rank <= {k}),
+S{i} AS (SELECT * FROM {rest} ANTI JOIN N{i} USING (point_id))""")
+        rest = f"S{i}"
+    out.append(f"ALL_ AS (SELECT a.point_id, b.point_id AS nid, sqrt({gap}) AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt({gap}), b.point_id) AS rank FROM {rest} AS a JOIN S AS b ON a.point_id <> b.point_id QUALIFY rank <= {k})")
+    parts = " UNION ALL ".join(f"SELECT point_id, nid, d, rank FROM N{i}" for i in range(len(radii)))
+    return ", ".join(out) + f", N AS ({parts} UNION ALL SELECT * FROM ALL_)"
+
+
 _ALL = _near("P")
-_LAB = _near("(SELECT * FROM P WHERE classification IS NOT NULL)")
-_SPACING = "SELECT point_id, count(*) AS n, avg(d) AS mean_distance, stddev_pop(d) AS std_distance, CASE WHEN max(d) > 0 THEN count(*) / (pow(max(d), 3) * 4.1887902047863905) ELSE 0 END AS point_density FROM N GROUP BY point_id"
+_KNN = nearest_sql("P", K)
+_LAB = nearest_sql("(SELECT * FROM P WHERE classification IS NOT NULL)", K)
+_COV = ", ".join(f"avg(({a}) * ({b})) - avg({a}) * avg({b}) AS c{a}{b}" for a, b in PAIRS)
+_SPREAD = f""", M AS (SELECT point_id, 0.0 AS x, 0.0 AS y, 0.0 AS z FROM P WHERE point_id IN (SELECT point_id FROM N) UNION ALL SELECT N.point_id, o.x - a.x, o.y - a.y, o.z - a.z FROM N JOIN P AS a ON a.point_id = N.point_id JOIN P AS o ON o.point_id = nid),
+C AS (SELECT point_id, count(*)::INT AS n, {_COV} FROM M GROUP BY point_id)"""
+_DENSITY = """SELECT point_id, CASE WHEN r > 0 THEN n / (4.1887902047863905 * r * r * r) ELSE 0 END AS point_density, mean_distance, std_distance, r AS max_distance, n_2m, sqrt(dx * dx + dy * dy + dz * dz) AS extent,
+        CASE WHEN sqrt(dx * dx + dy * dy) > 1e-10 THEN dz / sqrt(dx * dx + dy * dy) ELSE 0 END AS height_ratio, vertical_std FROM (SELECT N.point_id, count(*) AS n, max(d) AS r, avg(d) AS mean_distance, stddev_pop(d) AS std_distance, (count(*) FILTER (d <= 2.0))::INT AS n_2m,
+        max(o.x) - min(o.x) AS dx, max(o.y) - min(o.y) AS dy, max(o.z) - min(o.z) AS dz, stddev_pop(o.z) AS vertical_std FROM N JOIN P AS o ON o.point_id = nid GROUP BY 1)"""
+_SPACING = "SELECT point_id, count(*)::INT AS n, avg(d) AS mean_distance, stddev_pop(d) AS std_distance, CASE WHEN max(d) > 0 THEN count(*) / (pow(max(d), 3) * 4.1887902047863905) ELSE 0 END AS point_density FROM N GROUP BY point_id"
 _LINK = """, U AS (SELECT * FROM P WHERE classification = 6), V AS (SELECT a.point_id AS a, b.point_id AS b FROM U AS a JOIN U AS b ON a.point_id <> b.point_id AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1
       AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 1)"""
 _DBSCAN = f"""WITH RECURSIVE {p('', _LINK)[5:]}, K AS (SELECT a AS id FROM V GROUP BY a HAVING count(*) >= 4), L AS (SELECT a, b FROM V WHERE a IN (SELECT id FROM K) AND b IN (SELECT id FROM K)),
         R AS (SELECT id, id AS low FROM K UNION SELECT L.a, R.low FROM L JOIN R ON R.id = L.b WHERE R.low < L.a), Z AS (SELECT id, min(low) AS low FROM R GROUP BY id),
         O AS (SELECT point_id, coalesce(z.low, e.low, 0) AS cluster FROM U LEFT JOIN Z AS z ON z.id = point_id LEFT JOIN (SELECT a AS pid, min(low) AS low FROM V JOIN Z ON Z.id = b GROUP BY a) AS e ON e.pid = point_id)"""
 SQL = {
-    "nearest": p("SELECT point_id, nid, rank::INT AS rank, d FROM N", _ALL),
+    "nearest": p("SELECT point_id, nid, rank::INT AS rank, d FROM N", _KNN),
+    "covariances": p("SELECT point_id, n, " + ", ".join(f"round(c{a}{b}, 3) + 0.0 AS c{a}{b}" for a, b in PAIRS) + " FROM C", _KNN + _SPREAD),
+    "exact_density": p(_DENSITY, nearest_sql("P", 20)),
     "radius_counts": p("SELECT point_id, count(nid) AS n FROM P LEFT JOIN W USING (point_id) GROUP BY point_id", _ALL),
-    "local_spacing": p(_SPACING, _ALL),
-    "statistical_outliers": p(f"SELECT point_id FROM ({_SPACING}) QUALIFY mean_distance >= avg(mean_distance) OVER () + stddev_pop(mean_distance) OVER ()", _ALL),
+    "local_spacing": p(_SPACING, _KNN),
+    "statistical_outliers": p(f"SELECT point_id FROM ({_SPACING}) QUALIFY mean_distance >= avg(mean_distance) OVER () + stddev_pop(mean_distance) OVER ()", _KNN),
     "radius_outliers": p("SELECT point_id FROM P LEFT JOIN W USING (point_id) GROUP BY point_id HAVING count(nid) < 4", _ALL),
     "smoothed_planarity": f(
-        """SELECT point_id, CASE WHEN n >= 3 AND abs(planarity - m) > 0.3 THEN m WHEN n < 3 AND n > 0 THEN m ELSE planarity END AS planarity FROM F LEFT JOIN (SELECT N.point_id, count(*) AS n, quantile_cont(o.planarity, 0.5) AS m FROM N JOIN F AS o ON o.point_id = nid GROUP BY 1) USING (point_id)""", _near("F")),
+        """SELECT point_id, CASE WHEN n >= 3 AND abs(planarity - m) > 0.3 THEN m WHEN n < 3 AND n > 0 THEN m ELSE planarity END AS planarity FROM F LEFT JOIN (SELECT N.point_id, count(*) AS n, quantile_cont(o.planarity, 0.5) AS m FROM N JOIN F AS o ON o.point_id = nid GROUP BY 1) USING (point_id)""", nearest_sql("F", K), "planarity"),
     "label_coherence": p(
         """SELECT point_id, same / total AS share, CASE WHEN same / total < 0.3 THEN other ELSE classification END AS label FROM (SELECT *, sum(n) OVER w AS total, sum(CASE WHEN other = classification THEN n ELSE 0 END) OVER w AS same, row_number() OVER (PARTITION BY point_id ORDER BY n DESC, other) AS r
         FROM (SELECT N.point_id, any_value(a.classification) AS classification, o.classification AS other, count(*)::DOUBLE AS n FROM N JOIN P AS a ON a.point_id = N.point_id JOIN P AS o ON o.point_id = nid GROUP BY N.point_id, o.classification) WINDOW w AS (PARTITION BY point_id)) WHERE r = 1""", _LAB),
-    "curvature_from_normals": f("SELECT N.point_id, avg(sqrt((a.nx - o.nx) ** 2 + (a.ny - o.ny) ** 2 + (a.nz - o.nz) ** 2)) AS curvature FROM N JOIN F AS a ON a.point_id = N.point_id JOIN F AS o ON o.point_id = nid GROUP BY 1", _near("F")),
+    "curvature_from_normals": f("SELECT N.point_id, avg(sqrt((a.nx - o.nx) ** 2 + (a.ny - o.ny) ** 2 + (a.nz - o.nz) ** 2)) AS curvature FROM N JOIN F AS a ON a.point_id = N.point_id JOIN F AS o ON o.point_id = nid GROUP BY 1", nearest_sql("F", K), "nx ny nz"),
     "local_verticality": p(
         """SELECT point_id, CASE WHEN greatest(dx, dy) > 0.01 THEN least(1, dz / greatest(dx, dy) / 5) ELSE 0 END AS verticality FROM (SELECT W.point_id, count(*) AS n, max(x) - min(x) AS dx, max(y) - min(y) AS dy, max(z) - min(z) AS dz FROM W JOIN P ON P.point_id = nid GROUP BY 1) WHERE n >= 3""", _ALL),
     "height_over_ground": p(
