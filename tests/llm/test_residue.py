@@ -38,11 +38,39 @@ def test_only_text_cells_count(spark):
     assert sorted(r["doc_id"] for r in residue.without_residue(docs(spark, rows)).collect() if r["doc_id"]) == [1, 4, 5, 7]
 
 
+#: Wordings of hosts, generators and languages that no test table holds.
+FOREIGN = [
+    ("Sorry, this page cannot be displayed.", "error"), ("Oops! That page can't be found", "error"), ("Page not found - GitHub", "error"), ("We're sorry, but an error has occurred", "error"), ("The resource you are looking for could not be found", "error"),
+    ("404 | This document does not exist", "error"), ("Your file has been moved or removed.", "error"), ("502 Bad Gateway", "error"), ("You are not authorized to view this content.", "error"), ("Access restricted", "error"), ("This article is no longer available.", "error"),
+    ("Cette ressource n'existe plus.", "error"), ("Document introuvable", "error"), ("Este recurso no está disponible", "error"), ("Esta página foi removida", "error"), ("Diese Seite existiert nicht mehr.", "error"), ("Der Server ist vorübergehend nicht erreichbar", "error"), ("Entschuldigung, die Datei wurde nicht gefunden", "error"),
+    ("You must have JavaScript enabled to use this site", "scripts"), ("JavaScript must be enabled to view this application.", "scripts"), ("This site requires JavaScript to work.", "scripts"), ("The app will not work without JavaScript.", "scripts"), ("Vous devez activer JavaScript.", "scripts"), ("Este sitio requiere JavaScript.", "scripts"), ("JavaScript muss aktiviert sein", "scripts"),
+    ("Placeholder text goes here.", "filler"), ("More text to follow soon", "filler"), ("Texte factice", "filler"), ("Mustertext hier", "filler"), ("Content goes here", "filler"),
+    ("The page we scraped was not found by the second crawler, so its row is empty.", None), ("An error occurred in 3 of 40 runs, all with the old driver.", None), ("The server was too busy to answer all requests on Monday.", None), ("We enable JavaScript in the test browser before the run.", None),
+    ("The site needs JavaScript for its list, so we read the feed instead.", None), ("Sample text is stored in the second column.", None), ("If the file does not exist, it is created.", None), ("## Access rights of the file server", None), ("The resource was not found by 2 of 3 readers.", None), ("Not all pages are available.", None),
+]
+
+
+@pytest.mark.parametrize("line, kind", FOREIGN)
+def test_wordings_from_elsewhere(line, kind):
+    assert residue.evidence(line) == kind
+
+
 def test_a_frame_of_the_host_is_no_evidence(spark):
     frame = "Please enable JavaScript to view this notebook."
-    rows = [(i, f"{frame}\nown words {i}", ["text"], [0], "framed") for i in range(60)] + [(100, f"{frame}\nError 404", ["text"], [0], "framed"), (101, frame, ["text"], [0], "single")]
+    rows = [(i, f"{frame}\nown words {chr(97 + i % 26)} {chr(97 + i // 26)}", ["text"], [0], "framed") for i in range(60)] + [(100, f"{frame}\nError 404", ["text"], [0], "framed"), (101, frame, ["text"], [0], "single"), (102, frame, ["text"], [0], "framed")]
     got = {r["doc_id"] for r in residue.residue(docs(spark, rows)).collect()}
-    assert got == {100, 101}
+    assert got == {100, 101, 102}  # 102 has nothing but the frame
+
+
+def test_a_frame_is_judged_by_shares_at_every_size(spark):
+    frame = "Please enable JavaScript to view this notebook."
+    letters = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuv"]
+    few = [(i, f"{frame}\nown {letters[i]}", ["text"], [0], "few") for i in range(3)]  # three documents speak for no share
+    half = [(1000 + i, f"{frame if i % 2 else 'a quiet line'}\nown {letters[i]}", ["text"], [0], "half") for i in range(200)]  # half of them is not surely more than half
+    most = [(2000 + i, f"{frame if i % 8 else 'a quiet line'}\nown {letters[i]}", ["text"], [0], "most") for i in range(200)]
+    copies = [(3000 + i, f"{frame}\nthe same text", ["text"], [0], "copies") for i in range(40)]  # copies of one text count once
+    got = {r["doc_id"] for r in residue.residue(docs(spark, few + half + most + copies)).collect()}
+    assert got == {0, 1, 2} | {1000 + i for i in range(200) if i % 2} | {3000 + i for i in range(40)}
 
 
 def test_empty(spark):
