@@ -48,6 +48,33 @@ def nearest_within(points: DataFrame, k: int, radius: float) -> DataFrame:
     return within_radius(points, radius).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_others(points: DataFrame, others: DataFrame, k: int, radii: tuple[float, ...]) -> DataFrame:
+    """``point_id, nid, d, rank``: the k nearest of ``others (nid, x, y)`` in the plane nearer than the last radius; ties by id.
+
+    Points that have k within a radius are served by it; only the others look through the next one, so dense places cost
+    no wide search. Points move to no other cell; ``others`` are put into the nine cells around their own.
+    """
+    todo = points.where(F.col("point_id").isNotNull() & finite("x", "y")).select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    o = others.where(finite("x", "y")).select("nid", "x", "y")
+    out = None
+    for r in radii:
+        cells = o
+        for c in "xy":
+            own = F.floor(F.col(c) / r).cast("long")
+            cells = cells.withColumn(f"c{c}", F.explode(F.sequence(own - 1, own + 1)))
+        at = todo.withColumns({f"c{c}": F.floor(F.col(f"q{c}") / r).cast("long") for c in "xy"})
+        dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+        met = at.join(cells, ["cx", "cy"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") < r)
+        rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d", "nid"))
+        got = cut(met.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "nid", "d", "rank"))
+        full = got.where(F.col("rank") == k).select("point_id")
+        keep = got if r == radii[-1] else got.join(full, "point_id", "left_semi")
+        out = keep if out is None else out.unionByName(keep)
+        if r != radii[-1]:
+            todo = cut(todo.join(full, "point_id", "left_anti"))
+    return out
+
+
 Measure = Callable[[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
 
 

@@ -178,7 +178,7 @@ SQL = {
     "normalized_classes": p("SELECT point_id, code, layer AS name FROM (SELECT point_id, CASE WHEN classification BETWEEN 0 AND 25 OR classification BETWEEN 40 AND 69 THEN classification ELSE 1 END AS code FROM P) LEFT JOIN layer_codes ON asprs_class = code"),
     "plane_assignment": p(
         """SELECT point_id, plane_id, d AS distance FROM (SELECT point_id, plane_id, abs((x - c[1]) * n[1] / l + (y - c[2]) * n[2] / l + (z - c[3]) * n[3] / l) AS d FROM P JOIN (
-        SELECT plane_id, file_id, n, c, sqrt(n[1] * n[1] + n[2] * n[2] + n[3] * n[3]) AS l FROM (SELECT DISTINCT plane_id, file_id, normal AS n, centroid AS c FROM planes WHERE normal IS NOT NULL AND centroid IS NOT NULL)) AS g ON P.file_id = g.file_id AND l > 0 AND (x - c[1]) * (x - c[1]) + (y - c[2]) * (y - c[2]) <= 25)
+        SELECT plane_id, file_id, n, c, sqrt(n[1] * n[1] + n[2] * n[2] + n[3] * n[3]) AS l FROM (SELECT DISTINCT plane_id, file_id, normal AS n, centroid AS c FROM planes WHERE normal IS NOT NULL AND centroid IS NOT NULL)) AS g ON P.file_id = g.file_id AND l > 0)
         WHERE d <= 0.5 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, plane_id) = 1"""),
     "roof_forms": """SELECT file_id, flat, inclined, upright, CASE WHEN inclined = 0 AND flat > 0 THEN 'flat' WHEN inclined = 1 THEN 'shed' WHEN inclined = 2 THEN 'gabled' WHEN inclined BETWEEN 3 AND 4 THEN 'hipped' WHEN inclined > 4 THEN 'complex' ELSE 'none' END AS form
         FROM (SELECT file_id, count(*) FILTER (k IN ('horizontal', 'near_horizontal')) AS flat, count(*) FILTER (k = 'inclined') AS inclined, count(*) FILTER (k IN ('vertical', 'near_vertical')) AS upright FROM (SELECT DISTINCT plane_id, file_id, lower(trim(plane_type)) AS k FROM planes) GROUP BY file_id)""",

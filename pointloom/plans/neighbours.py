@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import shape
@@ -109,13 +108,15 @@ def local_verticality(spark, d):
 
 
 def height_over_ground(spark, d):
-    """Height over the median of the ground points within 1.5 m, five nearest at most."""
-    ps = points(spark, d)
-    ground = ps.where("classification = 2").select(F.col("point_id").alias("nid"), F.col("z").alias("gz"))
-    n = knn.within_radius(ps, RADIUS).join(ground, "nid")
-    n = n.withColumn("r", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "nid"))).where("r <= 5")
-    m = n.groupBy("point_id").agg(F.percentile("gz", 0.5).alias("g"))
-    return ps.select("point_id", "z").join(m, "point_id").select("point_id", (F.col("z") - F.col("g")).alias("height"))
+    """Height over the median of the five nearest ground points in the plane within 5 m; the height itself where there are none."""
+    return heights_over_ground(cut(points(spark, d).select("point_id", "x", "y", "z", "classification")))
+
+
+def heights_over_ground(ps):
+    ground = ps.where("classification = 2").select(F.col("point_id").alias("nid"), "x", "y", F.col("z").alias("gz"))
+    n = knn.nearest_others(ps, ground, 5, (1.25, 5.0)).join(ground.select("nid", "gz"), "nid")
+    m = n.groupBy("point_id").agg(F.percentile("gz", 0.5).alias("g"))  # at most five values
+    return ps.select("point_id", "z").join(m, "point_id", "left").select("point_id", (F.col("z") - F.coalesce("g", F.lit(0.0))).alias("height"))
 
 
 def noise_points(spark, d):
@@ -171,6 +172,11 @@ S{i} AS (SELECT * FROM {rest} ANTI JOIN N{i} USING (point_id))""")
     return ", ".join(out) + f", N AS ({parts} UNION ALL SELECT * FROM ALL_)"
 
 
+#: H(point_id, g): the median height of the five nearest ground points within 5 m in the plane.
+HEIGHTS = """, H AS (SELECT point_id, quantile_cont(gz, 0.5) AS g FROM (SELECT a.point_id, b.z AS gz FROM (SELECT *, floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy FROM P) AS a JOIN (
+      SELECT point_id, x, y, z, cx + i AS cx, cy + j AS cy FROM (SELECT *, floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy FROM P WHERE classification = 2), range(-1, 2) AS t1(i), range(-1, 2) AS t2(j)) AS b USING (cx, cy)
+      WHERE sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < 5.0
+      QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), b.point_id) <= 5) GROUP BY point_id)"""
 _ALL = _near("P")
 _KNN = nearest_sql("P", K)
 _LAB = nearest_sql("(SELECT * FROM P WHERE classification IS NOT NULL)", K)
@@ -202,8 +208,7 @@ SQL = {
     "curvature_from_normals": f("SELECT N.point_id, avg(sqrt((a.nx - o.nx) ** 2 + (a.ny - o.ny) ** 2 + (a.nz - o.nz) ** 2)) AS curvature FROM N JOIN F AS a ON a.point_id = N.point_id JOIN F AS o ON o.point_id = nid GROUP BY 1", nearest_sql("F", K), "nx ny nz"),
     "local_verticality": p(
         """SELECT point_id, CASE WHEN greatest(dx, dy) > 0.01 THEN least(1, dz / greatest(dx, dy) / 5) ELSE 0 END AS verticality FROM (SELECT W.point_id, count(*) AS n, max(x) - min(x) AS dx, max(y) - min(y) AS dy, max(z) - min(z) AS dz FROM W JOIN P ON P.point_id = nid GROUP BY 1) WHERE n >= 3""", _ALL),
-    "height_over_ground": p(
-        """SELECT P.point_id, P.z - g AS height FROM P JOIN (SELECT point_id, quantile_cont(gz, 0.5) AS g FROM (SELECT W.point_id, o.z AS gz, row_number() OVER (PARTITION BY W.point_id ORDER BY d, nid) AS r FROM W JOIN P AS o ON o.point_id = nid WHERE o.classification = 2) WHERE r <= 5 GROUP BY 1) AS q ON q.point_id = P.point_id""", _ALL),
+    "height_over_ground": p("SELECT P.point_id, z - coalesce(g, 0) AS height FROM P LEFT JOIN H USING (point_id)", HEIGHTS),
     "noise_points": p("SELECT a.point_id FROM P AS a LEFT JOIN W ON W.point_id = a.point_id LEFT JOIN P AS o ON o.point_id = nid WHERE a.classification = 1 GROUP BY a.point_id HAVING count(nid) < 3 OR abs(any_value(a.z) - quantile_cont(o.z, 0.5)) > 5", _ALL),
     "density_clusters": f"{_DBSCAN} SELECT * FROM O",
     "cluster_statistics": f"{_DBSCAN} SELECT cluster, count(*) AS n, min(z) AS z0, max(z) AS z1, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM O JOIN P USING (point_id) WHERE cluster > 0 GROUP BY cluster",

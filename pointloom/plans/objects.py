@@ -131,7 +131,7 @@ SQL = {
     "footprint_shifts": p(
         """SELECT box_id, dx, dy, score FROM (SELECT box_id, dx, dy, coalesce(sum(g), 0)::DOUBLE AS score FROM X LEFT JOIN (SELECT x, y, CASE classification WHEN 6 THEN 1 ELSE -1 END AS g FROM P WHERE classification IN (2, 6)) ON x BETWEEN x0 + dx AND x1 + dx AND y BETWEEN y0 + dy AND y1 + dy GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY score DESC, abs(dx) + abs(dy), dx, dy) = 1""",
-        """, X AS (SELECT box_id, x0, y0, x1, y1, i::DOUBLE AS dx, j::DOUBLE AS dy FROM (SELECT DISTINCT poly_id AS box_id, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1 FROM polygons WHERE layer = 'buildings' AND isfinite(xmin) AND isfinite(ymin) AND isfinite(xmax) AND isfinite(ymax)), range(-1, 2) AS a(i), range(-1, 2) AS b(j))"""),
+        """, X AS (SELECT box_id, x0, y0, x1, y1, i::DOUBLE / 2 AS dx, j::DOUBLE / 2 AS dy FROM (SELECT DISTINCT poly_id AS box_id, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1 FROM polygons WHERE layer = 'buildings' AND isfinite(xmin) AND isfinite(ymin) AND isfinite(xmax) AND isfinite(ymax)), range(-10, 11) AS a(i), range(-10, 11) AS b(j))"""),
     "multi_scale": p(
         f"""SELECT point_id, n0, n1, n2, {_mean([f'({w} / (1 + coalesce(var{i}, 0)))' for i, w in enumerate(WEIGHTS)])} AS by_variance, {_mean([str(w) for w in WEIGHTS])} AS plain,
         {_mean([f'exp(-2 * abs(1 - least(1, var2) - {i} / 2.0::DOUBLE))' for i in range(3)])} AS adaptive, coalesce(len(a) > 1 AND list_var_pop(a) > 0.01, false) AS disagree FROM (SELECT *, [v FOR v IN [mean0, mean1, mean2] IF v IS NOT NULL] AS a FROM Y)""", _SCALES),

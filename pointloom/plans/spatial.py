@@ -134,8 +134,11 @@ SQL = {
         """SELECT point_id, building_id AS centre_id, d AS distance FROM (SELECT point_id, building_id, sqrt((x - centroid_x) ** 2 + (y - centroid_y) ** 2) AS d FROM P JOIN fused_buildings ON isfinite(centroid_x) AND isfinite(centroid_y) AND x BETWEEN centroid_x - 10 AND centroid_x + 10 AND y BETWEEN centroid_y - 10 AND centroid_y + 10)
         WHERE d <= 10 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, building_id) = 1"""),
     "terrain_heights": p(
-        """SELECT point_id, z - coalesce(value, around) AS above FROM (SELECT *, floor(y / 2)::BIGINT AS r, floor(x / 2)::BIGINT AS c FROM P) LEFT JOIN R USING (r, c) LEFT JOIN (
-        SELECT r + i AS r, c + j AS c, avg(value) AS around FROM R, range(-1, 2) AS a(i), range(-1, 2) AS b(j) GROUP BY 1, 2) USING (r, c)""",
+        """SELECT point_id, z - value AS above FROM (SELECT *, floor(y / 2)::BIGINT AS r, floor(x / 2)::BIGINT AS c FROM P) JOIN R USING (r, c) UNION ALL
+        SELECT point_id, z - value AS above FROM (SELECT q.point_id, q.z, o.value, row_number() OVER (PARTITION BY q.point_id ORDER BY sqrt((q.x - (o.c + 0.5) * 2) * (q.x - (o.c + 0.5) * 2) + (q.y - (o.r + 0.5) * 2) * (q.y - (o.r + 0.5) * 2)), o.r, o.c) AS k
+        FROM (SELECT * FROM (SELECT *, floor(y / 2)::BIGINT AS r, floor(x / 2)::BIGINT AS c FROM P) ANTI JOIN R USING (r, c)) AS q JOIN (SELECT r + i AS near_r, c + j AS near_c, r, c, value FROM R, range(-6, 7) AS a(i), range(-6, 7) AS b(j)) AS o ON o.near_r = q.r AND o.near_c = q.c
+        WHERE sqrt((q.x - (o.c + 0.5) * 2) * (q.x - (o.c + 0.5) * 2) + (q.y - (o.r + 0.5) * 2) * (q.y - (o.r + 0.5) * 2)) <= 10) WHERE k = 1 UNION ALL
+        SELECT point_id, NULL FROM (SELECT *, floor(y / 2)::BIGINT AS r, floor(x / 2)::BIGINT AS c FROM P) AS q WHERE NOT EXISTS (FROM R WHERE sqrt((q.x - (R.c + 0.5) * 2) * (q.x - (R.c + 0.5) * 2) + (q.y - (R.r + 0.5) * 2) * (q.y - (R.r + 0.5) * 2)) <= 10) AND NOT EXISTS (FROM R WHERE R.r = q.r AND R.c = q.c)""",
         ", R AS (SELECT floor(y / 2)::BIGINT AS r, floor(x / 2)::BIGINT AS c, min(z) AS value FROM P WHERE classification = 2 GROUP BY 1, 2)"),
     "touching_tiles": p(
         """SELECT a.tile AS tile_a, b.tile AS tile_b FROM T AS a JOIN T AS b ON a.tile < b.tile WHERE (least(abs(a.x1 - b.x0), abs(b.x1 - a.x0)) <= 10 AND a.y0 < b.y1 AND b.y0 < a.y1) OR (least(abs(a.y1 - b.y0), abs(b.y1 - a.y0)) <= 10 AND a.x0 < b.x1 AND b.x0 < a.x1)""", TILES),
