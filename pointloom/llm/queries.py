@@ -17,9 +17,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest vectors of every vector: four trees, one descent in each."""
+    """The nearest vectors of every vector."""
     v = vectors.point_vectors(table(spark, d, "points"), table(spark, d, "point_features"))
-    near = vectors.neighbours(v, int(settings(spark, d)["knn_k"]), trees=4, want=128, steps=())
+    near = vectors.all_neighbours(v, int(settings(spark, d)["knn_k"]))
     return near.withColumnRenamed("id", "point_id")
 
 
@@ -151,7 +151,7 @@ SELECT file_id, tile_key FROM g QUALIFY count(DISTINCT file_id) OVER (PARTITION
 """,
     "p1_found": """
 WITH f AS (SELECT * FROM point_features QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY enriched_at DESC) = 1),
-p AS (SELECT point_id, min(x) AS x, min(y) AS y, min(z) AS z FROM points WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id),
+p AS (SELECT point_id, q.x AS x, q.y AS y, q.z AS z FROM (SELECT point_id, min({'x': x, 'y': y, 'z': z}) AS q FROM points WHERE isfinite(x) AND isfinite(y) AND isfinite(z) GROUP BY point_id)),
 v AS (SELECT point_id, [x / 10, y / 10, z / 10, nx, ny, nz, planarity, linearity, sphericity, anisotropy, verticality, omnivariance, eigenentropy, curvature, roughness, density]::DOUBLE[16] AS v
       FROM f JOIN p USING (point_id)
       WHERE isfinite(nx) AND isfinite(ny) AND isfinite(nz) AND isfinite(planarity) AND isfinite(linearity) AND isfinite(sphericity) AND isfinite(anisotropy)

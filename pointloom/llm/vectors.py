@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.runtime import cut, finite, only
+from pointloom.runtime import cut, finite, only, partitions
 
-#: Bounds of the fit: rows of the sample, rows whose true distances set the probing steps, leaves a tree.
-SAMPLE, PILOTS, LEAVES = 50_000, 64, 8192
+#: Bounds of the fit: rows of the sample, rows whose true distances set the probing steps, borders of leaves a tree (a leaf
+#: that is larger for it is salted). Rows of a sorted array that are searched at once.
+SAMPLE, PILOTS, LEAVES, CHUNK = 50_000, 64, 8192, 16_384
 #: Levels of a hash string: each halves the cell in every direction, so PLANES x LEVELS bits are 16 bytes.
 LEVELS, WIDTH = 32, 16
 
@@ -57,21 +59,19 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(a.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
 
 
-def fit(vectors: DataFrame, trees: int, k: int, per_leaf: int, seed: int) -> tuple[Forest, int, int]:
-    """Fit a forest on a bounded sample: ``(forest, dimensions, rows)``.
-
-    The sample (at most about SAMPLE rows, by hash of the id) sets the scale, and in each tree the borders of leaves of
-    about ``per_leaf`` rows in the order of strings. Strings that fill more than a leaf by themselves (copies of one
-    vector) get so many salts that their rows spread over as many groups. The step is the median distance of PILOTS
-    rows to their k-th nearest among all rows.
-    """
+def _sample(vectors: DataFrame, seed: int) -> tuple[np.ndarray, int, int]:
+    """At most about SAMPLE rows by hash of the id, in order of ids, the dimensions, and the number of all rows."""
     n = vectors.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(2 * SAMPLE)
-    table = picked.select("id", "vec").toArrow()
+    table = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("id", "vec").toArrow()
     dims = len(table["vec"][0].as_py()) if table.num_rows else 1
     x = _matrix(table["vec"], dims) if table.num_rows else np.zeros((1, dims))
-    x = x[np.argsort(table["id"].to_numpy(), kind="stable")] if table.num_rows else x
+    return x[np.argsort(table["id"].to_numpy(), kind="stable")] if table.num_rows else x, dims, n
+
+
+def directions(x: np.ndarray, trees: int, seed: int) -> Forest:
+    """A forest without leaves: the scale of a sample, and per tree random orthogonal directions and an offset."""
+    dims = x.shape[1]
     rng = np.random.default_rng(seed)
     m = WIDTH * 8 // LEVELS
     centre = np.median(x, axis=0)
@@ -81,7 +81,19 @@ def fit(vectors: DataFrame, trees: int, k: int, per_leaf: int, seed: int) -> tup
     for _ in range(trees):
         square = np.linalg.qr(rng.normal(size=(max(dims, m), max(dims, m))))[0]
         axes.append(square[:dims, :m])
-    forest = Forest(axes, centre, side, [rng.uniform(-side / 4, side / 4, m) for _ in range(trees)])
+    return Forest(axes, centre, side, [rng.uniform(-side / 4, side / 4, m) for _ in range(trees)])
+
+
+def fit(vectors: DataFrame, trees: int, k: int, per_leaf: int, seed: int) -> tuple[Forest, int, int]:
+    """Fit a forest on a bounded sample: ``(forest, dimensions, rows)``.
+
+    The sample sets the scale, and in each tree the borders of leaves of about ``per_leaf`` rows in the order of strings,
+    at most LEAVES. Leaves that hold more, as the table is larger or as many rows share one string, get so many salts that
+    a group of rows is never larger than about four times ``per_leaf``. The step is the median distance of PILOTS rows to
+    their k-th nearest among all rows.
+    """
+    x, dims, n = _sample(vectors, seed)
+    forest = directions(x, trees, seed)
     weight = n / len(x)
     leaves = int(min(LEAVES, max(1, round(n / per_leaf)), len(x)))
     for t in range(trees):
@@ -89,7 +101,8 @@ def fit(vectors: DataFrame, trees: int, k: int, per_leaf: int, seed: int) -> tup
         border = np.unique(s[(np.arange(1, leaves) * len(s)) // leaves]) if leaves > 1 else s[:0]
         size = np.bincount(np.searchsorted(border, s, side="right"), minlength=len(border) + 1) * weight
         forest.borders.append(border)
-        forest.salts.append(np.maximum(1, np.ceil(size / (4 * max(per_leaf, n / leaves)))).astype(np.int64))
+        forest.salts.append(np.maximum(1, np.ceil(size / (4 * per_leaf))).astype(np.int64))
+    rng = np.random.default_rng(seed + 1)
     forest.step = _pilot_step(vectors, x[rng.choice(len(x), min(PILOTS, len(x)), replace=False)], k, dims)
     return forest, dims, n
 
@@ -125,27 +138,6 @@ def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(byte == 0, 8 * WIDTH, 8 * first + 7 - np.floor(np.log2(np.maximum(byte, 1))).astype(np.int64))
 
 
-def _search_once(strings, raw, ids, vecs, mine, query_ids, queries, k: int, want: int):
-    """One descent a query, many queries at once: the same candidates as ``_search`` has for the unmoved place."""
-    n, out = len(ids), []
-    for lo in range(0, len(query_ids), 256):
-        q, qi, own = queries[lo : lo + 256], query_ids[lo : lo + 256], mine[lo : lo + 256]
-        rows = np.searchsorted(strings, own)[:, None] + np.arange(-want, want)[None]
-        ok = (rows >= 0) & (rows < n)
-        rows = np.where(ok, rows, 0)
-        if n > want:
-            prefix = np.where(ok, _prefix(raw[rows], own.view(np.uint8).reshape(-1, WIDTH)[:, None]), -1)
-            keep = np.argpartition(-prefix, want - 1, axis=1)[:, :want]
-            rows, ok = np.take_along_axis(rows, keep, 1), np.take_along_axis(ok, keep, 1)
-        ok &= ids[rows] != qi[:, None]
-        d = np.where(ok, ((vecs[rows] - q[:, None]) ** 2).sum(2), np.inf)
-        order = np.lexsort((ids[rows], d), axis=1)[:, :k]
-        rows, d = np.take_along_axis(rows, order, 1), np.take_along_axis(d, order, 1)
-        found = np.isfinite(d)
-        out.append((np.broadcast_to(qi[:, None], d.shape)[found], ids[rows][found], d[found]))
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
 def _search(forest: Forest, tree: int, ids, vecs, query_ids, queries, k: int, want: int, steps: tuple[float, ...]):
     """The k nearest candidates of each query in one sorted array: rows (query, candidate, squared distance)."""
     strings = forest.strings(forest.project(tree, vecs))
@@ -154,8 +146,6 @@ def _search(forest: Forest, tree: int, ids, vecs, query_ids, queries, k: int, wa
     n = len(ids)
     raw = strings.view(np.uint8).reshape(n, WIDTH)
     starts = np.arange(0, n)
-    if not steps:
-        return _search_once(strings, raw, ids, vecs, forest.strings(forest.project(tree, queries)), query_ids, queries, k, want)
     out_q, out_c, out_d = [], [], []
     span = np.arange(-want, want)
     for lo in range(0, len(query_ids), 256):
@@ -214,7 +204,7 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
     by ``steps`` times the typical k-th distance, which makes up for a border of a coarse cell just beside it. All
     candidates get exact distances. Fewer than k other rows give fewer neighbours. Ties: the smaller id. Leaves that no
     query reaches are not moved at all. Accuracy is measured against brute force in the tests (at least 0.9; the value
-    reached is in the README).
+    reached is in the README). For every vector as a query see ``all_neighbours``.
     """
     forest, dims, n = fit(vectors, trees, k, per_leaf, seed)
     # The forest travels with the functions that use it: it is bounded by LEAVES x trees borders of 16 bytes.
@@ -227,29 +217,36 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
         for t in range(trees):
             leaf = f.leaf(t, f.strings(f.project(t, v))) if len(v) else np.empty(0, np.int64)
             salt = (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % f.salts[t][leaf]
-            cols.append((np.int64(t) << 40) | (leaf.astype(np.int64) << 16) | salt)
+            cols.append((np.int64(t) << 56) | (leaf.astype(np.int64) << 40) | salt)
         flat = np.stack(cols, 1).ravel() if len(v) else np.empty(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * trees + 1, trees), pa.int32()), pa.array(flat))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def reached(vec: pa.Array) -> pa.Array:
         f, v = forest, _matrix(vec, dims)
-        out = [[] for _ in range(len(v))]
+        if not len(v):
+            return pa.array([], pa.list_(pa.int64()))
+        rows, keys = [], []
         for t in range(trees):
-            if not len(v):
-                break
             places = f.probes(f.project(t, v), steps)
-            leaves = f.leaf(t, f.strings(places.reshape(-1, places.shape[2]))).reshape(len(v), -1)
-            for i, row in enumerate(leaves):
-                for leaf in np.unique(row):
-                    out[i] += [(t << 40) | (int(leaf) << 16) | s for s in range(f.salts[t][leaf])]
-        return pa.array(out, pa.list_(pa.int64()))
+            leaves = np.sort(f.leaf(t, f.strings(places.reshape(-1, places.shape[2]))).reshape(len(v), -1), axis=1)
+            new = np.concatenate([np.ones((len(v), 1), bool), leaves[:, 1:] != leaves[:, :-1]], 1)
+            row, leaf = np.nonzero(new)[0], leaves[new]
+            salts = f.salts[t][leaf]
+            first = np.repeat(np.cumsum(salts) - salts, salts)
+            rows.append(np.repeat(row, salts))
+            keys.append((np.int64(t) << 56) | (np.repeat(leaf, salts).astype(np.int64) << 40) | (np.arange(salts.sum()) - first))
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        order = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(v)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order]))
 
     index = vectors.select("id", "vec", F.explode(home("id", "vec")).alias("leaf"))
     goals = cut(asked.select("id", "vec", F.explode(reached("vec")).alias("leaf")))
     if queries is not None:
-        wanted = goals.select("leaf").distinct()
-        index = index.join(F.broadcast(wanted), "leaf", "left_semi")  # at most LEAVES and their salts a tree
+        wanted = cut(goals.select("leaf").distinct())
+        few = wanted.limit(4 * LEAVES + 1).count() <= 4 * LEAVES
+        index = index.join(F.broadcast(wanted) if few else wanted, "leaf", "left_semi")
 
     kind = "id long, neighbour long, d double"
 
@@ -258,7 +255,7 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
             q = c = np.empty(0, np.int64)
             d = np.empty(0)
         else:
-            tree = key[0].as_py() >> 40
+            tree = key[0].as_py() >> 56
             q, c, d = _search(forest, tree, rows["id"].to_numpy(), _matrix(rows["vec"], dims), asking["id"].to_numpy(), _matrix(asking["vec"], dims), k, min(want, rows.num_rows), steps)
         return pa.table({"id": pa.array(q, pa.int64()), "neighbour": pa.array(c, pa.int64()), "d": pa.array(d, pa.float64())})
 
@@ -268,6 +265,110 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, tre
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", F.sqrt("d").alias("distance"), "rank")
 
 
+def _window(x: np.ndarray, order: np.ndarray, group: np.ndarray, k: int, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each row among ``want`` rows on either side in an order, of its own group: rows and squared distances.
+
+    In a sorted array the neighbours on both sides are those that share the longest prefixes, so this is the ascent from
+    the longest-prefix match to both sides at once; the distances of a pair are taken once for both.
+    """
+    n, x, g = len(order), x[order], group[order]
+    d = np.full((n, 2 * want), np.inf)
+    for o in range(1, min(want, n - 1) + 1):
+        gap = x[o:] - x[:-o]
+        v = np.einsum("ij,ij->i", gap, gap)
+        v[g[o:] != g[:-o]] = np.inf
+        d[:-o, want + o - 1] = v
+        d[o:, want - o] = v
+    some = min(k, 2 * want)
+    near = np.argpartition(d, some - 1, axis=1)[:, :some]
+    best = np.take_along_axis(d, near, 1)
+    at = np.arange(n)[:, None] + np.where(near >= want, near - want + 1, near - want)
+    rows, dist = np.empty((n, some), int), np.empty((n, some))
+    rows[order] = np.where(np.isfinite(best), order[np.clip(at, 0, n - 1)], -1)
+    dist[order] = best
+    return rows, dist
+
+
+def _best(rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest different rows of several lists, nearest first, ties by id; -1 and infinity where there are fewer."""
+    order = np.argsort(rows, axis=1, kind="stable")
+    rows, dist = np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
+    again = np.concatenate([np.zeros((len(rows), 1), bool), rows[:, 1:] == rows[:, :-1]], 1)
+    dist = np.where(again | (rows < 0), np.inf, dist)
+    order = np.lexsort((ids[rows], dist), axis=1)[:, :k]
+    return np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
+
+
+def all_neighbours(vectors: DataFrame, k: int, trees: int = 3, locals_: int = 4, want: int = 64, seed: int = 11) -> DataFrame:
+    """``id, neighbour, distance, rank``: for every vector its k most similar ones, Euclidean, within a small loss.
+
+    vectors  as in ``neighbours``.
+
+    Each tree is one array of all rows, range-partitioned and sorted by (hash string, id): borders come from the data, rows
+    of one string are parted by id, and no task holds more than a partition. A task slides over its array in chunks of
+    CHUNK rows that overlap by ``want``. In a chunk, a stretch of rows with a common prefix, it sorts by ``locals_`` strings
+    of other directions too, so one shuffle serves several arrays of the forest; in each, every row ascends on both sides
+    to ``want`` rows. Exact distances decide. What leaves a tree is one row of k neighbours a vector; the lists of the
+    trees are then united. Fewer than k other rows give fewer neighbours. Ties: the smaller id. An id with several rows is
+    never its own neighbour. Accuracy is measured by ``recall``.
+    """
+    x, dims, n = _sample(vectors, seed)
+    forest = directions(x, trees * locals_, seed)
+    # Small tables get few partitions, as rows at the border of one ascend on one side only.
+    parts = max(1, min(trees * partitions(vectors.sparkSession), -(-trees * n // (2 * CHUNK))))
+
+    def hashed(batches):
+        for b in batches:
+            v = _matrix(b.column("vec"), dims)
+            for t in range(trees):
+                s = forest.strings(forest.project(t * locals_, v)) if len(v) else np.empty(0, f"S{WIDTH}")
+                raw = pa.Array.from_buffers(pa.binary(WIDTH), len(v), [None, pa.py_buffer(np.ascontiguousarray(s).view(np.uint8).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t), pa.int32()), raw, b.column("id"), b.column("vec")], names=["tree", "string", "id", "vec"])
+
+    rows = vectors.select("id", "vec").mapInArrow(hashed, "tree int, string binary, id long, vec array<double>")
+    rows = rows.repartitionByRange(parts, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
+
+    def search(tree: np.ndarray, ids: np.ndarray, v: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+        found, dist = [], []
+        for j in range(locals_):
+            order = np.arange(len(ids))
+            if j:
+                key = np.empty(len(ids), f"S{WIDTH}")
+                for t in np.unique(tree):
+                    own = tree == t
+                    key[own] = forest.strings(forest.project(int(t) * locals_ + j, v[own]))
+                order = np.lexsort((ids, key, tree))
+            r, d = _window(v, order, tree, k + 1, want)
+            found.append(r)
+            dist.append(d)
+        near, d = _best(np.concatenate(found, 1), np.concatenate(dist, 1), ids, k + 1)
+        near, d = near[first:last], d[first:last]
+        d = np.where(ids[near] == ids[first:last, None], np.inf, d)  # other rows of the same id
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        ok = np.isfinite(d)
+        ends = np.concatenate([[0], np.cumsum(ok.sum(1))])
+        return pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok]), pa.array(ids[near][ok])], ["d", "neighbour"]))], names=["id", "near"])
+
+    def slide(batches):
+        held = (np.empty(0, int), np.empty(0, np.int64), np.empty((0, dims)))
+        done = 0  # rows of ``held`` that have their neighbours and only serve those behind them
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                new = (b.column("tree").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("vec"), dims))
+                held = tuple(np.concatenate(c) for c in zip(held, new))
+            while len(held[1]) - done >= CHUNK + want or (b is None and done < len(held[1])):
+                last = len(held[1]) if b is None and len(held[1]) - done <= CHUNK + want else done + CHUNK
+                yield search(*(c[: last + want] for c in held), done, last)
+                keep = max(0, last - want)
+                held, done = tuple(c[keep:] for c in held), last - keep
+
+    lists = rows.mapInArrow(slide, "id long, near array<struct<d:double,neighbour:long>>")
+    best = lists.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    out = best.select("id", F.posexplode("near").alias("at", "n"))
+    return out.select("id", F.col("n.neighbour").alias("neighbour"), F.sqrt("n.d").alias("distance"), (F.col("at") + 1).alias("rank"))
+
+
 def whole_vectors(df: DataFrame, id_col: str, parts: list[Column]) -> DataFrame:
     """``id, vec`` of the rows whose id is not NULL and whose every part is finite; other rows have no vector."""
     named = df.select(F.col(f"`{id_col}`").alias("id"), *[c.cast("double").alias(f"v{i}") for i, c in enumerate(parts)])
@@ -290,9 +391,9 @@ def point_vectors(points: DataFrame, features: DataFrame) -> DataFrame:
     latest = f.groupBy("point_id").agg(F.max(F.struct("enriched_at", *columns)).alias("f")).select("point_id", *[f"f.{c}" for c in columns])
     latest = latest.where(finite(*columns))
     place = only(points, "point_id", "x", "y", "z").where(F.col("point_id").isNotNull() & finite("x", "y", "z"))
-    place = place.groupBy("point_id").agg(*[F.first(c).alias(c) for c in "xyz"])
+    place = place.groupBy("point_id").agg(F.min(F.struct("x", "y", "z")).alias("p"))  # one row's place, should rows disagree
     both = latest.join(place, "point_id")
-    return cut(whole_vectors(both, "point_id", [F.col("x") / 10, F.col("y") / 10, F.col("z") / 10, *[F.col(c) for c in columns]]))
+    return cut(whole_vectors(both, "point_id", [*[F.col(f"p.{c}") / 10 for c in "xyz"], *[F.col(c) for c in columns]]))
 
 
 def recall(found: DataFrame, vectors: DataFrame, query_ids: list[int], k: int) -> float:
