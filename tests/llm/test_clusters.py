@@ -61,14 +61,84 @@ def test_blocks_of_a_hot_cluster(spark, monkeypatch):
     assert len(got) == 100 and {r["cluster_id"] for r in got} == {0}
 
 
-def test_tree_keeps_all_mass_and_its_bound():
+def facets(rng, n, spread=8):
+    """Planes of a few facets at one place: most share a facet, the others have their own indices."""
+    rows = []
+    for i in range(n):
+        facet = 0 if rng.random() < 0.6 else int(rng.integers(1, spread))
+        idx = rng.choice(12, 9, replace=False) + 40 * facet
+        rows.append((i, 1, [int(x) for x in idx], [0.0, 0.02 * float(rng.normal()), 1.0], [float(v) for v in rng.normal(size=3) * 0.2]))
+    return rows
+
+
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 12)
+    rows = facets(np.random.default_rng(21), 150)
+    got = {r["plane_id"]: r["cluster_id"] for r in clusters.similar_groups(planes(spark, rows), 10, 2, 0.5).collect()}
+    want = brute(rows, 10, 2, 0.5)
+    assert got == want and len(set(want.values())) > 2
+
+
+def test_a_hot_cluster_copies_only_what_is_left_over(spark, monkeypatch):
+    """Twelve hundred planes of one facet in a hundred blocks: rows are shown to other blocks for the few odd ones only."""
+    monkeypatch.setattr(clusters, "BLOCK", 12)
+    rows = [(i, 1, [1, 2, 3], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0001 * i]) for i in range(1200)] + [(5000 + i, 1, [900 + i // 2], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0]) for i in range(6)]
+    shown = []
+    between = clusters._between
+
+    def counted(hot, *rest):
+        shown.append(hot)
+        return between(hot, *rest)
+
+    monkeypatch.setattr(clusters, "_between", counted)
+    got = clusters.similar_groups(planes(spark, rows), 10, 2, 0.3).collect()
+    assert shown and {r["cluster_id"] for r in got} == {0, 5000, 5002, 5004} and len(got) == 1206
+    links = spark.createDataFrame([(0, i) for i in range(1, 1200)], "a long, b long")  # what the blocks and their chain give
+    at = clusters._labelled(shown[0], links)
+    assert at.where("label <> 0").count() == 6  # only these are copied to the other blocks
+
+
+def test_tree_keeps_all_mass_and_its_threshold():
     rng = np.random.default_rng(4)
-    tree = clusters.CFTree(3, 0.01, most=50)
+    tree = clusters.CFTree(3, 0.5)
     x = rng.normal(size=(3000, 3))
     for v in x:
         tree.add(1.0, v, float(v @ v))
-    n, ls, _ = zip(*tree.leaves())
-    assert sum(n) == 3000 and len(n) <= 50 and np.allclose(sum(ls), x.sum(0))
+    n, ls, ss = (np.array(c) for c in zip(*tree.leaves()))
+    c = ls / n[:, None]
+    assert n.sum() == 3000 and len(n) < 1500 and np.allclose(ls.sum(0), x.sum(0))
+    assert (ss / n - (c**2).sum(1) <= 0.25 + 1e-9).all()
+
+
+def test_a_large_leaf_takes_in_nothing_far_off():
+    tree = clusters.CFTree(1, 0.5)
+    for v in [0.0] * 10_000 + [5.0]:
+        tree.add(1.0, np.array([v]), v * v)
+    assert sorted(n for n, _, _ in tree.leaves()) == [1, 10_000]
+
+
+def test_more_facets_than_any_cap_stay_apart(spark):
+    """Seven hundred different facets of one file are seven hundred clusters, on both sides of every cell border."""
+    rows = [(i, 1, [i], [0.0, 0.0, 1.0], [6.0 * (i % 30), 6.0 * (i // 30), 0.1 * j]) for i in range(700) for j in (0,)]
+    rows += [(10_000 + i, 1, [i], [0.0, 0.0, 1.0], [6.0 * (i % 30), 6.0 * (i // 30), 0.1]) for i in range(700)]
+    v, c = clusters.plane_clusters(planes(spark, rows), 10, 2)
+    got = clusters.describe(v, c).collect()
+    assert len(got) == 700 and {r["size"] for r in got} == {2} and {tuple(sorted(x % 10_000 for x in r["typical"])) for r in got} == {(i, i) for i in range(700)}
+
+
+def test_clusters_of_planted_facets_are_pure(spark):
+    rng = np.random.default_rng(31)
+    normals = [[0, 0, 1], [0, 1, 0], [1, 0, 0]]
+    rows = []
+    for i in range(600):
+        f = i % 12
+        n = np.array(normals[f % 3], float) + rng.normal(size=3) * 0.02
+        rows.append((i, f // 6, [1], [float(x) for x in n * rng.choice([-2, 1])], [float(x) for x in np.array([(f % 6) * 5.0, 15.9, 0.0]) + rng.normal(size=3) * 0.2]))
+    v, c = clusters.plane_clusters(planes(spark, rows), 10, 2)
+    a = clusters.assign(v.select("plane_id", "key", "vec"), c).select("plane_id", "key", "cid").toPandas()
+    a["facet"] = a["plane_id"] % 12
+    assert len(a) == 600 and (a.groupby(["key", "cid"])["facet"].nunique() == 1).all()
+    assert (a.groupby(["facet", "cid"]).size().groupby("facet").max() >= 45).all()  # of 50
 
 
 def test_ward_separates_groups():
