@@ -15,7 +15,7 @@ from pointloom.runtime import cut, finite, only, partitions
 
 #: Bounds of the fit: rows of the sample, rows whose true distances set the probing steps, borders of leaves a tree (a leaf
 #: that is larger for it is salted). Rows of a sorted array that are searched at once.
-SAMPLE, PILOTS, LEAVES, CHUNK = 50_000, 64, 8192, 16_384
+SAMPLE, PILOTS, LEAVES, CHUNK = 50_000, 64, 8192, 65_536
 #: Levels of a hash string: each halves the cell in every direction, so PLANES x LEVELS bits are 16 bytes.
 LEVELS, WIDTH = 32, 16
 
@@ -299,7 +299,7 @@ def _best(rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def all_neighbours(vectors: DataFrame, k: int, trees: int = 3, locals_: int = 4, want: int = 64, seed: int = 11) -> DataFrame:
+def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6, want: int = 64, seed: int = 11) -> DataFrame:
     """``id, neighbour, distance, rank``: for every vector its k most similar ones, Euclidean, within a small loss.
 
     vectors  as in ``neighbours``.
@@ -308,8 +308,8 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 3, locals_: int = 4,
     of one string are parted by id, and no task holds more than a partition. A task slides over its array in chunks of
     CHUNK rows that overlap by ``want``. In a chunk, a stretch of rows with a common prefix, it sorts by ``locals_`` strings
     of other directions too, so one shuffle serves several arrays of the forest; in each, every row ascends on both sides
-    to ``want`` rows. Exact distances decide. What leaves a tree is one row of k neighbours a vector; the lists of the
-    trees are then united. Fewer than k other rows give fewer neighbours. Ties: the smaller id. An id with several rows is
+    to ``want`` rows. Exact distances decide. What leaves a tree is one row of k neighbours a vector, distances in single
+    precision; the lists of the trees are then united. Fewer than k other rows give fewer neighbours. Ties: the smaller id. An id with several rows is
     never its own neighbour. Accuracy is measured by ``recall``.
     """
     x, dims, n = _sample(vectors, seed)
@@ -348,7 +348,7 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 3, locals_: int = 4,
         near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
         ok = np.isfinite(d)
         ends = np.concatenate([[0], np.cumsum(ok.sum(1))])
-        return pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok]), pa.array(ids[near][ok])], ["d", "neighbour"]))], names=["id", "near"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok].astype(np.float32)), pa.array(ids[near][ok])], ["d", "neighbour"]))], names=["id", "near"])
 
     def slide(batches):
         held = (np.empty(0, int), np.empty(0, np.int64), np.empty((0, dims)))
@@ -363,10 +363,10 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 3, locals_: int = 4,
                 keep = max(0, last - want)
                 held, done = tuple(c[keep:] for c in held), last - keep
 
-    lists = rows.mapInArrow(slide, "id long, near array<struct<d:double,neighbour:long>>")
+    lists = rows.mapInArrow(slide, "id long, near array<struct<d:float,neighbour:long>>")
     best = lists.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     out = best.select("id", F.posexplode("near").alias("at", "n"))
-    return out.select("id", F.col("n.neighbour").alias("neighbour"), F.sqrt("n.d").alias("distance"), (F.col("at") + 1).alias("rank"))
+    return out.select("id", F.col("n.neighbour").alias("neighbour"), F.sqrt(F.col("n.d").cast("double")).alias("distance"), (F.col("at") + 1).alias("rank"))
 
 
 def whole_vectors(df: DataFrame, id_col: str, parts: list[Column]) -> DataFrame:
