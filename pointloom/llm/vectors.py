@@ -272,7 +272,7 @@ def _window(x: np.ndarray, order: np.ndarray, group: np.ndarray, k: int, want: i
     the longest-prefix match to both sides at once; the distances of a pair are taken once for both.
     """
     n, x, g = len(order), x[order], group[order]
-    d = np.full((n, 2 * want), np.inf)
+    d = np.full((n, 2 * want), np.inf, x.dtype)
     for o in range(1, min(want, n - 1) + 1):
         gap = x[o:] - x[:-o]
         v = np.einsum("ij,ij->i", gap, gap)
@@ -283,7 +283,7 @@ def _window(x: np.ndarray, order: np.ndarray, group: np.ndarray, k: int, want: i
     near = np.argpartition(d, some - 1, axis=1)[:, :some]
     best = np.take_along_axis(d, near, 1)
     at = np.arange(n)[:, None] + np.where(near >= want, near - want + 1, near - want)
-    rows, dist = np.empty((n, some), int), np.empty((n, some))
+    rows, dist = np.empty((n, some), int), np.empty((n, some), x.dtype)
     rows[order] = np.where(np.isfinite(best), order[np.clip(at, 0, n - 1)], -1)
     dist[order] = best
     return rows, dist
@@ -299,7 +299,7 @@ def _best(rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6, want: int = 64, seed: int = 11) -> DataFrame:
+def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 5, want: int = 64, seed: int = 11) -> DataFrame:
     """``id, neighbour, distance, rank``: for every vector its k most similar ones, Euclidean, within a small loss.
 
     vectors  as in ``neighbours``.
@@ -308,8 +308,8 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6,
     of one string are parted by id, and no task holds more than a partition. A task slides over its array in chunks of
     CHUNK rows that overlap by ``want``. In a chunk, a stretch of rows with a common prefix, it sorts by ``locals_`` strings
     of other directions too, so one shuffle serves several arrays of the forest; in each, every row ascends on both sides
-    to ``want`` rows. Exact distances decide. What leaves a tree is one row of k neighbours a vector, distances in single
-    precision; the lists of the trees are then united. Fewer than k other rows give fewer neighbours. Ties: the smaller id. An id with several rows is
+    to ``want`` rows. Exact distances decide. What leaves a tree is one row of k neighbours a vector; the lists of the trees
+    are then united. Vectors travel in single precision, as differences from the middle of a sample. Fewer than k other rows give fewer neighbours. Ties: the smaller id. An id with several rows is
     never its own neighbour. Accuracy is measured by ``recall``.
     """
     x, dims, n = _sample(vectors, seed)
@@ -323,9 +323,10 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6,
             for t in range(trees):
                 s = forest.strings(forest.project(t * locals_, v)) if len(v) else np.empty(0, f"S{WIDTH}")
                 raw = pa.Array.from_buffers(pa.binary(WIDTH), len(v), [None, pa.py_buffer(np.ascontiguousarray(s).view(np.uint8).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t), pa.int32()), raw, b.column("id"), b.column("vec")], names=["tree", "string", "id", "vec"])
+                near = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * dims + 1, dims), pa.int32()), pa.array((v - forest.centre).astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t), pa.int32()), raw, b.column("id"), near], names=["tree", "string", "id", "vec"])
 
-    rows = vectors.select("id", "vec").mapInArrow(hashed, "tree int, string binary, id long, vec array<double>")
+    rows = vectors.select("id", "vec").mapInArrow(hashed, "tree int, string binary, id long, vec array<float>")
     rows = rows.repartitionByRange(parts, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
 
     def search(tree: np.ndarray, ids: np.ndarray, v: np.ndarray, first: int, last: int) -> pa.RecordBatch:
@@ -336,7 +337,7 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6,
                 key = np.empty(len(ids), f"S{WIDTH}")
                 for t in np.unique(tree):
                     own = tree == t
-                    key[own] = forest.strings(forest.project(int(t) * locals_ + j, v[own]))
+                    key[own] = forest.strings(forest.project(int(t) * locals_ + j, v[own].astype(np.float64) + forest.centre))
                 order = np.lexsort((ids, key, tree))
             r, d = _window(v, order, tree, k + 1, want)
             found.append(r)
@@ -351,11 +352,11 @@ def all_neighbours(vectors: DataFrame, k: int, trees: int = 2, locals_: int = 6,
         return pa.RecordBatch.from_arrays([pa.array(ids[first:last]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok].astype(np.float32)), pa.array(ids[near][ok])], ["d", "neighbour"]))], names=["id", "near"])
 
     def slide(batches):
-        held = (np.empty(0, int), np.empty(0, np.int64), np.empty((0, dims)))
+        held = (np.empty(0, int), np.empty(0, np.int64), np.empty((0, dims), np.float32))
         done = 0  # rows of ``held`` that have their neighbours and only serve those behind them
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                new = (b.column("tree").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("vec"), dims))
+                new = (b.column("tree").to_numpy(), b.column("id").to_numpy(), b.column("vec").flatten().to_numpy().reshape(-1, dims))
                 held = tuple(np.concatenate(c) for c in zip(held, new))
             while len(held[1]) - done >= CHUNK + want or (b is None and done < len(held[1])):
                 last = len(held[1]) if b is None and len(held[1]) - done <= CHUNK + want else done + CHUNK
