@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +14,8 @@ from pointloom.runtime import cut, finite, only, partitions
 
 #: Cells of the near join that hold more rows are split to the side of the search radius itself.
 HEAVY_CELL = 4096
-#: At most so many rows of split cells, and bytes of polygon blocks, are broadcast; beyond that they are joined by a shuffle.
+#: At most so many rows of split cells, and bytes of polygon cells, are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
-#: A block of the polygon coverage is 8 x 8 cells, so each of its two masks is one bigint.
-BLOCK = 8
 
 
 def _small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
@@ -79,19 +77,11 @@ def _meet(copies: DataFrame, side: float, radius: float) -> DataFrame:
     return a.join(b, cell).where((F.col("key_a") < F.col("key_b")) & (gap <= radius * radius) & here).select("key_a", "key_b")
 
 
-_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-_COVER = T.StructType(
-    [
-        T.StructField("key_b", T.LongType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("bx", T.LongType()),
-        T.StructField("by", T.LongType()),
-        T.StructField("inner", T.LongType()),
-        T.StructField("rim", T.LongType()),
-        T.StructField("ring", T.ArrayType(_POINT)),
-        T.StructField("holes", T.ArrayType(T.ArrayType(_POINT))),
-    ]
-)
+#: A boundary cell of a coverage is refined while it is larger than a 2^DEPTH-th of its polygon's extent, and further while it
+#: holds more than EDGES edges; cells have sides of whole powers of two metres, not below 2^LEAST.
+DEPTH, EDGES, LEAST = 4, 8, -12
+_PART = T.StructType([T.StructField("hole", T.BooleanType()), T.StructField("base", T.BooleanType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("ups", "downs", "x1", "y1", "x2", "y2")]])
+_COVER = T.StructType([T.StructField("key_b", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("parts", T.ArrayType(_PART))])
 
 
 def _corners(ring) -> np.ndarray:
@@ -103,126 +93,155 @@ def _corners(ring) -> np.ndarray:
     return a[(a != np.roll(a, 1, 0)).any(1)] if len(a) > 1 else a
 
 
-def _within(px: np.ndarray, py: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    inside = np.zeros(px.shape, bool)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, 0)):
-        if y1 != y2:
-            inside ^= ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-    return inside
-
-
-def _touched(edges: np.ndarray, x0: float, y0: float, side: float, nx: int, ny: int) -> np.ndarray:
-    """Which of nx x ny cells an edge may pass through: by the rows of cells that each edge crosses, its span in each."""
-    hit = np.zeros((nx, ny), bool)
-    for x1, y1, x2, y2 in edges:
-        if y1 > y2:
-            x1, y1, x2, y2 = x2, y2, x1, y1
-        j0, j1 = int((y1 - y0) // side), int((y2 - y0) // side)
-        for j in range(max(0, j0 - 1), min(ny - 1, j1 + 1) + 1):
-            if y2 > y1:
-                ta = min(1.0, max(0.0, (y0 + j * side - y1) / (y2 - y1)))
-                tb = min(1.0, max(0.0, (y0 + (j + 1) * side - y1) / (y2 - y1)))
-            else:
-                ta, tb = 0.0, 1.0
-            xs = sorted((x1 + ta * (x2 - x1), x1 + tb * (x2 - x1)))
-            i0, i1 = int((xs[0] - x0) / side - 1e-6), int((xs[1] - x0) / side + 1e-6)
-            near_j = j0 <= j <= j1 or abs(y0 + j * side - y2) < 1e-6 or abs(y0 + (j + 1) * side - y1) < 1e-6
-            if near_j:
-                hit[max(0, i0) : min(nx - 1, i1) + 1, j] = True
-    return hit
-
-
-def _cover_one(key: int, ring, holes, base: float):
-    """Blocks of one polygon. The level rises until the extent has at most 64 x 64 blocks, so big regions stay cheap."""
+def _touching(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """Which edges (x1, y1, x2, y2) may touch a closed box: their extents meet it and they have not all its corners on one side."""
+    near = (np.minimum(e[:, 0], e[:, 2]) <= x1) & (np.maximum(e[:, 0], e[:, 2]) >= x0) & (np.minimum(e[:, 1], e[:, 3]) <= y1) & (np.maximum(e[:, 1], e[:, 3]) >= y0)
+    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+    side = np.stack([dx * (cy - e[:, 1]) - dy * (cx - e[:, 0]) for cx in (x0, x1) for cy in (y0, y1)])
+    slack = 1e-9 * (np.abs(dx) + np.abs(dy)) * max(x1 - x0, 1e-6)
+    return near & ~((side > slack).all(0) | (side < -slack).all(0))
+
+
+def _beyond(e: np.ndarray, py: float, x_from: float, x_to: float) -> int:
+    """How many edges cross the height ``py`` (half open) at an x in (x_from, x_to]."""
+    spans = (e[:, 1] > py) != (e[:, 3] > py)
+    e = e[spans]
+    at = (e[:, 2] - e[:, 0]) * (py - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
+    return int(((at > x_from) & (at <= x_to)).sum())
+
+
+def _borders(e: np.ndarray, x: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where edges cross the vertical line at x: the heights of those that go right as they rise, and of the others."""
+    c = e[(e[:, 0] > x) != (e[:, 2] > x)]
+    y = c[:, 1] + (x - c[:, 0]) * (c[:, 3] - c[:, 1]) / (c[:, 2] - c[:, 0])
+    up = (c[:, 2] - c[:, 0]) * (c[:, 3] - c[:, 1]) > 0
+    return np.sort(y[up]), np.sort(y[~up])
+
+
+def _cover_one(key: int, ring, holes):
+    """The coverage of one polygon: cells wholly inside, and cells of its boundary with what they need to test a point.
+
+    For a part (the ring or a hole) a boundary cell keeps the edges that touch it, whether the number of edges right of its
+    lower right corner is odd, and the heights at which edges cross its right border. A point is then inside the part if
+    an odd number of edges is to its right: those in the cell are looked at one by one, those beyond its right border are
+    the corner's, changed by every crossing of the border between the corner and the point. All of this is derived from
+    the parent cell, so no cell looks at more edges than its parent holds.
+    """
     outer = _corners(ring)
     if len(np.unique(outer, axis=0)) < 3:
         return
-    inner = [h for h in (_corners(h) for h in (holes if holes is not None else [])) if len(np.unique(h, axis=0)) >= 3]
+    rings = [outer, *[h for h in (_corners(h) for h in (holes if holes is not None else [])) if len(np.unique(h, axis=0)) >= 3]]
     lo, hi = outer.min(0), outer.max(0)
-    level = 0
-    while max(hi - lo) / (base * 2**level * BLOCK) > 4 and level < 40:
-        level += 1
-    side = base * 2**level
-    b0, b1 = np.floor(lo / (side * BLOCK)).astype(int), np.floor(hi / (side * BLOCK)).astype(int)
-    nx, ny = (b1 - b0 + 1) * BLOCK
-    x0, y0 = b0 * BLOCK * side
-    edges = np.concatenate([np.hstack([r, np.roll(r, -1, 0)]) for r in [outer, *inner]])
-    rim = _touched(edges, x0, y0, side, nx, ny)
-    cx, cy = np.meshgrid(x0 + (np.arange(nx) + 0.5) * side, y0 + (np.arange(ny) + 0.5) * side, indexing="ij")
-    full = _within(cx, cy, outer)
-    for h in inner:
-        full &= ~_within(cx, cy, h)
-    full &= ~rim
-    bits = np.left_shift(np.uint64(1), np.arange(BLOCK * BLOCK, dtype=np.uint64))
-    ring_out = [(float(x), float(y)) for x, y in outer]
-    holes_out = [[(float(x), float(y)) for x, y in h] for h in inner]
-    for i in range(nx // BLOCK):
-        for j in range(ny // BLOCK):
-            part = np.s_[i * BLOCK : (i + 1) * BLOCK, j * BLOCK : (j + 1) * BLOCK]
-            m = [int(np.where(g[part].ravel(), bits, np.uint64(0)).sum(dtype=np.uint64).astype(np.int64)) for g in (full, rim)]
-            if any(m):
-                yield (key, level, int(b0[0] + i), int(b0[1] + j), m[0], m[1], ring_out if m[1] else None, holes_out if m[1] else None)
-
-
-def coverage(polygons: DataFrame, base: float, id_col: str = "poly_id") -> DataFrame:
-    """Adaptive coverage: per polygon and block of 8 x 8 cells a mask of cells wholly inside and one of boundary cells.
-
-    Cells have side ``base`` x 2^level, the level following the extent (at most 5 x 5 blocks a polygon). A block without
-    boundary cells carries no ring. Rings may be open, closed, of either direction or with repeated corners; NULL rings
-    and those with fewer than three different corners cover nothing; corners with a NULL or NaN are left out.
+    top = max(LEAST, math.ceil(math.log2(max((hi - lo).max(), 2.0**LEAST))))
+    side = 2.0**top
+    every = [np.hstack([r, np.roll(r, -1, 0)]) for r in rings]
+    far = max(e[:, [0, 2]].max() for e in every) + 1.0
+    stack = []
+    for cx in range(math.floor(lo[0] / side), math.floor(hi[0] / side) + 1):
+        for cy in range(math.floor(lo[1] / side), math.floor(hi[1] / side) + 1):
+            stack.append((top, cx, cy, [(i > 0, _beyond(e, cy * side, (cx + 1) * side, far) % 2 == 1, *_borders(e, (cx + 1) * side), e) for i, e in enumerate(every)]))
+    while stack:
+        level, cx, cy, parts = stack.pop()
+        side = 2.0**level
+        x0, y0 = cx * side, cy * side
+        x1, y1 = x0 + side, y0 + side
+        kept, alive = [], True
+        for hole, base, ups, downs, e in parts:
+            own = e[_touching(e, x0, y0, x1, y1)]
+            if len(own):
+                kept.append((hole, base, ups[(ups >= y0) & (ups <= y1)], downs[(downs >= y0) & (downs <= y1)], own))
+            elif base == hole:  # a cell without edges is wholly as its corner: outside the ring, or inside a hole
+                alive = False
+                break
+        if not alive:
+            continue
+        edges = sum(len(k[4]) for k in kept)
+        if kept and level > LEAST and (level > top - DEPTH or edges > EDGES):
+            half = side / 2
+            for i in (0, 1):
+                for j in (0, 1):
+                    right, low = x0 + (i + 1) * half, y0 + j * half
+                    sub = []
+                    for hole, base, ups, downs, e in kept:
+                        # The corner of the part: beyond the parent's border as that says, plus what lies between the two borders.
+                        odd = base ^ bool((int(((ups >= y0) & (ups < low)).sum()) + int(((downs > y0) & (downs <= low)).sum())) % 2)
+                        odd ^= bool(_beyond(e, low, right, x1) % 2)
+                        u, d = (ups, downs) if i else _borders(e, right)
+                        sub.append((hole, odd, u, d, e))
+                    stack.append((level - 1, 2 * cx + i, 2 * cy + j, sub))
+            continue
+        yield (key, level, cx, cy, [(h, bool(b), u.tolist(), d.tolist(), *[e[:, c].tolist() for c in range(4)]) for h, b, u, d, e in kept])
+
+
+def coverage(polygons: DataFrame, id_col: str = "poly_id") -> DataFrame:
+    """Adaptive coverage: per polygon the cells wholly inside (``parts`` empty) and its boundary cells, of sides that follow the
+    polygon's extent and, on the boundary, the number of edges (see ``_cover_one``).
+
+    Inner cells are as large as they can be. No row holds a whole ring: a boundary cell holds about EDGES edges, however
+    many the ring has. Rings may be open, closed, of either direction or with repeated corners; NULL rings and those with
+    fewer than three different corners cover nothing; corners with a NULL or NaN are left out.
     """
 
+    part = pa.struct([("hole", pa.bool_()), ("base", pa.bool_()), *[(c, pa.list_(pa.float64())) for c in ("ups", "downs", "x1", "y1", "x2", "y2")]])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(part)]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_COVER.names)
+
     def run(batches):
-        for pdf in batches:
-            rows = [r for k, ring, holes in zip(pdf["key"], pdf["ring"], pdf["holes"]) for r in _cover_one(k, ring, holes, base)]
+        for b in batches:
+            rows = []
+            for k, ring, holes in zip(*[b.column(c).to_pylist() for c in ("key", "ring", "holes")]):
+                for r in _cover_one(k, ring, holes):
+                    rows.append((*r[:4], [dict(zip(part.names, q)) for q in r[4]]))
+                    if len(rows) >= 4096:
+                        yield batch(rows)
+                        rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=_COVER.names)
+                yield batch(rows)
 
     p = only(polygons, id_col, "ring", "holes").toDF("key", "ring", "holes").where(F.col("key").isNotNull() & F.col("ring").isNotNull())
     p = p.select(F.col("key").cast("long"), "ring", "holes").distinct()
     # Rings are few bytes but much work: their number of tasks must not follow their size.
-    return p.repartition(4 * partitions(polygons.sparkSession), "key").mapInPandas(run, _COVER)
+    return p.repartition(4 * partitions(polygons.sparkSession), "key").mapInArrow(run, _COVER)
 
 
-def _even_odd(ring, x, y):
-    """Even-odd test of (x, y) against an array of corners, as one native expression over its edges."""
-    n = F.size(ring)
+def _holds(part, x, y, x1, y0):
+    """Whether a part of a boundary cell, with its right border at x1 and lower one at y0, holds (x, y): native expressions over its few edges."""
+    beyond = F.size(F.filter(part["ups"], lambda v: (v >= y0) & (v < y))) + F.size(F.filter(part["downs"], lambda v: (v > y0) & (v <= y)))
+    edges = F.arrays_zip(part["x1"], part["y1"], part["x2"], part["y2"])
 
-    def crossing(a, i):
-        b = F.element_at(ring, F.when(i + 1 == n, 1).otherwise(i + 2).cast("int"))
-        at = (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return ((a["y"] > y) != (b["y"] > y)) & (x < at)
+    def crossing(e):
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < at) & (at <= x1)
 
-    return F.size(F.filter(ring, crossing)) % 2 == 1
+    return (F.size(F.filter(edges, crossing)) + beyond + part["base"].cast("int")) % 2 == 1
 
 
-def inside(points: DataFrame, polygons: DataFrame, id_col: str = "point_id", poly_col: str = "poly_id", base: float = 2.0) -> DataFrame:
+def inside(points: DataFrame, polygons: DataFrame, id_col: str = "point_id", poly_col: str = "poly_id", tile: float = 1024.0) -> DataFrame:
     """Pairs ``(key_a point, key_b polygon)``, each once, where x, y lie within the ring (even-odd) and in none of the holes.
 
     Points with a NULL id or non-finite x or y lie in nothing, z does not matter, repeated rows count once. An empty
-    table on either side gives no pairs. Points meet blocks in an equi-join; a set bit of the inner mask accepts at
-    once, and only points in boundary cells are tested against the ring. Blocks are broadcast up to BROADCAST_BYTES,
-    else both sides are shuffled by block (a block is small, so no hot key arises from regions; a hot block of
-    points is split by AQE, as the join is an ordinary one).
+    table on either side gives no pairs. Points meet cells in an equi-join: an inner cell accepts at once, a boundary cell
+    tests the few edges it holds. A point has one copy for each level of cells that its tile of ``tile`` metres has any of;
+    points of tiles without polygons are left out before anything moves. Cells are broadcast up to BROADCAST_BYTES, else
+    both sides are shuffled by cell (a hot cell is split by AQE, as the join is an ordinary one).
     """
-    blocks = cut(coverage(polygons, base, poly_col))
-    levels = [r["level"] for r in blocks.select("level").distinct().collect()]  # at most 41
+    cells = cut(coverage(polygons, poly_col))
     p = only(points, id_col, "x", "y").toDF("key_a", "x", "y")
     p = p.select("key_a", F.col("x").cast("double"), F.col("y").cast("double")).where(F.col("key_a").isNotNull() & finite("x", "y"))
-    if not levels:
+    side = F.pow(F.lit(2.0), F.col("level"))
+    span = cells.select("level", *[F.sequence(F.floor(F.col(f"c{c}") * side / tile).cast("long"), F.floor(((F.col(f"c{c}") + 1) * side - 1e-9) / tile).cast("long")).alias(f"t{c}") for c in "xy"])
+    tiles = cut(span.withColumn("tx", F.explode("tx")).withColumn("ty", F.explode("ty")).groupBy("tx", "ty").agg(F.collect_set("level").alias("levels")))
+    weight = cells.agg(F.sum(64 + F.aggregate("parts", F.lit(0), lambda a, q: a + 64 + 32 * F.size(q["x1"]) + 8 * (F.size(q["ups"]) + F.size(q["downs"])))).alias("w"), F.count(F.lit(1))).first()[0]
+    if weight is None:
         return p.limit(0).select("key_a", F.lit(0).cast("long").alias("key_b"))
-    side = F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level"))
-    at = p.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    at = at.withColumns({"cx": F.floor(F.col("x") / side).cast("long"), "cy": F.floor(F.col("y") / side).cast("long")})
-    at = at.withColumns({"bx": F.floor(F.col("cx") / BLOCK).cast("long"), "by": F.floor(F.col("cy") / BLOCK).cast("long")})
-    at = at.withColumn("bit", ((F.col("cx") - F.col("bx") * BLOCK) * BLOCK + (F.col("cy") - F.col("by") * BLOCK)).cast("int")).drop("cx", "cy")
-    corners = F.coalesce(F.size("ring"), F.lit(0)) + F.coalesce(F.size(F.flatten("holes")), F.lit(0))
-    weight = blocks.agg(F.sum(100 + 32 * corners.cast("long"))).first()[0]
-    blocks = F.broadcast(blocks) if weight <= BROADCAST_BYTES else blocks
-    met = at.join(blocks, ["level", "bx", "by"])
-    bit = F.expr("shiftrightunsigned(inner, bit) & 1")
-    rim = F.expr("shiftrightunsigned(rim, bit) & 1")
-    x, y = F.col("x"), F.col("y")
-    exact = _even_odd(F.col("ring"), x, y) & ~F.exists("holes", lambda h: _even_odd(h, x, y))
-    met = met.where((bit == 1) | ((rim == 1) & exact))
+    at = p.withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("long") for c in "xy"})
+    at = at.join(F.broadcast(tiles) if 64 * tiles.count() <= BROADCAST_BYTES else tiles, ["tx", "ty"]).drop("tx", "ty")
+    at = at.withColumn("level", F.explode("levels")).drop("levels")
+    at = at.withColumns({f"c{c}": F.floor(F.col(c) / side).cast("long") for c in "xy"})
+    met = at.join(F.broadcast(cells) if weight <= BROADCAST_BYTES else cells, ["level", "cx", "cy"])
+    x, y, x1, y0 = F.col("x"), F.col("y"), (F.col("cx") + 1) * side, F.col("cy") * side
+    # A part of the boundary must hold the point if it is the ring, and must not if it is a hole.
+    met = met.where(F.forall("parts", lambda q: _holds(q, x, y, x1, y0) != q["hole"]))
     return met.select("key_a", "key_b").distinct()

@@ -53,6 +53,63 @@ def polygons(spark, rows):
     return spark.createDataFrame([(k, real(r), None if h is None else [real(x) for x in h], e) for k, r, h, e in rows], RING)
 
 
+def within(px, py, ring):
+    """Even-odd by every edge of the ring."""
+    inside = np.zeros(px.shape, bool)
+    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, 0)):
+        if y1 != y2:
+            inside ^= ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    return inside
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("seed", range(3))
+def test_inside_random_rings_on_the_grid(spark, monkeypatch, seed, broadcast):
+    """Rings that cross themselves, with corners on the borders and corners of cells, and holes that cross the ring; both joins."""
+    if not broadcast:
+        monkeypatch.setattr(near, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(seed)
+    rows, want = [], set()
+    xy = np.concatenate([rng.integers(-40, 40, (400, 2)) / 4 + [0.11, 0.0], rng.integers(-40, 40, (300, 2)) / 4 + [0.07, 0.13], rng.uniform(-12, 12, (300, 2))])
+    for k in range(1, 15):
+        scale = rng.choice([1, 2, 8])
+        ring = rng.integers(-8 // scale, 8 // scale + 1, (int(rng.integers(3, 12)), 2)) * scale
+        holes = [rng.integers(-4, 5, (int(rng.integers(3, 6)), 2)) for _ in range(int(rng.integers(0, 3)))]
+        rows.append((k, ring.tolist(), [h.tolist() for h in holes], 0))
+        if len(np.unique(ring, axis=0)) < 3:
+            continue
+        ok = within(xy[:, 0], xy[:, 1], ring.astype(float))
+        for h in holes:
+            if len(np.unique(h, axis=0)) >= 3:
+                ok &= ~within(xy[:, 0], xy[:, 1], h.astype(float))
+        want |= {(int(i) + 1, k) for i in np.flatnonzero(ok)}
+    # Points on an edge belong to either side: rings and points are compared without them.
+    def on_edge(i, k):
+        x, y = xy[i - 1]
+        for r in [rows[k - 1][1], *rows[k - 1][2]]:
+            for (x1, y1), (x2, y2) in zip(r, np.roll(r, -1, 0)):
+                if abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) < 1e-9 and min(x1, x2) - 1e-9 <= x <= max(x1, x2) + 1e-9 and min(y1, y2) - 1e-9 <= y <= max(y1, y2) + 1e-9:
+                    return True
+        return False
+
+    got = {tuple(r) for r in near.inside(pts(spark, [(*p, 0) for p in xy]), polygons(spark, rows)).collect()}
+    assert not [p for p in got ^ want if not on_edge(*p)] and len(got) > 500
+
+
+def test_a_coast_of_many_corners_is_cut_up(spark):
+    """No row of the coverage holds many edges, inner cells are few and large, and the points are right."""
+    rng = np.random.default_rng(17)
+    a = np.linspace(0, 2 * math.pi, 20_000, endpoint=False)
+    r = 5000 + 400 * np.sin(9 * a) + rng.uniform(-3, 3, len(a))
+    ring = np.round(np.stack([r * np.cos(a), r * np.sin(a)], 1), 3)
+    poly = polygons(spark, [(1, ring.tolist(), None, 0)])
+    cells = near.coverage(poly).selectExpr("size(parts) AS n", "coalesce(get(parts, 0).x1, array()) AS e").selectExpr("n", "size(e) AS e").toPandas()
+    assert cells["e"].max() <= near.EDGES and (cells["n"] == 0).sum() > 100 and cells["e"].sum() < 8 * len(a)
+    xy = rng.uniform(-6000, 6000, (3000, 2))
+    got = {r["key_a"] - 1 for r in near.inside(pts(spark, [(*p, 0) for p in xy]), poly).collect()}
+    assert got == set(np.flatnonzero(within(xy[:, 0], xy[:, 1], ring)).tolist())
+
+
 def test_inside_equals_even_odd(spark):
     rng = np.random.default_rng(2)
     star = [(3 * math.cos(a) * (1 + (i % 2)), 3 * math.sin(a) * (1 + (i % 2))) for i, a in enumerate(np.linspace(0, 2 * math.pi, 14, endpoint=False))]
@@ -65,9 +122,9 @@ def test_inside_equals_even_odd(spark):
     want = set()
     for k, ring in ((1, star), (2, box), (3, box), (7, big)):
         r = np.array(ring, float)
-        ok = near._within(xy[:, 0], xy[:, 1], r)
+        ok = within(xy[:, 0], xy[:, 1], r)
         if k == 2:
-            ok &= ~near._within(xy[:, 0], xy[:, 1], np.array(hole, float))
+            ok &= ~within(xy[:, 0], xy[:, 1], np.array(hole, float))
         want |= {(int(i) + 1, k) for i in np.flatnonzero(ok)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
