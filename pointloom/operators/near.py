@@ -78,8 +78,8 @@ def _meet(copies: DataFrame, side: float, radius: float) -> DataFrame:
 
 
 #: A boundary cell of a coverage is refined while it is larger than a 2^DEPTH-th of its polygon's extent, and further while it
-#: holds more than EDGES edges; cells have sides of whole powers of two metres, not below 2^LEAST.
-DEPTH, EDGES, LEAST = 4, 8, -12
+#: holds more than EDGES edges; cells have sides of whole powers of four metres (so few levels are in use), not below 2^LEAST.
+DEPTH, EDGES, LEAST = 2, 8, -12
 _PART = T.StructType([T.StructField("hole", T.BooleanType()), T.StructField("base", T.BooleanType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("ups", "downs", "x1", "y1", "x2", "y2")]])
 _COVER = T.StructType([T.StructField("key_b", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("parts", T.ArrayType(_PART))])
 
@@ -133,6 +133,7 @@ def _cover_one(key: int, ring, holes):
     rings = [outer, *[h for h in (_corners(h) for h in (holes if holes is not None else [])) if len(np.unique(h, axis=0)) >= 3]]
     lo, hi = outer.min(0), outer.max(0)
     top = max(LEAST, math.ceil(math.log2(max((hi - lo).max(), 2.0**LEAST))))
+    top += top % 2
     side = 2.0**top
     every = [np.hstack([r, np.roll(r, -1, 0)]) for r in rings]
     far = max(e[:, [0, 2]].max() for e in every) + 1.0
@@ -156,7 +157,7 @@ def _cover_one(key: int, ring, holes):
         if not alive:
             continue
         edges = sum(len(k[4]) for k in kept)
-        if kept and level > LEAST and (level > top - DEPTH or edges > EDGES):
+        if level % 2 or (kept and level > LEAST and (level > top - DEPTH or edges > EDGES)):
             half = side / 2
             for i in (0, 1):
                 for j in (0, 1):
