@@ -80,7 +80,8 @@ def _meet(copies: DataFrame, side: float, radius: float) -> DataFrame:
 #: A boundary cell of a coverage is refined while it is larger than a 2^DEPTH-th of its polygon's extent, and further while it
 #: holds more than EDGES edges; cells have sides of whole powers of four metres (so few levels are in use), not below 2^LEAST.
 DEPTH, EDGES, LEAST = 2, 8, -12
-_PART = T.StructType([T.StructField("hole", T.BooleanType()), T.StructField("base", T.BooleanType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("ups", "downs", "x1", "y1", "x2", "y2")]])
+_EDGE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")])
+_PART = T.StructType([T.StructField("hole", T.BooleanType()), T.StructField("base", T.BooleanType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("ups", "downs")], T.StructField("edges", T.ArrayType(_EDGE))])
 _COVER = T.StructType([T.StructField("key_b", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("parts", T.ArrayType(_PART))])
 
 
@@ -93,21 +94,26 @@ def _corners(ring) -> np.ndarray:
     return a[(a != np.roll(a, 1, 0)).any(1)] if len(a) > 1 else a
 
 
-def _touching(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Which edges (x1, y1, x2, y2) may touch a closed box: their extents meet it and they have not all its corners on one side."""
-    near = (np.minimum(e[:, 0], e[:, 2]) <= x1) & (np.maximum(e[:, 0], e[:, 2]) >= x0) & (np.minimum(e[:, 1], e[:, 3]) <= y1) & (np.maximum(e[:, 1], e[:, 3]) >= y0)
+def _touching(e: np.ndarray, x0: np.ndarray, y0: np.ndarray, side: float) -> np.ndarray:
+    """(boxes, edges): which edges (x1, y1, x2, y2) may touch closed boxes: their extents meet it and they have not all its corners on one side."""
+    x0, y0 = x0[:, None], y0[:, None]
+    x1, y1 = x0 + side, y0 + side
+    lox, hix, loy, hiy = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    near = (lox <= x1) & (hix >= x0) & (loy <= y1) & (hiy >= y0)
     dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-    side = np.stack([dx * (cy - e[:, 1]) - dy * (cx - e[:, 0]) for cx in (x0, x1) for cy in (y0, y1)])
-    slack = 1e-9 * (np.abs(dx) + np.abs(dy)) * max(x1 - x0, 1e-6)
-    return near & ~((side > slack).all(0) | (side < -slack).all(0))
+    # The signed side of the middle of a box, against how far its corners may be from it.
+    middle = dx * (y0 + side / 2 - e[:, 1]) - dy * (x0 + side / 2 - e[:, 0])
+    reach = np.abs(dx) + np.abs(dy)
+    return near & (np.abs(middle) <= reach * (side / 2 + 1e-9 * max(side, 1e-6)) + 1e-12)
 
 
-def _beyond(e: np.ndarray, py: float, x_from: float, x_to: float) -> int:
-    """How many edges cross the height ``py`` (half open) at an x in (x_from, x_to]."""
+def _beyond(e: np.ndarray, py: np.ndarray, x_from: np.ndarray, x_to: float) -> np.ndarray:
+    """For each of some heights (half open) how many edges cross it at an x in (x_from, x_to]."""
+    py = py[:, None]
     spans = (e[:, 1] > py) != (e[:, 3] > py)
-    e = e[spans]
-    at = (e[:, 2] - e[:, 0]) * (py - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
-    return int(((at > x_from) & (at <= x_to)).sum())
+    rise = np.where(e[:, 3] == e[:, 1], 1.0, e[:, 3] - e[:, 1])
+    at = (e[:, 2] - e[:, 0]) * (py - e[:, 1]) / rise + e[:, 0]
+    return (spans & (at > x_from[:, None]) & (at <= x_to)).sum(1)
 
 
 def _borders(e: np.ndarray, x: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,38 +146,32 @@ def _cover_one(key: int, ring, holes):
     stack = []
     for cx in range(math.floor(lo[0] / side), math.floor(hi[0] / side) + 1):
         for cy in range(math.floor(lo[1] / side), math.floor(hi[1] / side) + 1):
-            stack.append((top, cx, cy, [(i > 0, _beyond(e, cy * side, (cx + 1) * side, far) % 2 == 1, *_borders(e, (cx + 1) * side), e) for i, e in enumerate(every)]))
+            at = np.array([cy * side]), np.array([(cx + 1) * side])
+            stack.append((top, cx, cy, [(i > 0, bool(_beyond(e, *at, far)[0] % 2), *_borders(e, (cx + 1) * side), e) for i, e in enumerate(every)]))
+    i4, j4 = np.repeat(np.arange(4), 4), np.tile(np.arange(4), 4)
     while stack:
         level, cx, cy, parts = stack.pop()
-        side = 2.0**level
-        x0, y0 = cx * side, cy * side
-        x1, y1 = x0 + side, y0 + side
-        kept, alive = [], True
-        for hole, base, ups, downs, e in parts:
-            own = e[_touching(e, x0, y0, x1, y1)]
-            if len(own):
-                kept.append((hole, base, ups[(ups >= y0) & (ups <= y1)], downs[(downs >= y0) & (downs <= y1)], own))
-            elif base == hole:  # a cell without edges is wholly as its corner: outside the ring, or inside a hole
-                alive = False
-                break
-        if not alive:
+        if parts and level > LEAST and (level > top - DEPTH or sum(len(q[4]) for q in parts) > EDGES):
+            # All sixteen cells two levels below at once.
+            side = 2.0**level
+            x0, y0, x1, quarter = cx * side, cy * side, (cx + 1) * side, side / 4
+            xs, ys = x0 + i4 * quarter, y0 + j4 * quarter
+            alive, kept = np.ones(16, bool), [[] for _ in range(16)]
+            for hole, base, ups, downs, e in parts:
+                touch = _touching(e, xs, ys, quarter)
+                # The corner of a cell: what lies beyond the parent's border at that height, plus what lies between the two borders.
+                passed = ((ups >= y0) & (ups < ys[:, None])).sum(1) + ((downs > y0) & (downs <= ys[:, None])).sum(1)
+                odd = (base + passed + _beyond(e, ys, xs + quarter, x1)) % 2 == 1
+                borders = [_borders(e, x0 + (i + 1) * quarter) for i in range(3)] + [(ups, downs)]
+                for c in range(16):
+                    if touch[c].any():
+                        (u, d), low, high = borders[i4[c]], ys[c], ys[c] + quarter
+                        kept[c].append((hole, bool(odd[c]), u[(u >= low) & (u <= high)], d[(d >= low) & (d <= high)], e[touch[c]]))
+                    elif odd[c] == hole:  # a cell without edges is wholly as its corner: outside the ring, or inside a hole
+                        alive[c] = False
+            stack += [(level - 2, 4 * cx + int(i4[c]), 4 * cy + int(j4[c]), kept[c]) for c in np.flatnonzero(alive)]
             continue
-        edges = sum(len(k[4]) for k in kept)
-        if level % 2 or (kept and level > LEAST and (level > top - DEPTH or edges > EDGES)):
-            half = side / 2
-            for i in (0, 1):
-                for j in (0, 1):
-                    right, low = x0 + (i + 1) * half, y0 + j * half
-                    sub = []
-                    for hole, base, ups, downs, e in kept:
-                        # The corner of the part: beyond the parent's border as that says, plus what lies between the two borders.
-                        odd = base ^ bool((int(((ups >= y0) & (ups < low)).sum()) + int(((downs > y0) & (downs <= low)).sum())) % 2)
-                        odd ^= bool(_beyond(e, low, right, x1) % 2)
-                        u, d = (ups, downs) if i else _borders(e, right)
-                        sub.append((hole, odd, u, d, e))
-                    stack.append((level - 1, 2 * cx + i, 2 * cy + j, sub))
-            continue
-        yield (key, level, cx, cy, [(h, bool(b), u.tolist(), d.tolist(), *[e[:, c].tolist() for c in range(4)]) for h, b, u, d, e in kept])
+        yield (key, level, cx, cy, [(h, b, u.tolist(), d.tolist(), e.tolist()) for h, b, u, d, e in parts])
 
 
 def coverage(polygons: DataFrame, id_col: str = "poly_id") -> DataFrame:
@@ -183,7 +183,7 @@ def coverage(polygons: DataFrame, id_col: str = "poly_id") -> DataFrame:
     fewer than three different corners cover nothing; corners with a NULL or NaN are left out.
     """
 
-    part = pa.struct([("hole", pa.bool_()), ("base", pa.bool_()), *[(c, pa.list_(pa.float64())) for c in ("ups", "downs", "x1", "y1", "x2", "y2")]])
+    part = pa.struct([("hole", pa.bool_()), ("base", pa.bool_()), *[(c, pa.list_(pa.float64())) for c in ("ups", "downs")], ("edges", pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])))])
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(part)]
 
     def batch(rows):
@@ -194,7 +194,7 @@ def coverage(polygons: DataFrame, id_col: str = "poly_id") -> DataFrame:
             rows = []
             for k, ring, holes in zip(*[b.column(c).to_pylist() for c in ("key", "ring", "holes")]):
                 for r in _cover_one(k, ring, holes):
-                    rows.append((*r[:4], [dict(zip(part.names, q)) for q in r[4]]))
+                    rows.append((*r[:4], [{"hole": q[0], "base": q[1], "ups": q[2], "downs": q[3], "edges": [dict(zip(("x1", "y1", "x2", "y2"), v)) for v in q[4]]} for q in r[4]]))
                     if len(rows) >= 4096:
                         yield batch(rows)
                         rows = []
@@ -210,13 +210,11 @@ def coverage(polygons: DataFrame, id_col: str = "poly_id") -> DataFrame:
 def _holds(part, x, y, x1, y0):
     """Whether a part of a boundary cell, with its right border at x1 and lower one at y0, holds (x, y): native expressions over its few edges."""
     beyond = F.size(F.filter(part["ups"], lambda v: (v >= y0) & (v < y))) + F.size(F.filter(part["downs"], lambda v: (v > y0) & (v <= y)))
-    edges = F.arrays_zip(part["x1"], part["y1"], part["x2"], part["y2"])
-
     def crossing(e):
         at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
         return ((e["y1"] > y) != (e["y2"] > y)) & (x < at) & (at <= x1)
 
-    return (F.size(F.filter(edges, crossing)) + beyond + part["base"].cast("int")) % 2 == 1
+    return (F.size(F.filter(part["edges"], crossing)) + beyond + part["base"].cast("int")) % 2 == 1
 
 
 def inside(points: DataFrame, polygons: DataFrame, id_col: str = "point_id", poly_col: str = "poly_id", tile: float = 1024.0) -> DataFrame:
@@ -234,7 +232,7 @@ def inside(points: DataFrame, polygons: DataFrame, id_col: str = "point_id", pol
     side = F.pow(F.lit(2.0), F.col("level"))
     span = cells.select("level", *[F.sequence(F.floor(F.col(f"c{c}") * side / tile).cast("long"), F.floor(((F.col(f"c{c}") + 1) * side - 1e-9) / tile).cast("long")).alias(f"t{c}") for c in "xy"])
     tiles = cut(span.withColumn("tx", F.explode("tx")).withColumn("ty", F.explode("ty")).groupBy("tx", "ty").agg(F.collect_set("level").alias("levels")))
-    weight = cells.agg(F.sum(64 + F.aggregate("parts", F.lit(0), lambda a, q: a + 64 + 32 * F.size(q["x1"]) + 8 * (F.size(q["ups"]) + F.size(q["downs"])))).alias("w"), F.count(F.lit(1))).first()[0]
+    weight = cells.agg(F.sum(64 + F.aggregate("parts", F.lit(0), lambda a, q: a + 64 + 32 * F.size(q["edges"]) + 8 * (F.size(q["ups"]) + F.size(q["downs"])))).alias("w"), F.count(F.lit(1))).first()[0]
     if weight is None:
         return p.limit(0).select("key_a", F.lit(0).cast("long").alias("key_b"))
     at = p.withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("long") for c in "xy"})

@@ -103,7 +103,7 @@ def test_a_coast_of_many_corners_is_cut_up(spark):
     r = 5000 + 400 * np.sin(9 * a) + rng.uniform(-3, 3, len(a))
     ring = np.round(np.stack([r * np.cos(a), r * np.sin(a)], 1), 3)
     poly = polygons(spark, [(1, ring.tolist(), None, 0)])
-    cells = near.coverage(poly).selectExpr("size(parts) AS n", "coalesce(get(parts, 0).x1, array()) AS e").selectExpr("n", "size(e) AS e").toPandas()
+    cells = near.coverage(poly).selectExpr("size(parts) AS n", "coalesce(get(parts, 0).edges, array()) AS e").selectExpr("n", "size(e) AS e").toPandas()
     assert cells["e"].max() <= near.EDGES and (cells["n"] == 0).sum() > 100 and cells["e"].sum() < 8 * len(a)
     xy = rng.uniform(-6000, 6000, (3000, 2))
     got = {r["key_a"] - 1 for r in near.inside(pts(spark, [(*p, 0) for p in xy]), poly).collect()}
