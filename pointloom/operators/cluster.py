@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators import knn
 from pointloom.operators.graph import components
-from pointloom.operators.knn import within_radius
 from pointloom.runtime import cut, finite
 
 
@@ -15,19 +17,53 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
 
     A core point has at least ``least`` points within ``eps``, itself included. Core points within reach of each other are
     connected; a border point takes the smallest cluster within its reach, whatever the order of rows. A cluster whose
-    smallest core point has the id 0 would be named as noise: ids are expected above 0.
+    smallest core point has the id 0 would be named as noise: ids are expected above 0. Points without a place are noise.
+
+    Cells whose points are all within reach of each other carry the work. The points of a cell with ``least`` of them are
+    core without looking; only the others count their neighbours. All core points of a cell are one node of the graph,
+    named by the smallest. A few points that stand for each cell give most links; then cells near one of another group
+    are looked at in full. So dense places cost by their cells, pairs of points are never written, and no pair of a dense
+    group is looked at.
     """
     ids = points.select("point_id").where("point_id IS NOT NULL").distinct()
-    pairs = cut(within_radius(points, eps).select("point_id", "nid"))
-    core = cut(pairs.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1).select("point_id"))
-    if least <= 1:
-        core = ids
-    inner = pairs.where("point_id < nid").join(core, "point_id", "left_semi").join(core.withColumnRenamed("point_id", "nid"), "nid", "left_semi")
-    comp = components(inner, "point_id", "nid")
-    named = cut(core.join(comp, core["point_id"] == comp["node"], "left").select("point_id", F.coalesce("component", "point_id").alias("low")))
-    border = pairs.join(named.select(F.col("point_id").alias("nid"), F.col("low").alias("near")), "nid").groupBy("point_id").agg(F.min("near").alias("near"))
-    out = ids.join(named, "point_id", "left").join(border, "point_id", "left")
-    return out.select("point_id", F.coalesce("low", "near", F.lit(0)).alias("cluster"))
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    cell = ["_x", "_y", "_z"]
+    p = cut(points.select("point_id", "x", "y", "z").where(F.col("point_id").isNotNull() & finite("x", "y", "z")).dropDuplicates(["point_id"]).withColumns({f"_{c}": F.floor(F.col(c) / side).cast("long") for c in "xyz"}))
+    full = p.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    p = cut(p.join(full.withColumn("_full", F.lit(True)), cell, "left"))
+    thin = p.where("_full IS NULL")
+    known = knn.reached(thin, p, eps).groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1).select("point_id")
+    dense = p.where("_full")
+    core = dense if least > 1 else p
+    core = cut(core.unionByName(thin.join(known, "point_id", "left_semi")).dropDuplicates(["point_id"]).drop("_full"))
+    names = core.groupBy(*cell).agg(F.min("point_id").alias("name"))
+    core = cut(core.join(names, cell))
+    sub = [F.floor(F.col(c) * 2 / side).cast("long").alias(f"_s{c}") for c in "xyz"]
+    stand = core.groupBy("name", *sub).agg(F.min(F.struct("point_id", "x", "y", "z")).alias("s")).select("name", "s.*")
+    links = cut(knn.reached(stand, stand, eps, ["name"]).where("name < n_name").select("name", "n_name").distinct())
+    group = _groups(core, links)
+    # Cells within two of a cell of another group may still have a pair within reach.
+    own = cut(group.groupBy(*cell).agg(F.min("group").alias("group")))
+    around = own
+    for c in cell:
+        around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
+    rim = around.groupBy(*cell).agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select(*cell)
+    open_ = cut(group.join(rim, cell, "left_semi"))
+    if not open_.isEmpty():
+        more = cut(knn.reached(open_, open_, eps, ["group"]).where("group < n_group").select("group", "n_group").distinct())
+        if not more.isEmpty():
+            group = _groups(group.withColumnRenamed("group", "name"), more.toDF("name", "n_name"))
+    named = cut(group.select("point_id", "x", "y", "z", "group"))
+    rest = p.select("point_id", "x", "y", "z").join(named.select("point_id"), "point_id", "left_anti").withColumn("group", F.lit(0).cast("long"))
+    border = knn.reached(rest, named, eps, ["group"]).groupBy("point_id").agg(F.min("n_group").alias("group"))
+    out = ids.join(named.select("point_id", "group").unionByName(border), "point_id", "left")
+    return out.select("point_id", F.coalesce("group", F.lit(0)).alias("cluster"))
+
+
+def _groups(core: DataFrame, links: DataFrame) -> DataFrame:
+    """The core points with the group that links between their names put them in."""
+    comp = components(links, "name", "n_name").select(F.col("node").alias("name"), F.col("component").alias("_c"))
+    return cut(core.join(comp, "name", "left").withColumn("group", F.coalesce("_c", "name")).drop("_c", "name"))
 
 
 def nearest_plane(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:

@@ -23,23 +23,31 @@ from pointloom.runtime import cut, finite, only
 FINE, FINEST, FULL, HALO = 1.0, 1e-3, 512, 0.25
 
 
-def within_radius(points: DataFrame, radius: float) -> DataFrame:
-    """``point_id, nid, d``: all pairs of different points at most ``radius`` apart, in both directions.
+def reached(home: DataFrame, others: DataFrame, radius: float, carry: list[str] = []) -> DataFrame:
+    """``point_id, nid, d`` and carried columns of both (``<c>`` of the point, ``n_<c>`` of the other): the others within ``radius``.
 
-    The pairs come from the near join, which is symmetric; here each is turned round once and measured.
+    Cells of two radii; a point stays in its own, an other is put into every cell it may be reached from (about three of
+    them). Both sides are shuffled by cell; a hot cell is split by AQE, as the join is an ordinary one.
     """
-    p = only(points, "point_id", "x", "y", "z").where(F.col("point_id").isNotNull() & finite("x", "y", "z"))
     side, reach = 2 * radius, radius * (1 + 1e-9)
-    cells = p
+    good = F.col("point_id").isNotNull() & finite("x", "y", "z")
+    cells = only(others, "point_id", "x", "y", "z", *carry).where(good)
     for c in "xyz":
         own, offset = F.floor(F.col(c) / side).cast("long"), F.col(c) - F.floor(F.col(c) / side) * side
         low = F.when(offset <= reach, own - 1)
         high = F.when(offset >= side - reach, own + 1)
         cells = cells.withColumn(f"c{c}", F.explode(F.array_compact(F.array(own, low, high))))
-    home = p.select(F.col("point_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *[F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xyz"])
-    met = home.join(cells.withColumnRenamed("point_id", "nid"), ["cx", "cy", "cz"]).where("point_id <> nid")
+    cells = cells.withColumnsRenamed({"point_id": "nid", **{c: f"n_{c}" for c in carry}})
+    at = only(home, "point_id", "x", "y", "z", *carry).where(good)
+    at = at.select("point_id", *carry, *[F.col(c).alias(f"q{c}") for c in "xyz"], *[F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xyz"])
+    met = at.join(cells, ["cx", "cy", "cz"]).where("point_id <> nid")
     d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "yz"), (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")))
-    return met.where(d2 <= radius * radius).select("point_id", "nid", F.sqrt(d2).alias("d"))
+    return met.where(d2 <= radius * radius).select("point_id", "nid", F.sqrt(d2).alias("d"), *carry, *[f"n_{c}" for c in carry])
+
+
+def within_radius(points: DataFrame, radius: float) -> DataFrame:
+    """``point_id, nid, d``: all pairs of different points at most ``radius`` apart, in both directions."""
+    return reached(points, points, radius)
 
 
 def nearest_within(points: DataFrame, k: int, radius: float) -> DataFrame:

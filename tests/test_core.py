@@ -303,6 +303,22 @@ def test_voxels(spark):
     assert {r["n"] for r in grid.voxel_downsample(df, 1.0).collect()} == {3, 2} and grid.voxel_downsample(df.limit(0), 1.0).collect() == []
 
 
+@pytest.mark.parametrize("least", [1, 2, 6])
+def test_dbscan_dense_cells_and_marginal_links(spark, least):
+    """Cells with many points, groups linked by one pair only at the very reach, repeated places, points without a place."""
+    rng = np.random.default_rng(14)
+    xyz = np.concatenate([rng.normal(size=(150, 3)) * 0.1, rng.normal(size=(80, 3)) * 0.1 + [0.9, 0, 0], np.tile([[3.0, 0, 0]], (30, 1)), [[3.6, 0, 0], [4.2, 0, 0], [9, 9, 9]], rng.uniform(-3, 6, (60, 3))])
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2)) <= 0.6
+    core, n = d.sum(1) >= least, len(xyz)
+    low = np.where(core, np.arange(1, n + 1), 10**6)
+    for _ in range(n):
+        low = np.where(core, np.where(d & core[None], low[None], 10**6).min(1), 10**6)
+    want = {i + 1: int(low[i]) if core[i] else int(np.where(d[i] & core, low, 10**6).min()) % 10**6 for i in range(n)}
+    rows = [(i + 1, *map(float, v)) for i, v in enumerate(xyz)] + [(5000, None, 0.0, 0.0)]
+    got = {r["point_id"]: r["cluster"] for r in cluster.dbscan(spark.createDataFrame(rows, "point_id long, x double, y double, z double"), 0.6, least).collect()}
+    assert got == want | {5000: 0}
+
+
 def test_dbscan_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     xyz = np.concatenate([rng.normal(size=(60, 3)) * 0.3 + m for m in ([0, 0, 0], [4, 0, 0], [0, 5, 0])] + [rng.uniform(-8, 12, (30, 3))])
