@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.runtime import cut
+from pointloom.runtime import cut, discard
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     nodes = both.select(F.col("a").alias("node")).union(both.select(F.col("b"))).distinct()
     e = both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e, sign = cut(e), None
+    last = e
     for _ in range(most):
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour (itself included).
         n = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
@@ -29,6 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         s = e.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low, "u")
         e = s.select(F.col("m").alias("a"), F.col("v").alias("b")).union(s.select(F.col("m"), F.col("u"))).where("a <> b").distinct()
         e = cut(e)
+        discard(last)
+        last = e
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()
         if tuple(r) == sign:
             break

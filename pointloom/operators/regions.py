@@ -57,13 +57,19 @@ def segment_distance(px, py, x1, y1, x2, y2):
 def near_lines(points: DataFrame, segments: DataFrame, reach: float, key: str = "poly_id") -> DataFrame:
     """``point_id, key, distance``: lines within ``reach`` of a point and the distance to their nearest segment.
 
-    Cells of twice the reach: a segment is put into every cell of its extent widened by the reach (long segments into the
-    cells along them only), a point into its own, so the points are not copied.
+    Cells of twice the reach: a segment is put into the cells along it, column by column, a point into its own, so the
+    points are not copied and a long diagonal costs by its length.
     """
     side = 2 * reach
     cells = segments.where(finite("x1", "y1", "x2", "y2"))
-    span = {c: (F.floor((F.least(f"{c}1", f"{c}2") - reach) / side).cast("long"), F.floor((F.greatest(f"{c}1", f"{c}2") + reach) / side).cast("long")) for c in "xy"}
-    cells = cells.withColumn("cx", F.explode(F.sequence(*span["x"]))).withColumn("cy", F.explode(F.sequence(*span["y"])))
+    span = {c: (F.floor((F.least(f"{c}1", f"{c}2") - reach) / side).cast("long"), F.floor((F.greatest(f"{c}1", f"{c}2") + reach) / side).cast("long")) for c in "x"}
+    cells = cells.withColumn("cx", F.explode(F.sequence(*span["x"])))
+    # In a column of cells only those are filled that the segment may come near there, not the whole height of its extent.
+    wide = F.col("x2") - F.col("x1")
+    at = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("cx") + i) * side + j * reach - F.col("x1"), wide))) for i, j in ((0, -1), (1, 1))]
+    ends = [F.when(wide == 0, F.col(f"y{i + 1}")).otherwise(F.col("y1") + t * (F.col("y2") - F.col("y1"))) for i, t in enumerate(at)]
+    low, high = (F.floor((g(*ends) + s * reach) / side).cast("long") for g, s in ((F.least, -1), (F.greatest, 1)))
+    cells = cells.withColumn("cy", F.explode(F.sequence(low, high)))
     middle = [(F.col(c) + 0.5) * side for c in ("cx", "cy")]
     cells = cells.where(segment_distance(*middle, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]) <= reach + side * 0.7072)
     p = points.where(F.col("point_id").isNotNull() & finite("x", "y")).select("point_id", "x", "y", F.floor(F.col("x") / side).cast("long").alias("cx"), F.floor(F.col("y") / side).cast("long").alias("cy"))

@@ -195,6 +195,10 @@ _DBSCAN = f"""WITH RECURSIVE {p('', _LINK)[5:]}, K AS (SELECT a AS id FROM V GRO
 SQL = {
     "nearest": p("SELECT point_id, nid, rank::INT AS rank, d FROM N", _KNN),
     "covariances": p("SELECT point_id, n, " + ", ".join(f"round(c{a}{b}, 3) + 0.0 AS c{a}{b}" for a, b in PAIRS) + " FROM C", _KNN + _SPREAD),
+    "covariance_shape": p(
+        """SELECT point_id, n, round(a, 5) AS l1, round(greatest(0, 3 * q - a - c), 5) AS l2, round(c, 5) AS l3, round(greatest(0, least(1, (greatest(a, 1e-6) - greatest(0, 3 * q - a - c)) / greatest(a, 1e-6))), 3) AS linearity, round(greatest(0, least(1, (greatest(0, 3 * q - a - c) - c) / greatest(a, 1e-6))), 3) AS planarity
+        FROM (SELECT point_id, n, q, greatest(0, q + 2 * w * cos(phi)) AS a, greatest(0, q + 2 * w * cos(phi + 2 * pi() / 3)) AS c FROM (SELECT *, acos(greatest(-1, least(1, CASE WHEN w > 0 THEN ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * w * w * w) ELSE 0 END))) / 3 AS phi
+        FROM (SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS w FROM (SELECT *, (cxx + cyy + czz) / 3 AS q FROM C WHERE n >= 4))))""", _KNN + _SPREAD),
     "exact_density": p(_DENSITY, nearest_sql("P", 20)),
     "radius_counts": p("SELECT point_id, count(nid) AS n FROM P LEFT JOIN W USING (point_id) GROUP BY point_id", _ALL),
     "local_spacing": p(_SPACING, _KNN),

@@ -162,6 +162,7 @@ SQL = {
         SELECT tile, min(floor(x / 2))::BIGINT AS x0, max(floor(x / 2))::BIGINT AS x1, min(floor(y / 2))::BIGINT AS y0, max(floor(y / 2))::BIGINT AS y1 FROM P GROUP BY tile)))) AS n
         JOIN (SELECT cx + i AS cx, cy + j AS cy, sum(s)::DOUBLE / sum(n) / 1000000 AS z FROM (SELECT floor(x / 10)::BIGINT AS cx, floor(y / 10)::BIGINT AS cy, sum(round(z * 1000000)::BIGINT) AS s, count(*) AS n FROM P WHERE classification = 2 GROUP BY 1, 2), range(-1, 2) AS a(i), range(-1, 2) AS b(j) GROUP BY 1, 2) AS w
         ON w.cx = floor(n.x / 10)::BIGINT AND w.cy = floor(n.y / 10)::BIGINT ANTI JOIN (SELECT x AS gx, y AS gy FROM P WHERE classification = 2) ON gx BETWEEN n.x - 1.5 AND n.x + 1.5 AND gy BETWEEN n.y - 1.5 AND n.y + 1.5 AND (gx - n.x) * (gx - n.x) + (gy - n.y) * (gy - n.y) <= 2.25"""),
+    "feature_matrix": f("SELECT point_id, concat_ws(',', " + ", ".join(f"(round({c}, 3) + 0.0::DOUBLE)::VARCHAR" for c in _LOD2) + ") AS row FROM F", read=" ".join(_LOD2)),
     "registry": f"SELECT file_id, file_path, num_points, num_classes FROM {_REG}",
     "files_near": f"SELECT file_id FROM {_REG} WHERE isfinite(xmin) AND isfinite(xmax) AND isfinite(ymin) AND isfinite(ymax) AND pow((xmin + xmax) / 2 - 130000, 2) + pow((ymin + ymax) / 2 - 6051000, 2) <= 20000.0 * 20000",
     "tile_grid": p("""SELECT c AS col, r AS row, printf('%04d_%04d', c, r) AS tile, coalesce(n, 0) AS n FROM (SELECT c, r FROM range(110, 161) AS a(c), range(6040, 6053) AS b(r)) LEFT JOIN (SELECT floor(x / 1000)::BIGINT AS c, floor(y / 1000)::BIGINT AS r, count(*) AS n FROM P GROUP BY 1, 2) USING (c, r)"""),

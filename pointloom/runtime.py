@@ -38,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def settings(spark: SparkSession, folder: str) -> dict[str, float]:
     """The table ``settings`` (a fixed, small number of rows) as a dictionary."""
-    return {r["setting"]: r["setting_value"] for r in table(spark, folder, "settings").limit(1000).collect()}
+    return {r["setting"]: r["setting_value"] for r in table(spark, folder, "settings").collect()}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,20 +61,34 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for this very frame: nothing that is still to be computed may read it."""
+    path = getattr(df, "_cut_path", None)
+    entry = (df.sparkSession, path)
+    if path and entry in _WRITTEN and _delete(*entry):
+        _WRITTEN.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    if path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        return True
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    except Exception:  # noqa: BLE001 - the session may be gone; nothing else depends on these folders
+        return False
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-            continue
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; nothing else depends on these folders
+        if not _delete(spark, path):
             return
 
 
