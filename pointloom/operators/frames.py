@@ -27,11 +27,14 @@ def current_points(points: DataFrame) -> DataFrame:
     return last.select("point_id", *[F.col(f"p.{c}").alias(c) for c in POINT], F.coalesce("p.tile_id", tile_name(F.col("p.x"), F.col("p.y"))).alias("tile"))
 
 
-def current_features(features: DataFrame) -> DataFrame:
-    """One row per point: the latest enrichment, its numbers as doubles (NaN and infinities kept)."""
-    f = only(features, "point_id", "enriched_at", *FEATURE).where("point_id IS NOT NULL")
-    last = f.groupBy("point_id").agg(F.max(F.struct("enriched_at", *FEATURE)).alias("f"))
-    return last.select("point_id", *[F.col(f"f.{c}").cast("double").alias(c) for c in FEATURE])
+def current_features(features: DataFrame, columns: list[str] = FEATURE) -> DataFrame:
+    """One row per point: the latest enrichment, the named numbers of it as doubles (NaN and infinities kept).
+
+    Only these columns are read and shuffled. Of several rows of one time the greatest by these numbers counts.
+    """
+    f = only(features, "point_id", "enriched_at", *columns).where("point_id IS NOT NULL")
+    last = f.groupBy("point_id").agg(F.max(F.struct("enriched_at", *columns)).alias("f"))
+    return last.select("point_id", *[F.col(f"f.{c}").cast("double").alias(c) for c in columns])
 
 
 def steady_avg(column: str, scale: int = 10**6) -> Column:

@@ -16,7 +16,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 def features(spark: SparkSession, d: str, *read: str) -> DataFrame:
     """Points with the features of their latest enrichment: those that a query reads (all where none are named), each finite."""
     read = read or tuple(FEATURE)
-    f = current_features(table(spark, d, "point_features")).select("point_id", *read).where(finite(*read))
+    f = current_features(table(spark, d, "point_features"), list(read)).where(finite(*read))
     return points(spark, d).join(f, "point_id")
 
 

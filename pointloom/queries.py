@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import heavy, near, quantile
-from pointloom.plans import grids, labels, neighbours, objects, scalars, sets, spatial, stages
+from pointloom.plans import grids, labels, neighbours, objects, reports, scalars, sets, spatial, stages
 from pointloom.runtime import cut, settings, table
 
 
@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("relation", F.lit("near")).unionByName(held.withColumn("relation", F.lit("inside"))).select("relation", "key_a", "key_b")
 
 
-_PLANS = (scalars, grids, spatial, neighbours, labels, sets, objects, stages)
+_PLANS = (scalars, grids, spatial, neighbours, labels, sets, objects, stages, reports)
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_buildings": p5_buildings, "p5_medians": p5_medians, **{n: q for m in _PLANS for n, q in m.QUERIES.items()}}
 
 _QUALITY = "(SELECT DISTINCT quality_id, building_id, points_inside, quality_score FROM polygon_quality)"
