@@ -20,7 +20,7 @@ from pointloom.runtime import cut, finite, only
 
 #: Side of the finest cells of the tree in metres (of places with very many points down to FINEST), points of a leaf, halo
 #: of a leaf as a share of its side.
-FINE, FINEST, FULL, HALO = 1.0, 1e-3, 512, 0.25
+FINE, FINEST, FULL, HALO = 1.0, 1e-3, 1024, 0.25
 
 
 def reached(home: DataFrame, others: DataFrame, radius: float, carry: list[str] = []) -> DataFrame:
@@ -100,6 +100,7 @@ class Tree:
     leaves: DataFrame
     levels: list[int]
     most: int
+    total: int
 
 
 def _cell(side: float) -> list[Column]:
@@ -111,7 +112,7 @@ def _tree(p: DataFrame) -> Tree | None:
     side = FINE
     while True:
         cells = cut(p.groupBy(*_cell(side)).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z0"), F.max("z").alias("z1")))
-        span = cells.agg(F.max("n").alias("n"), *[g(c).alias(f"{c}{i}") for c in ("cx", "cy") for i, g in ((0, F.min), (1, F.max))]).first()
+        span = cells.agg(F.max("n").alias("n"), F.sum("n").alias("total"), *[g(c).alias(f"{c}{i}") for c in ("cx", "cy") for i, g in ((0, F.min), (1, F.max))]).first()
         if span["n"] is None:
             return None
         if span["n"] <= 4 * FULL or side <= FINEST:
@@ -130,7 +131,7 @@ def _tree(p: DataFrame) -> Tree | None:
     around = around.withColumn("by", F.explode(F.sequence(F.col("by") - 1, F.col("by") + 1))).join(nodes.select("level", "bx", "by", "n"), ["level", "bx", "by"])
     around = around.groupBy("level", F.col("_x").alias("bx"), F.col("_y").alias("by")).agg((F.sum("n") <= 8 * FULL).alias("wide"))
     leaves = cut(leaves.join(around, ["level", "bx", "by"]))
-    return Tree(side, top, cells, nodes, leaves, sorted(r["level"] for r in leaves.select("level").distinct().collect()), int(span["n"]))
+    return Tree(side, top, cells, nodes, leaves, sorted(r["level"] for r in leaves.select("level").distinct().collect()), int(span["n"]), int(span["total"]))
 
 
 def _seen(p: DataFrame, tree: Tree, k: int) -> DataFrame:
@@ -174,7 +175,7 @@ def neighbourhoods(points: DataFrame, k: int, measure: Measure, schema: str, car
     tree = _tree(p)
     if tree is None:
         return p.limit(0).select("point_id", *[F.lit(None).cast(c.strip().split()[1]).alias(n) for n, c in zip(names, schema.split(","))])
-    total, side0 = int(tree.cells.agg(F.sum("n")).first()[0]), tree.side
+    total, side0 = tree.total, tree.side
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         side = side0 * 2.0 ** key[0].as_py()
